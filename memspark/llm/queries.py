@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.llm import pii
 from memspark.llm.vectors import Scan, similar
 from memspark.tables import ref_key, table
 
@@ -24,4 +25,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("vector_id_a"), F.greatest("a", "b").alias("vector_id_b")).distinct()
 
 
-QUERIES = {q.__name__: q for q in (p3_found,)}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The fragments with personal data, and its types."""
+    found = pii.find(table(spark, folder, "temporal_fragments"), ["id"], "content")
+    return found.select("id", F.col("kind").alias("pii_type")).distinct()
+
+
+def p4_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fragment with its content, personal data replaced."""
+    rows = table(spark, folder, "temporal_fragments").select("id", "content").distinct()
+    return pii.sanitise(rows, ["id"], "content").withColumnRenamed("sanitised", "content")
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised)}
