@@ -66,14 +66,14 @@ def test_names_by_disclosure(spark):
 
 
 def test_sanitised_keeps_the_rest(spark):
-    df = frame(spark, [*TEXTS, None, "", TEXTS[0], "语" * 20000 + " ann@host.test"])
+    df = frame(spark, [*TEXTS, None, "", TEXTS[0], "-" * 20000 + " ann@host.test"])
     got = {r.id: r.sanitised for r in pii.sanitise(df, ["id"], "content").collect()}
     n = len(TEXTS)
     assert got["0"] == got[str(n + 2)] == "talked to [PERSON] about it"
     assert got["2"] == "As [PERSON] put it, fine. Mail [EMAIL]"
     assert got["4"] == "本条由[PERSON]确认。[PERSON]说不改。"
     assert got["5"] == TEXTS[5] and got[str(n)] is None and got[str(n + 1)] == ""
-    assert got[str(n + 3)] == "语" * 20000 + " [EMAIL]"
+    assert got[str(n + 3)] == "-" * 20000 + " [EMAIL]"
 
 
 def test_empty(spark):
