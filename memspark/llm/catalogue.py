@@ -1,6 +1,6 @@
 """All queries of the subpackage, and their SQL."""
 
-from memspark.llm import queries
+from memspark.llm import queries, queries_sql
 
 QUERIES = {**queries.QUERIES}
-SQL: dict[str, str] = {}
+SQL = {**queries_sql.SQL}

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import pii
+from memspark.llm.survivors import golden, grouped, same_id, same_text, survivors
 from memspark.llm.vectors import Scan, similar
-from memspark.tables import ref_key, table
+from memspark.tables import micros, ref_key, stripped, table
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,4 +38,38 @@ def p4_sanitised(spark: SparkSession, folder: str) -> DataFrame:
     return pii.sanitise(rows, ["id"], "content").withColumnRenamed("sanitised", "content")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised)}
+def _memories(spark: SparkSession, folder: str) -> DataFrame:
+    f = table(spark, folder, "temporal_fragments")
+    named = F.length(stripped(F.col("location_id"))) > 0
+    filled = [F.col("time_start").isNotNull(), F.col("time_end").isNotNull(), named, F.size("entities") > 0]
+    count = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in filled), F.lit(0))
+    importance = F.when(~F.isnan("importance"), F.col("importance"))
+    keep = [count.alias("filled"), importance.alias("importance"), micros(f, "created_at").alias("created_us"), micros(f, "time_start").alias("start_us"), "entities"]
+    return grouped(f, "id", ["scope", "layer"], [same_id(F.col("fragment_id")), same_text(F.col("content"))], keep)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The survivor of each group of fragments that hold the same memory."""
+    order = [F.desc("filled"), F.desc_nulls_last("importance"), F.desc_nulls_last("created_us"), F.col("id")]
+    return survivors(_memories(spark, folder), "id", order).select("id")
+
+
+def p5_golden(spark: SparkSession, folder: str) -> DataFrame:
+    """The survivor with the best values of its group.
+
+    The latest created_at, the highest importance, and time_start and entities
+    of the best-ranked record that has them.
+    """
+    low = F.lit(-(2**63)).cast("long")
+    rank = F.struct(-F.col("filled"), F.coalesce(-F.col("importance"), F.lit(float("inf"))), -F.coalesce("created_us", low + 1), F.col("id"))
+    has = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, rank))
+    fields = {
+        "created_us": F.max("created_us"),
+        "importance": F.max("importance"),
+        "start_us": has("start_us", F.col("start_us").isNotNull()),
+        "entities": F.array_join(has("entities", F.size("entities") > 0), ","),
+    }
+    return golden(_memories(spark, folder), "id", rank, fields).drop("group")
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised, p5_found, p5_golden)}
