@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import pii
+from memspark.llm.mixing import mix
+from memspark.llm.residue import labelled
 from memspark.llm.survivors import golden, grouped, same_id, same_text, survivors
+from memspark.llm.tokens import counted, encoded
 from memspark.llm.vectors import Scan, similar
 from memspark.tables import micros, ref_key, stripped, table
 
@@ -72,4 +75,35 @@ def p5_golden(spark: SparkSession, folder: str) -> DataFrame:
     return golden(_memories(spark, folder), "id", rank, fields).drop("group")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised, p5_found, p5_golden)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return encoded(table(spark, folder, "documents"), ["doc_id"], "text")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = counted(table(spark, folder, "documents"), ["doc_id", "source"], "text")
+    return mix(sizes, "doc_id", "source", "n_tokens", table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of every mix, with the times each occurs."""
+    return _mixed(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the sources of every mix reach."""
+    return _mixed(spark, folder)[1]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are residue, wholly or in part."""
+    found = labelled(table(spark, folder, "documents"), ["doc_id"], "text")
+    return found.filter("residue IS NOT NULL").select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without residue."""
+    return labelled(table(spark, folder, "documents"), ["doc_id", "source", "n_chars"], "text").filter("residue IS NULL").drop("residue")
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised, p5_found, p5_golden, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)}
