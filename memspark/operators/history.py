@@ -11,26 +11,15 @@ over ranges of (key, time).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memspark.operators.prefix import ranged, spanning
+from memspark.operators.prefix import neighbour, ranged
 from memspark.tables import cut
 
 #: An attribute whose keys change more often than this on average is a fast one.
 FAST_CHANGES = 4.0
 
 
-def _neighbour(df: DataFrame, keys: list[str], order: str, carried: list[str], out: str, forward: bool) -> DataFrame:
-    """df (from ranged()) with `out`: the carried columns of the next (or previous) row of the key, in whichever range it is."""
-    step, end = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
-    here = F.struct(*carried)
-    near = df.withColumn("_near", step(here).over(W.partitionBy(*keys, "_range").orderBy(order)))
-    edges = df.groupBy(*keys, "_range").agg(end(here, F.col(order)).alias("_edge"))
-    far = edges.withColumn("_far", step("_edge").over(W.partitionBy(*keys).orderBy("_range"))).filter("_far is not null").drop("_edge")
-    return spanning(near, far, keys).withColumn(out, F.coalesce("_near", "_far")).drop("_near", "_far")
-
-
 def satellites(updates: DataFrame, keys: list[str], attribute: str, fast_changes: float = FAST_CHANGES) -> DataFrame:
     """keys, at_us, hash, value, ended, satellite (and _range): the rows appended, `ended` marking ends.
 
@@ -43,8 +32,8 @@ def satellites(updates: DataFrame, keys: list[str], attribute: str, fast_changes
     rows = updates.filter("from_us is not null").groupBy(*keys, "from_us").agg(F.max_by(F.struct("to_us", "value"), "rank").alias("at"))
     rows = rows.select(*keys, "from_us", F.when(F.col("at.to_us") > F.col("from_us"), F.col("at.to_us")).alias("until_us"), F.col("at.value").alias("value"))
     rows = ranged(rows.withColumn("hash", F.sha2("value", 256)), keys, ["from_us"])
-    rows = _neighbour(rows, keys, "from_us", ["hash", "until_us"], "prev", forward=False)
-    rows = _neighbour(rows, keys, "from_us", ["from_us"], "next", forward=True)
+    rows = neighbour(rows, keys, "from_us", ["hash", "until_us"], "prev", forward=False)
+    rows = neighbour(rows, keys, "from_us", ["from_us"], "next", forward=True)
     adjoins = F.col("prev").isNotNull() & F.coalesce(F.col("prev.until_us") >= F.col("from_us"), F.lit(True))
     starts = ~(adjoins & F.col("prev.hash").eqNullSafe(F.col("hash")))
     ends = F.col("until_us").isNotNull() & F.coalesce(F.col("until_us") < F.col("next.from_us"), F.lit(True))
@@ -59,5 +48,5 @@ def satellites(updates: DataFrame, keys: list[str], attribute: str, fast_changes
 
 def versions(appended: DataFrame, keys: list[str]) -> DataFrame:
     """keys, value, from_us, to_us (null: no end) of every version, from the rows of satellites()."""
-    rows = _neighbour(appended, keys, "at_us", ["at_us"], "next", forward=True).filter(~F.col("ended"))
+    rows = neighbour(appended, keys, "at_us", ["at_us"], "next", forward=True).filter(~F.col("ended"))
     return rows.select(*keys, "value", "satellite", F.col("at_us").alias("from_us"), F.col("next.at_us").alias("to_us"))

@@ -44,3 +44,13 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out
     local = F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     zero = F.lit(0)
     return spanning(df.withColumn("_local", local), bases, keys).withColumn(out, F.coalesce("_base", zero) + F.coalesce("_local", zero)).drop("_local", "_base", "_range")
+
+
+def neighbour(df: DataFrame, keys: list[str], order: str, carried: list[str], out: str, forward: bool) -> DataFrame:
+    """df (from ranged()) with `out`: the carried columns of the next (or previous) row of the key, in whichever range it is."""
+    step, end = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
+    here = F.struct(*carried)
+    near = df.withColumn("_near", step(here).over(W.partitionBy(*keys, "_range").orderBy(order)))
+    edges = df.groupBy(*keys, "_range").agg(end(here, F.col(order)).alias("_edge"))
+    far = edges.withColumn("_far", step("_edge").over(W.partitionBy(*keys).orderBy("_range"))).filter("_far is not null").drop("_edge")
+    return spanning(near, far, keys).withColumn(out, F.coalesce("_near", "_far")).drop("_near", "_far")
