@@ -20,7 +20,7 @@ def query_terms(text: str, most: int = 16) -> list[str]:
 
 def occurrences(text: Column, term: str) -> Column:
     """How often term occurs in text, overlaps counted; both already in one case."""
-    if term[1:].find(term[0]) < 0:  # can't overlap itself
+    if not any(term.endswith(term[:i]) for i in range(1, len(term))):  # can't overlap itself
         return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
     last = F.length(text) - len(term) + 1
     at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))

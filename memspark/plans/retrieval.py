@@ -13,7 +13,7 @@ from memspark.tables import micros, table
 
 AT, START, END = datetime(2025, 6, 1), datetime(2025, 3, 1), datetime(2025, 4, 1)
 PROJECT, WORDS = "harborlight", "vector index rebuilt 归档搬运"
-LNG, LAT, RADIUS_M, PATH = -100.0, 35.0, 3_000_000.0, "ring0"
+LNG, LAT, RADIUS_M, PATH = -100.0, 35.0, 3_000_000.0, "depot_1"
 
 
 def _t(spark: SparkSession, folder: str, name: str, key: str = "id") -> DataFrame:
@@ -107,10 +107,12 @@ def graph_edges(spark, folder):
 
 
 def graph_path(spark, folder):
-    """A shortest way from the subject to the object furthest apart in arrival of the current triples."""
+    """A shortest way from the first subject that is two steps from another entity to the last such entity."""
     t = table(spark, folder, "triples")
-    ends = graph.edges(t).agg(F.min_by("src", "triple").alias("src"), F.max_by("dst", "triple").alias("dst")).first()
-    return graph.shortest_path(t, ends["src"], ends["dst"], 6)
+    e = graph.edges(t)
+    two = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").filter("src <> end AND src <> dst AND dst <> end")
+    ends = two.agg(F.min_by(F.struct("src", "end"), F.struct("src", "end"))).first()[0]
+    return graph.shortest_path(t, ends["src"], ends["end"], 6)
 
 
 def causal_backward(spark, folder):
