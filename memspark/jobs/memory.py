@@ -94,7 +94,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column("norm").to_pylist():
             p = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
             grams = np.unique((p[:-1] << np.uint64(21)) | p[1:]) if len(p) > 1 else p
-            low = np.array([((grams * x + y) >> np.uint64(16)).min() for x, y in zip(a, b, strict=True)]) if len(grams) else np.zeros(len(a), np.uint64)
+            low = np.full(len(a), 2**64 - 1, np.uint64)
+            for at in range(0, len(grams), 4096):
+                low = np.minimum(low, ((grams[at : at + 4096] * a[:, None] + b[:, None]) >> np.uint64(16)).min(1))
             mixed = (low.reshape(BANDS, BAND_ROWS) * np.array([1, 1000003, 998244353, 1315423911, 2654435761], np.uint64)).sum(1)
             out.append(mixed.astype(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "bands"])
