@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memspark.operators.components import components
+from memspark.tables import cut
 
 
 def same_id(c: Column) -> Column:
@@ -31,7 +32,7 @@ def grouped(df: DataFrame, key: str, within: list[str], keys: list[Column], keep
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), first.alias("first"), second.alias("second"), *keep)
     rows = rows.withColumn("_node", F.coalesce("first", "second", F.concat(F.lit("id:"), F.col("_id"))))
     names = [c for c in rows.columns if c not in ("_id", "first")]
-    rows = rows.groupBy("_id").agg(F.max(F.struct(*names)).alias("r")).select("_id", "r.*")
+    rows = cut(rows.groupBy("_id").agg(F.max(F.struct(*names)).alias("r")).select("_id", "r.*"))
     # a record's first key is a node; records of one second key form a star around the least of their nodes
     pairs = rows.filter("second is not null").select("_node", "second").distinct()
     least = pairs.groupBy("second").agg(F.min("_node").alias("_least"), F.count("*").alias("n")).filter("n > 1")
