@@ -90,6 +90,8 @@ SURE = [
 ]
 DOUBTFUL = [r"\?\?\?", r"_{4,}", r"%[sd](?![A-Za-z0-9])", r"\{[^\W\d][\w ]{0,30}\}", r"\{\d\}", r"(?<![A-Za-z0-9_])(?:undefined|NaN|TBD)(?![A-Za-z0-9_])", r"某某某"]
 
+#: How every sure form begins or what it holds: without one of these no text needs the search for the forms.
+_SURE_HINT = re.compile(r"\{ ?\{|\{%|<%|\$\{|#\{|@@|%\(|%[A-Z]|__[A-Z]|\$[A-Z]|«|&lt;|<[A-Z]{3}|<[\w ]{2,30} (?:goes here|ergänzen)>|\[insert|\[[A-Z]{2}|TBD_|\[(?:Name|Datum|Titel|Ort|Text|Firma)|【请|[（(]此处|XXXX|TT\.|××|YYYY|\[object|XX项")
 _SURE, _DOUBTFUL = re.compile("|".join(SURE)), re.compile("|".join(DOUBTFUL))
 _QUOTED = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|„[^“”\n]{1,80}[“”]")
 _MARKS = re.compile(r"<\|[a-z_]{2,30}\|>")
@@ -102,20 +104,35 @@ _AGAIN = re.compile(r"([a-z㐀-鿿]{1,12}?)(?:[ ,.]*(?:\d+ )?\1){2,}")
 _HTTP = "\x03"
 
 
-def _terms(window: str) -> list[str]:
-    """Words, Han characters, placeholders (\\x01 sure, \\x02 doubtful), status codes (\\x03), numbers (0), repetition (*)."""
+def _words(low: str) -> list[str]:
+    """Words, numbers, Han characters and placeholders of a text in lower case, in order."""
+    return _TERM.findall(low)
+
+
+def _kinds(words: set[str]) -> set[str]:
+    """The same with status codes as \x03 and other numbers as 0."""
+    return {t if t[0] > "9" or t[0] < "0" else _HTTP if len(t) == 3 and t[0] in "45" else "0" for t in words}
+
+
+def _terms(window: str) -> tuple[list[str], set[str]]:
+    """The words of a window and its terms: their kinds, and * if it is mostly one thing again and again."""
     low = window.lower()
-    out = [_HTTP if len(t) == 3 and t[0] in "45" and t.isdigit() else "0" if t.isdigit() else t for t in _TERM.findall(low)]
-    if len(out) >= 3 and 2 * len(set(out)) <= len(out) and (m := _AGAIN.search(low)) and 2 * (m.end() - m.start()) > len(low.strip()):
-        out.append("*")
-    return out
+    words = _words(low)
+    unlike = set(words)
+    terms = _kinds(unlike)
+    if len(words) >= 3 and 2 * len(unlike) <= len(words) + 1 and (m := _AGAIN.search(low)) and 2 * (m.end() - m.start()) > len(low.strip()):
+        terms.add("*")
+    return words, terms
 
 
 def _bare(text: str) -> str:
     """text with placeholders as \\x01 and \\x02, without marks, strays and what is quoted."""
     text = _STRAY.sub("", _MARKS.sub("", text))
-    text = _DOUBTFUL.sub("\x02", _SURE.sub("\x01", _QUOTED.sub(" \x04 ", text) if "`" in text or '"' in text or "“" in text or "„" in text else text))
-    return text.translate(_NARROW)
+    if "`" in text or '"' in text or "“" in text or "„" in text:
+        text = _QUOTED.sub(" \x04 ", text)
+    if _SURE_HINT.search(text):
+        text = _SURE.sub("\x01", text)
+    return _DOUBTFUL.sub("\x02", text).translate(_NARROW)
 
 
 def windows(text: str) -> list[str]:
@@ -130,7 +147,7 @@ class Index:
         self.labels, self.terms, by = [], [], defaultdict(list)
         for label, texts in EXEMPLARS.items():
             for t in texts:
-                own = frozenset(_terms(t.replace("{}", "\x01").replace("000", "7")) if '"error"' not in t else _terms(t.replace('"', "")))
+                own = frozenset(_terms(t.replace("{}", "\x01").replace("000", "7").replace('"', ""))[1])
                 for term in own:
                     by[term].append(len(self.terms))
                 self.labels.append(label)
@@ -158,10 +175,10 @@ class Index:
 
     def label(self, window: str, rule: Coverage) -> str | None:
         """The label of the residue that a window is, if it is any."""
-        terms = _terms(window)
+        words, terms = _terms(window)
         if not terms:
             return None
-        own = frozenset("\x01" if t == "\x02" else t for t in terms)
+        own = terms - {"\x02"} | {"\x01"} if "\x02" in terms else terms
         near = {e for t in own & self.anchors.keys() for e in self.anchors[t]}
         best, mention, name = 0.0, 0.0, None
         if near:
@@ -175,7 +192,7 @@ class Index:
                     best, name = inside, self.labels[e]
         if "\x01" in terms and mention < rule.bare:
             return "template"
-        words = [t for t in terms if len(t) > 1]
+        words = [t for t in words if len(t) > 1]
         if len(words) >= rule.words and sum(t in self.filler for t in words) >= rule.filler * len(words) and len(set(words)) > 1:
             return "filler"
         return name if best >= mention else None
@@ -203,7 +220,7 @@ def frequencies(df: DataFrame, text: str) -> tuple[int, dict[str, int]]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 n += 1
-                seen.update(index.vocabulary.intersection(_terms(_bare(t))) if t else ())
+                seen.update(index.vocabulary & _kinds(set(_words(t.lower()))) if t else ())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
