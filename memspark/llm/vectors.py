@@ -107,18 +107,25 @@ def _assign(c: np.ndarray, scan: Scan):
     reach = math.sqrt(max(0.0, 2 - 2 * scan.min_sim)) * min(1.0, scan.border_z / math.sqrt(scan.dim))
     width = min(scan.probes, len(c))
 
+    step = max(1, (1 << 21) // len(c))  # rows at a time: what is held doesn't grow with the number of lists
+
+    def placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = x @ c.T - half
+        home = score.argmax(1)
+        row = np.arange(len(x))
+        border = (score[row, home][:, None] - score) / apart[home]
+        border[row, home] = -1
+        near = np.argpartition(border, width - 1, axis=1)[:, :width] if width < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        kept = np.take_along_axis(border, near, 1) <= reach
+        return home, near[kept], kept.sum(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("vec"), scan.dim)
-            score = x @ c.T - half
-            home = score.argmax(1)
-            row = np.arange(len(x))
-            border = (score[row, home][:, None] - score) / apart[home]
-            border[row, home] = -1
-            near = np.argpartition(border, width - 1, axis=1)[:, :width] if width < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-            kept = np.take_along_axis(border, near, 1) <= reach
-            ends = np.concatenate([[0], np.cumsum(kept.sum(1))]).astype(np.int32)
-            visits = pa.ListArray.from_arrays(ends, near[kept].astype(np.int32))
+            if len(x) == 0:
+                continue
+            home, near, sizes = map(np.concatenate, zip(*[placed(x[a : a + step]) for a in range(0, len(x), step)], strict=True))
+            visits = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), near.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(home.astype(np.int32)), visits], ["id", "vec", "home", "visits"])
 
     return run
