@@ -133,3 +133,14 @@ class Memory:
     def recall(self, r: Request) -> DataFrame:
         """keys, used, truncated: what of the context fits the budget, in order."""
         return fusion.greedy_fill(self.context(r).withColumn("one", F.lit(1)), ["one"], ["place"], "tokens", "key", r.budget).drop("one")
+
+    def browse(self, layer: str | None = None, keyword: str | None = None, scope: ScopeFilter | None = None, limit: int = 50) -> DataFrame:
+        """id, kind, layer, scope, text, at of memories, the latest first: fragments, triples (as L2) and entities (as L1)."""
+        f, t, e = self.tables["temporal_fragments"], self.tables["triples"], self.tables["entities"]
+        thing = F.coalesce(F.when(F.length("object_id") > 0, F.col("object_id")), F.col("object_value"), F.lit("?"))
+        rows = f.select("id", F.lit("fragment").alias("kind"), "layer", "scope", F.col("content").alias("text"), F.col("updated_at").alias("at"))
+        rows = rows.unionByName(t.select("id", F.lit("triple").alias("kind"), F.lit("L2").alias("layer"), "scope", F.concat_ws(" ", "subject_id", "predicate", thing).alias("text"), F.col("valid_from").alias("at")))
+        rows = rows.unionByName(e.select("id", F.lit("entity").alias("kind"), F.lit("L1").alias("layer"), "scope", F.col("name").alias("text"), F.col("valid_from").alias("at")))
+        for wanted in (None if layer is None else F.col("layer") == layer, None if keyword is None else search.keyword_like(F.col("text"), keyword), self._scope(scope)):
+            rows = rows if wanted is None else rows.filter(wanted)
+        return rows.orderBy(F.desc_nulls_last("at"), "id").limit(limit)

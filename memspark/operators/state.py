@@ -43,3 +43,18 @@ def write_conflicts(triples: DataFrame, incoming: DataFrame) -> DataFrame:
     open_ = triples.filter("valid_to IS NULL").select(*KEY, F.coalesce("object_id", "object_value").alias("existing_value"), F.col("id").alias("existing"))
     found = incoming.join(open_, KEY).filter(~F.col("value").eqNullSafe(F.col("existing_value")))
     return found.groupBy(*KEY, "value").agg(F.min("existing").alias("existing"))
+
+
+def merged_maps(base: str, ours: str, theirs: str, prefer: str = "theirs"):
+    """Three-way merge of map columns: a change of one side is taken, of both the preferred one; a key that a side removed and the other left is gone."""
+    if prefer not in ("ours", "theirs"):
+        raise ValueError(f"no side: {prefer!r}")
+    b, o, t = (F.coalesce(F.col(c), F.create_map().cast("map<string,string>")) for c in (base, ours, theirs))
+    keys = F.array_distinct(F.concat(F.map_keys(b), F.map_keys(o), F.map_keys(t)))
+
+    def value(k):
+        x, y, z = (F.try_element_at(m, k) for m in (b, o, t))
+        mine, other = ~y.eqNullSafe(x), ~z.eqNullSafe(x)
+        return F.when(mine & other, z if prefer == "theirs" else y).when(mine, y).when(other, z).otherwise(x)
+
+    return F.map_from_entries(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))), lambda e: e["value"].isNotNull()))

@@ -242,4 +242,25 @@ def rerank_scaled(spark, folder):
     return fusion.rerank_scale(f, ["layer"], "importance", "place").select("id", "layer", F.round("scaled", 9).alias("scaled"))
 
 
+def memory_browse(spark, folder):
+    """The 100 latest memories of one project and global that mention a word."""
+    from memspark.engine import Memory
+
+    rows = Memory.open(spark, folder).browse(keyword="index", scope=project_scope(PROJECT), limit=100)
+    return rows.select("id", "kind", "layer", "text")
+
+
+def hit_rates(spark, folder):
+    """How often the five most important fragments of a scope name a place that its very important ones of a layer name; medians of importance."""
+    from memspark.operators.metrics import hit_at_k, nearest_rank
+
+    f = _t(spark, folder, "temporal_fragments")
+    gold = f.filter("location_id IS NOT NULL AND importance > 0.9").select(F.col("scope").alias("query"), F.col("location_id").alias("key"), "layer").distinct()
+    from pyspark.sql import Window as W
+
+    found = f.filter("location_id IS NOT NULL").select(F.col("scope").alias("query"), F.col("location_id").alias("key"), F.row_number().over(W.partitionBy("scope").orderBy(F.desc_nulls_last("importance"), "id")).alias("rank"))
+    rates = hit_at_k(found, gold, 5, ["layer"])
+    return rates.join(f.groupBy("layer").agg(*nearest_rank("importance", 0.5, 0.99)), "layer")
+
+
 QUERIES = {n: q for n, q in globals().items() if callable(q) and getattr(q, "__module__", "") == __name__ and not n.startswith("_")}
