@@ -52,10 +52,6 @@ EXEMPLARS = {
         "测试测试测试测试", "内容待填写", "Blindtext Blindtext Blindtext", "Beispieltext folgt.", "Bitte diesen Absatz ersetzen.", "Hier steht später der richtige Text.", "Platzhaltertext", "Text folgt",
     ],
     "error": [
-        "400 Bad Request", "401 Unauthorized", "403 Forbidden", "404 Not Found", "408 Request Timeout", "410 Gone", "429 Too Many Requests", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Time-out",
-        "Bad Request", "Unauthorized", "Forbidden", "Not Found", "Gone", "Internal Server Error", "Bad Gateway", "Service Unavailable", "Error 400: Bad Request", "Error 401: Unauthorized", "Error 403: Forbidden", "Error 404: Not Found", "Error 410: Gone", "Error 429: Too Many Requests", "Error 500: Internal Server Error", "Error 502: Bad Gateway", "Error 503: Service Unavailable",
-        "Status 400 (bad request).", "Status 401 (unauthorized).", "Status 403 (forbidden).", "Status 404 (not found).", "Status 410 (gone).", "Status 429 (too many requests).", "Status 500 (internal server error).", "Status 502 (bad gateway).", "Status 503 (service unavailable).",
-        "server said: 400 Bad Request", "server said: 401 Unauthorized", "server said: 403 Forbidden", "server said: 404 Not Found", "server said: 410 Gone", "server said: 429 Too Many Requests", "server said: 500 Internal Server Error", "server said: 502 Bad Gateway", "server said: 503 Service Unavailable",
         "HTTP ERROR 503 - the service is unavailable right now.", "the service behind this page closed the line early (timeout)", "the service behind this page closed the line early (overflow)", '{"error": {"code": 404, "message": "resource not found"}}',
         "504 Gateway Time-out nginx", "Access denied", "You do not have permission to open this note.", "You do not have permission to view this page", "Your session has expired. Please sign in again.", "Your session has expired.", "Please sign in again.", "Please log in to continue",
         "We can't find that page.", "The page you asked for is gone or never existed.", "The page you requested could not be found", "Oops! Something went wrong on our side.", "Something went wrong", "Something went wrong on our side.", "Too many requests. Slow down and retry later.", "Too many requests.", "Slow down and retry later.", "Try again in 000 seconds.",
@@ -77,6 +73,10 @@ EXEMPLARS = {
         "Die Meldung 404 trat nach dem Umzug 000-mal auf und ist behoben.", "Im Muster wird {} erst beim Speichern ersetzt.", "Der Hinweis „Bitte JavaScript aktivieren“ erscheint nur noch einmal.", "The error page was shown to users until the fix", "log.info prints {} rows kept after the merge.",
     ],
 }
+# The status lines that servers send, and the forms in which pages show them.
+STATUS = {400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 408: "Request Timeout", 410: "Gone", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Time-out"}
+STATUS_FORMS = ["{code} {text}", "{text}", "Error {code}: {text}", "Status {code} ({text}).", "server said: {code} {text}"]
+EXEMPLARS["error"] += [f.format(code=c, text=t) for c, t in STATUS.items() for f in STATUS_FORMS]
 # Words of filler Latin, classical and invented.
 FILLER_WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
