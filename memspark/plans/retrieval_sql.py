@@ -99,10 +99,10 @@ UNION ALL SELECT i.layer, i.place, CASE WHEN used + tokens <= 2800 THEN used + t
 SELECT layer, keys, used, truncated FROM fill QUALIFY row_number() OVER (PARTITION BY layer ORDER BY place DESC) = 1""",
     "rerank_scaled": f"""WITH {_F}, {_PLACED}, p AS (SELECT *, min(importance) FILTER (place <= 50) OVER (PARTITION BY layer) AS lo, max(importance) FILTER (place <= 50) OVER (PARTITION BY layer) AS hi FROM placed WHERE place <= 80)
 SELECT id, layer, round(CASE WHEN place > 50 THEN least(importance, 0.0) WHEN hi = lo THEN 1.0 ELSE (importance - lo) / (hi - lo) END, 9) AS scaled FROM p""",
-    "memory_browse": f"""WITH m AS (SELECT id, 'fragment' AS kind, layer, scope, content AS text, updated_at AS at FROM (SELECT * FROM temporal_fragments {_ONE})
+    "memory_browse": f"""WITH m AS (SELECT id, 'fragment' AS kind, layer, scope, content AS text, updated_at AS row_time FROM (SELECT * FROM temporal_fragments {_ONE})
 UNION ALL SELECT id, 'triple', 'L2', scope, concat_ws(' ', subject_id, predicate, coalesce(CASE WHEN length(object_id) > 0 THEN object_id END, object_value, '?')), valid_from FROM (SELECT * FROM triples {_ONE})
 UNION ALL SELECT id, 'entity', 'L1', scope, name, valid_from FROM (SELECT * FROM entities {_ONE}))
-SELECT id, kind, layer, text FROM m WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%index%' AND {_MINE} ORDER BY at DESC NULLS LAST, id LIMIT 100""",
+SELECT id, kind, layer, text FROM m WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%index%' AND {_MINE} ORDER BY row_time DESC NULLS LAST, id LIMIT 100""",
     "hit_rates": f"""WITH {_F}, gold AS (SELECT DISTINCT scope AS q, location_id AS k, layer FROM f WHERE location_id IS NOT NULL AND importance > 0.9),
 found AS (SELECT scope AS q, location_id AS k, row_number() OVER (PARTITION BY scope ORDER BY importance DESC NULLS LAST, id) AS rank FROM f WHERE location_id IS NOT NULL),
 each AS (SELECT q, layer, max(CASE WHEN (q, k) IN (SELECT (q, k) FROM found WHERE rank <= 5) THEN 1 ELSE 0 END) AS hit FROM gold GROUP BY q, layer)
