@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from memspark.functions.text import bigrams, compact, jaccard, rule_summary
 from memspark.operators.components import components
 from memspark.operators.prefix import neighbour, ranged
-from memspark.tables import cut, micros
+from memspark.tables import cut, micros, spread
 
 # What marks texts made by a job.
 CONSOLIDATED, SUMMARY, SUMMARY_ID = "【聚合】", "【摘要】", ":summary"
@@ -111,8 +111,8 @@ def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int
     is linear in the classes; components() over the links gives the groups.
     """
     rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm")).filter(F.length("norm") >= shortest)
-    classes = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id"))
-    signed = cut(classes.select("id", "scope", "layer", "norm").mapInArrow(_signed, "id string, scope string, layer string, norm string, bands array<bigint>"))
+    made = spread(rows).mapInArrow(_signed, "id string, scope string, layer string, norm string, bands array<bigint>")
+    signed = cut(made.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     banded = signed.select("id", "scope", "layer", "bands", F.posexplode("bands").alias("band", "hash"))
     further = F.array_join(F.concat(F.slice("bands", F.col("band") + 2, BANDS), F.slice("bands", F.lit(1), F.col("band"))), ",")
     banded = banded.select("scope", "layer", "band", "hash", F.md5(further).alias("further"), "id")
@@ -133,11 +133,12 @@ def dedup(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) ->
     One row per group of two or more: survivor (least created_at, then id),
     members. Protected fragments take no part.
     """
-    rows = fragments.filter(F.coalesce(F.col("importance") < PROTECTED, F.lit(True))).dropDuplicates(["id"])
+    open_ = fragments.filter(F.coalesce(F.col("importance") < PROTECTED, F.lit(True)))
+    rows = open_.dropDuplicates(["id"])
     norm = compact(F.col("content"))
     rows = rows.withColumn("norm", norm).filter(F.length("norm") >= shortest)
     reps = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("rep"))
-    linked = components(near_duplicates(rows, similarity, shortest), "a", "b")
+    linked = components(near_duplicates(open_, similarity, shortest), "a", "b")
     groups = rows.join(reps, ["scope", "layer", "norm"]).join(linked, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
     order = F.struct(F.coalesce(micros(fragments, "created_at"), F.lit(2**62)), F.col("id"))
     made = groups.groupBy("group").agg(
@@ -149,9 +150,10 @@ def dedup(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) ->
 
 def dedup_members(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) -> DataFrame:
     """id, group: every fragment long enough with the least id of its group (alone: its own)."""
-    rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm"), "content").filter(F.length("norm") >= shortest).dropDuplicates(["id"])
+    open_ = fragments
+    rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm")).filter(F.length("norm") >= shortest).dropDuplicates(["id"])
     reps = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("rep"))
-    linked = components(near_duplicates(rows, similarity, shortest), "a", "b")
+    linked = components(near_duplicates(open_, similarity, shortest), "a", "b")
     return rows.join(reps, ["scope", "layer", "norm"]).join(linked, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("group"))
 
 

@@ -41,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, read straight from files, in as many partitions at least as tasks run at once.
+
+    A table of few small files would otherwise give Python work to a few
+    tasks. Larger tables have more splits than that and are left alone.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970-01-01 00:00 of a time column, whatever the session's time zone."""
     c = F.col(name)
