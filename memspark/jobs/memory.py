@@ -106,7 +106,7 @@ def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int
     """a, b, jaccard: links between different texts of one scope and layer whose bigram sets are that similar.
 
     Equal normalised texts are one class (its least id stands for it). Classes
-    that share a MinHash band are sorted there by their further bands and each
+    that share a MinHash band are sorted there by their next two bands and each
     is compared with the one before it and the first of the band, so the work
     is linear in the classes; components() over the links gives the groups.
     """
@@ -114,10 +114,10 @@ def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int
     made = spread(rows).mapInArrow(_signed, "id string, scope string, layer string, norm string, bands array<bigint>")
     signed = cut(made.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     banded = signed.select("id", "scope", "layer", "bands", F.posexplode("bands").alias("band", "hash"))
-    further = F.array_join(F.concat(F.slice("bands", F.col("band") + 2, BANDS), F.slice("bands", F.lit(1), F.col("band"))), ",")
-    banded = banded.select("scope", "layer", "band", "hash", F.md5(further).alias("further"), "id")
+    later = lambda i: F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1)
+    banded = banded.select("scope", "layer", "band", "hash", F.struct(later(1).alias("b1"), later(2).alias("b2"), F.col("id").alias("id")).alias("order"), "id")
     keys = ["scope", "layer", "band", "hash"]
-    placed = ranged(banded.withColumn("order", F.concat_ws("|", "further", "id")), keys, ["order"])
+    placed = ranged(banded, keys, ["order"])
     beside = neighbour(placed, keys, "order", ["id"], "before", forward=False).filter("before IS NOT NULL").select("id", F.col("before.id").alias("other"))
     firsts = placed.groupBy(*keys).agg(F.min_by("id", "order").alias("other"), F.count("*").alias("n")).filter("n > 2").drop("n")
     starred = placed.join(firsts, keys).filter("id != other").select("id", "other")
