@@ -90,7 +90,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = r.integers(1, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
     a |= np.uint64(1)
     for batch in batches:
-        out = []
+        out, sizes = [], []
         for t in batch.column("norm").to_pylist():
             p = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
             grams = np.unique((p[:-1] << np.uint64(21)) | p[1:]) if len(p) > 1 else p
@@ -99,7 +99,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = np.minimum(low, ((grams[at : at + 4096] * a[:, None] + b[:, None]) >> np.uint64(16)).min(1))
             mixed = (low.reshape(BANDS, BAND_ROWS) * np.array([1, 1000003, 998244353, 1315423911, 2654435761], np.uint64)).sum(1)
             out.append(mixed.astype(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "bands"])
+            sizes.append(len(grams))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=[*batch.schema.names, "bands", "n"])
 
 
 def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) -> DataFrame:
@@ -111,17 +112,19 @@ def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int
     is linear in the classes; components() over the links gives the groups.
     """
     rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm")).filter(F.length("norm") >= shortest)
-    made = spread(rows).mapInArrow(_signed, "id string, scope string, layer string, norm string, bands array<bigint>")
-    signed = cut(made.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-    banded = signed.select("id", "scope", "layer", "bands", F.posexplode("bands").alias("band", "hash"))
+    made = spread(rows).mapInArrow(_signed, "id string, scope string, layer string, norm string, bands array<bigint>, n int")
+    signed = cut(made.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
+    banded = signed.select("id", "n", "scope", "layer", "bands", F.posexplode("bands").alias("band", "hash"))
     later = lambda i: F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1)
-    banded = banded.select("scope", "layer", "band", "hash", F.struct(later(1).alias("b1"), later(2).alias("b2"), F.col("id").alias("id")).alias("order"), "id")
+    banded = banded.select("scope", "layer", "band", "hash", F.struct(later(1).alias("b1"), later(2).alias("b2"), F.col("id").alias("id")).alias("order"), "id", "n")
     keys = ["scope", "layer", "band", "hash"]
     placed = ranged(banded, keys, ["order"])
-    beside = neighbour(placed, keys, "order", ["id"], "before", forward=False).filter("before IS NOT NULL").select("id", F.col("before.id").alias("other"))
-    firsts = placed.groupBy(*keys).agg(F.min_by("id", "order").alias("other"), F.count("*").alias("n")).filter("n > 2").drop("n")
-    starred = placed.join(firsts, keys).filter("id != other").select("id", "other")
-    pairs = beside.unionByName(starred).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    beside = neighbour(placed, keys, "order", ["id", "n"], "other", forward=False).filter("other IS NOT NULL").select("id", "n", "other")
+    firsts = placed.groupBy(*keys).agg(F.min_by(F.struct("id", "n"), "order").alias("other"), F.count("*").alias("size")).filter("size > 2").drop("size")
+    starred = placed.join(firsts, keys).filter("id != other.id").select("id", "n", "other")
+    # sets whose sizes differ by more can't be that similar
+    pairs = beside.unionByName(starred).filter(F.least("n", "other.n") >= similarity * F.greatest("n", "other.n"))
+    pairs = pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
     text = lambda n: signed.select(F.col("id").alias(n), bigrams(F.col("norm")).alias(f"g{n}"))
     scored = pairs.join(text("a"), "a").join(text("b"), "b").withColumn("jaccard", jaccard(F.col("ga"), F.col("gb")))
     return scored.filter(F.col("jaccard") >= similarity).select("a", "b", "jaccard")
