@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.tables import cut
+from memspark.tables import cut, spread
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def _candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
             made = [[dict(zip(("a", "b", "kind", "terms", "cued"), c, strict=True)) for c in candidates(t)] if t else [] for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(made, _ARROW)], [*keep, "spans"])
 
-    return cut(rows.mapInArrow(run, ", ".join([*fields, f"spans array<{SPAN}>"])).withColumn("uid", F.monotonically_increasing_id()))
+    return cut(spread(rows).mapInArrow(run, ", ".join([*fields, f"spans array<{SPAN}>"])).withColumn("uid", F.monotonically_increasing_id()))
 
 
 def disclosing_terms(made: DataFrame, df: DataFrame, text: str, rule: Disclosure) -> DataFrame:

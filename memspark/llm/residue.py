@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.tables import spread
+
 
 @dataclass(frozen=True)
 class Coverage:
@@ -224,7 +226,7 @@ def frequencies(df: DataFrame, text: str) -> tuple[int, dict[str, int]]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
-    rows = df.select(F.col(text).alias("_text")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = spread(df.select(F.col(text).alias("_text"))).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r.term: r.n for r in rows}
     return counts.pop("", 0), counts
 
@@ -246,4 +248,4 @@ def labelled(df: DataFrame, keep: list[str], text: str, rule: Coverage = Coverag
             found = [next(filter(None, (index.label(w, rule) for w in windows(t))), None) if t else None for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(found, pa.string())], [*keep, "residue"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "residue string"]))
+    return spread(rows).mapInArrow(run, ", ".join([*fields, "residue string"]))

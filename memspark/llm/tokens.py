@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from memspark.tables import spread
+
 #: Where the public vocabulary lies; every function takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces a worker remembers before it forgets all.
@@ -204,7 +206,7 @@ def _mapped(df: DataFrame, keep: list[str], text: str, vocabulary: str, columns:
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*kept, *make(bpe, texts)], [*keep, *columns])
 
-    return rows.mapInArrow(run, ", ".join([*fields, *[f"{c} {t}" for c, t in columns.items()]]))
+    return spread(rows).mapInArrow(run, ", ".join([*fields, *[f"{c} {t}" for c, t in columns.items()]]))
 
 
 def encoded(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY, offsets: bool = False) -> DataFrame:
