@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import numpy as np
@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memspark.functions.text import bigrams, compact, jaccard, rule_summary
+from memspark.functions.text import compact, rule_summary
 from memspark.operators.components import components
-from memspark.operators.prefix import neighbour, ranged
-from memspark.tables import cut, micros, spread
+from memspark.operators.prefix import prefix_sum
+from memspark.tables import cut, micros
 
 # What marks texts made by a job.
 CONSOLIDATED, SUMMARY, SUMMARY_ID = "【聚合】", "【摘要】", ":summary"
@@ -66,8 +66,6 @@ def over_capacity(fragments: DataFrame, now: datetime, cap: int) -> DataFrame:
     """
     rows = fragments.select("scope", "id", "importance", retention(fragments, now).alias("score")).dropDuplicates(["id"])
     excess = rows.groupBy("scope").agg((F.count("*") - cap).alias("excess")).filter("excess > 0")
-    from memspark.operators.prefix import prefix_sum
-
     open_ = rows.filter(F.coalesce(F.col("importance") < PROTECTED, F.lit(True))).join(excess, "scope").withColumn("one", F.lit(1).cast("long"))
     return prefix_sum(open_, ["scope"], ["score", "id"], "one", "before").filter("before < excess").select("scope", "id")
 
@@ -81,53 +79,92 @@ def summarize(fragments: DataFrame, layer: str = "L1", longer: int = 500, length
     return first.select(F.sha2(F.concat_ws("|", F.lit("summary"), "s.id"), 256).alias("id"), F.col("summary_id").alias("fragment_id"), F.concat(F.lit(SUMMARY), rule_summary(F.col("s.content"), length)).alias("content"), "s.scope", "s.layer", "s.importance", F.col("s.id").alias("source_id"))
 
 
-BANDS, BAND_ROWS = 24, 5
+#: Columns of the incidence matrices that are multiplied at a time.
+COLUMNS = 4096
+
+
+def _grams(text: str) -> np.ndarray:
+    """The distinct pairs of neighbouring characters as numbers, sorted; of a single character itself."""
+    p = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique((p[:-1] << np.uint64(21)) | p[1:]) if len(p) > 1 else p
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band hashes of the sets of bigrams: minima under multiply-shift hashes."""
-    r = np.random.default_rng(7)
-    a, b = r.integers(1, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
-    a |= np.uint64(1)
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, the number of distinct bigrams of every norm."""
     for batch in batches:
-        out, sizes = [], []
-        for t in batch.column("norm").to_pylist():
-            p = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            grams = np.unique((p[:-1] << np.uint64(21)) | p[1:]) if len(p) > 1 else p
-            low = np.full(len(a), 2**64 - 1, np.uint64)
-            for at in range(0, len(grams), 4096):
-                low = np.minimum(low, ((grams[at : at + 4096] * a[:, None] + b[:, None]) >> np.uint64(16)).min(1))
-            mixed = (low.reshape(BANDS, BAND_ROWS) * np.array([1, 1000003, 998244353, 1315423911, 2654435761], np.uint64)).sum(1)
-            out.append(mixed.astype(np.int64).tolist())
-            sizes.append(len(grams))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=[*batch.schema.names, "bands", "n"])
-
-
-def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) -> DataFrame:
-    """a, b, jaccard: links between different texts of one scope and layer whose bigram sets are that similar.
-
-    Equal normalised texts are one class (its least id stands for it). Classes
-    that share a MinHash band are sorted there by their next two bands and each
-    is compared with the one before it and the first of the band, so the work
-    is linear in the classes; components() over the links gives the groups.
+        n = pa.array([len(_grams(t)) for t in batch.column("norm").to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, "n"])
+
+
+def _scored(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Every pair of a block (side 0 alone) or of two blocks (side 0 with side 1) that is that similar."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, sides = np.array(rows.column("id").to_pylist(), object), np.array(rows.column("side").to_pylist())
+        grams = [_grams(t) for t in rows.column("norm").to_pylist()]
+        left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        alone = not len(right)
+        right = left if alone else right
+        sizes = np.array([len(g) for g in grams])
+        place = np.zeros(len(ids), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        _, column = np.unique(np.concatenate(grams), return_inverse=True)
+        # only bigrams that both sides have (or two texts of one side) add to an intersection
+        of = sides[owner]
+        counts = [np.bincount(column[of == k], minlength=column.max(initial=-1) + 1) for k in (0, 1)]
+        shared = counts[0] > 1 if alone else (counts[0] > 0) & (counts[1] > 0)
+        number = np.cumsum(shared) - 1
+        kept = shared[column]
+        owner, column = owner[kept], number[column[kept]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float64)
+        for c in range(0, int(shared.sum()), COLUMNS):
+            at = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+            o, k = owner[at], column[at] - c
+            a = np.zeros((len(left), COLUMNS), np.float32)
+            a[place[o[sides[o] == 0]], k[sides[o] == 0]] = 1
+            b = a
+            if not alone:
+                b = np.zeros((len(right), COLUMNS), np.float32)
+                b[place[o[sides[o] == 1]], k[sides[o] == 1]] = 1
+            both += a @ b.T
+        score = both / np.maximum(sizes[left][:, None] + sizes[right][None, :] - both, 1)
+        x, y = np.nonzero(np.triu(score >= similarity, 1) if alone else score >= similarity)
+        one, two = ids[left[x]], ids[right[y]]
+        swap = one > two
+        return pa.table({"a": pa.array(np.where(swap, two, one), pa.string()), "b": pa.array(np.where(swap, one, two), pa.string()), "jaccard": pa.array(score[x, y], pa.float64())})
+
+    return run
+
+
+def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12, block: int = 1 << 18) -> DataFrame:
+    """a, b, jaccard: all links between different texts of one scope and layer whose bigram sets are that similar.
+
+    Equal normalised texts are one class (its least id stands for it). The
+    classes of a scope and layer stand in order of the size of their sets, in
+    blocks of about `block` characters (a class counts as 256 at least); every
+    two blocks whose sizes allow the similarity are compared whole, a task's
+    work being bounded by the block. No pair is left out: the work is quadratic
+    in the classes of like size of one scope and layer.
     """
     rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm")).filter(F.length("norm") >= shortest)
-    made = spread(rows).mapInArrow(_signed, "id string, scope string, layer string, norm string, bands array<bigint>, n int")
-    signed = cut(made.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n")))
-    banded = signed.select("id", "n", "scope", "layer", "bands", F.posexplode("bands").alias("band", "hash"))
-    later = lambda i: F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1)
-    banded = banded.select("scope", "layer", "band", "hash", F.struct(later(1).alias("b1"), later(2).alias("b2"), F.col("id").alias("id")).alias("order"), "id", "n")
-    keys = ["scope", "layer", "band", "hash"]
-    placed = ranged(banded, keys, ["order"])
-    beside = neighbour(placed, keys, "order", ["id", "n"], "other", forward=False).filter("other IS NOT NULL").select("id", "n", "other")
-    firsts = placed.groupBy(*keys).agg(F.min_by(F.struct("id", "n"), "order").alias("other"), F.count("*").alias("size")).filter("size > 2").drop("size")
-    starred = placed.join(firsts, keys).filter("id != other.id").select("id", "n", "other")
+    made = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id")).select("id", "scope", "layer", "norm")
+    sized = made.mapInArrow(_sized, "id string, scope string, layer string, norm string, n int").withColumn("weight", F.greatest(F.length("norm"), F.lit(256)).cast("long"))
+    placed = cut(prefix_sum(sized, ["scope", "layer"], ["n", "id"], "weight", "before").select("id", "scope", "layer", "norm", "n", F.floor(F.col("before") / block).alias("block")))
+    blocks = placed.groupBy("scope", "layer", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("classes"))
+    one, two = [blocks.select([F.col(c).alias(f"{c}{i}") for c in blocks.columns]) for i in (0, 1)]
     # sets whose sizes differ by more can't be that similar
-    pairs = beside.unionByName(starred).filter(F.least("n", "other.n") >= similarity * F.greatest("n", "other.n"))
-    pairs = pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
-    text = lambda n: signed.select(F.col("id").alias(n), bigrams(F.col("norm")).alias(f"g{n}"))
-    scored = pairs.join(text("a"), "a").join(text("b"), "b").withColumn("jaccard", jaccard(F.col("ga"), F.col("gb")))
-    return scored.filter(F.col("jaccard") >= similarity).select("a", "b", "jaccard")
+    like = (F.col("block0") <= F.col("block1")) & (F.col("high0") >= similarity * F.col("low1"))
+    pairs = one.join(two, F.col("scope0").eqNullSafe(F.col("scope1")) & F.col("layer0").eqNullSafe(F.col("layer1")) & like)
+    pairs = cut(pairs.filter("block0 < block1 OR classes0 > 1").select(F.monotonically_increasing_id().alias("pair"), F.col("scope0").alias("s"), F.col("layer0").alias("l"), "block0", "block1"))
+    sides = pairs.select("pair", "s", "l", F.col("block0").alias("k"), F.lit(0).alias("side")).unionByName(pairs.filter("block0 < block1").select("pair", "s", "l", F.col("block1").alias("k"), F.lit(1).alias("side")))
+    each = placed.join(sides, F.col("scope").eqNullSafe(F.col("s")) & F.col("layer").eqNullSafe(F.col("l")) & (F.col("block") == F.col("k"))).select("pair", "side", "id", "norm")
+    # few bytes, much work: a fixed number of partitions, which aren't put together again
+    spark = fragments.sparkSession
+    each = each.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair")
+    return each.groupBy("pair").applyInArrow(_scored(similarity), "a string, b string, jaccard double")
 
 
 def dedup(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) -> DataFrame:

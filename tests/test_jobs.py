@@ -89,6 +89,25 @@ def test_dedup_against_all_pairs(spark):
     assert sum(found.get(x) == g for x, g in exact.items()) >= 0.95 * len(exact) > 0
 
 
+@pytest.mark.parametrize("block", [1 << 18, 20000])
+def test_dedup_of_a_hot_template_is_exact(spark, block):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 8)))
+    texts = []
+    for _ in range(200):
+        free = [word() for _ in range(8)]
+        texts.append(free)
+        texts.append([word() if i in (1, 6) else w for i, w in enumerate(free)])
+    texts = [f"status report of {' '.join(t)} was written and filed by the team" for t in texts]
+    rows = [fragment(f"{i:04}", t, scope="project:a") for i, t in enumerate(texts)]
+    got = {(x.a, x.b): x.jaccard for x in memory.near_duplicates(frags(spark, *rows), block=block).collect()}
+    flat = [t.replace(" ", "") for t in texts]
+    sets = [{t[i : i + 2] for i in range(len(t) - 1)} for t in flat]
+    score = {(a, b): len(x & y) / len(x | y) for b, y in enumerate(sets) for a, x in enumerate(sets[:b])}
+    want = {(f"{a:04}", f"{b:04}"): s for (a, b), s in score.items() if s >= 0.7 and flat[a] != flat[b]}
+    assert len(want) > 50 and got == want
+
+
 def test_dedup_absorbs(spark):
     t = "the same memory told in the very same words"
     df = frags(spark, fragment("2", t, ["e1", "e2"], accesses=3, created=D(2025, 1, 2)), fragment("1", t + "!", ["e2", "e3"], accesses=4, created=D(2025, 1, 5)), fragment("3", t, scope="project:b"), fragment("4", t, importance=0.95), fragment("5", "tiny"))
