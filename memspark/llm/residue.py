@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.pii import PLACEHOLDERS
 from memspark.tables import spread
 
 
@@ -84,13 +85,16 @@ FILLER_WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
     "al an cario dantis fero ibum lisum meror notim ordo pretis pulvis quem sedra solet tarnis tolis umbra velum vexum"
 ).split()
+# Bracketed capitals that are content: levels of log lines, and what personal data is replaced by.
+LEVELS = "TRACE VERBOSE DEBUG INFO NOTICE WARN WARNING ERROR SEVERE FATAL CRITICAL ALERT EMERG EMERGENCY PANIC".split()
+BRACKETED = rf"\[(?!(?:{'|'.join([*LEVELS, *(p[1:-1] for p in PLACEHOLDERS.values())])})\])[A-Z]{{4,}}\]"
 # Forms of placeholders. Sure ones are residue wherever they stand bare, doubtful ones only in the frame of a template.
 SURE = [
     r"\{\{ ?[\w\- .]{1,40} ?\}?\}?", r"\{ ?\{ ?[\w\- .]{1,40} ?\} ?\}", r"\{%-?[^%\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"\$\{\w{1,40}\}", r"#\{\w{1,40}\}", r"@@\w{1,40}@@", r"%\(\w{1,40}\)s", r"%[A-Z][A-Z_]{2,40}%", r"__[A-Z][A-Z_]{1,40}__", r"\$[A-Z][A-Z_]{2,40}\$",
-    r"«[a-z]+(?:_[a-z]+)*»", r"&lt;[\w ]{2,40}&gt;", r"<[A-Z]{3,}(?:_[A-Z]+)*>", r"<[\w ]{2,30} goes here>", r"\[insert [^\]\n]{1,40}\]", r"\[[A-Z]{4,}\]", r"\[[A-Z]{2,}(?: [A-Z]+)+\]", r"(?<![A-Za-z0-9_])TBD_[A-Z_]+", r"\[(?:Name|Datum|Titel|Ort|Text|Firma)[^\]\n]{0,20} ?einfügen\]", r"<[\wäöüÄÖÜ ]{2,30} ergänzen>",
+    r"«[a-z]+(?:_[a-z]+)*»", r"&lt;[\w ]{2,40}&gt;", r"<[A-Z]{3,}(?:_[A-Z]+)*>", r"<[\w ]{2,30} goes here>", r"\[insert [^\]\n]{1,40}\]", r"\[[A-Z]{2,}(?: [A-Z]+)+\]", r"(?<![A-Za-z0-9_])TBD_[A-Z_]+", r"\[(?:Name|Datum|Titel|Ort|Text|Firma)[^\]\n]{0,20} ?einfügen\]", r"<[\wäöüÄÖÜ ]{2,30} ergänzen>",
     r"【请填写[^】\n]{0,10}】", r"[（(]此处填写[^）)\n]{0,10}[）)]", r"XXXX-XX-XX", r"\bTT\.MM\.JJJJ\b", r"××年×月×日", r"YYYY-MM-DD_HERE", r"\[object Object\]", r"XX项目",
 ]
-DOUBTFUL = [r"\?\?\?", r"_{4,}", r"%[sd](?![A-Za-z0-9])", r"\{[^\W\d][\w ]{0,30}\}", r"\{\d\}", r"(?<![A-Za-z0-9_])(?:undefined|NaN|TBD)(?![A-Za-z0-9_])", r"某某某"]
+DOUBTFUL = [BRACKETED, r"\?\?\?", r"_{4,}", r"%[sd](?![A-Za-z0-9])", r"\{[^\W\d][\w ]{0,30}\}", r"\{\d\}", r"(?<![A-Za-z0-9_])(?:undefined|NaN|TBD)(?![A-Za-z0-9_])", r"某某某"]
 
 #: How every sure form begins or what it holds: without one of these no text needs the search for the forms.
 _SURE_HINT = re.compile(r"\{ ?\{|\{%|<%|\$\{|#\{|@@|%\(|%[A-Z]|__[A-Z]|\$[A-Z]|«|&lt;|<[A-Z]{3}|<[\w ]{2,30} (?:goes here|ergänzen)>|\[insert|\[[A-Z]{2}|TBD_|\[(?:Name|Datum|Titel|Ort|Text|Firma)|【请|[（(]此处|XXXX|TT\.|××|YYYY|\[object|XX项")

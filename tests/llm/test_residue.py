@@ -37,5 +37,13 @@ def test_nothing_else(found):
     assert found["keyless"] == "error"
 
 
+def test_levels_and_typed_placeholders_are_content(spark):
+    content = ["[INFO] started", "[ERROR] disk full on node 7", "2025-01-02 [WARN] retry 3", "Mail [EMAIL] or call [PHONE].", "[PERSON] signed off", "Owner: [PERSON]", "Moved to [ADDRESS]", "The [DRAFT] of the notes is kept in the index"]
+    residue = ["Owner: [NAME]", "Dear [CUSTOMER],", "Date: [DATE]"]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate([*content, *residue, *PLAIN])], SCHEMA)
+    found = {r.doc_id: r.residue for r in labelled(df, ["doc_id"], "text").filter("residue IS NOT NULL").collect()}
+    assert found == {len(content) + i: "template" for i in range(len(residue))}
+
+
 def test_empty(spark):
     assert labelled(spark.createDataFrame([], SCHEMA), ["doc_id"], "text").count() == 0
