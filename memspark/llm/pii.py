@@ -87,7 +87,9 @@ CUED_ZH = [
     re.compile(rf"(?:{_or(BEFORE_ZH)})\s?({_HAN}{{2,4}}?)(?=[，,。；;\s]|{_or(AFTER_ZH)}|$)"),
     re.compile(rf"(?<!{_HAN})({_HAN}{{2,4}}?)(?=说)"),
 ]
-AWAY = re.compile(rf"(?<![{_B}.\-@+%]){_TITLE}(?:([A-ZÀ-Þ]{_LATIN}), ([A-ZÀ-Þ]{_LATIN})|([A-ZÀ-Þ]{_LATIN}) (?:[A-ZÀ-Þ]\. )?([A-ZÀ-Þ]{_LATIN})|[A-ZÀ-Þ]\. ?([A-ZÀ-Þ]{_LATIN}))(?![{_B}@])")
+#: Looks ahead, so that a name is tried at every word: "Yesterday Jane Holt" has two readings.
+AWAY = re.compile(rf"(?<![{_B}.\-@+%])(?={_TITLE}(?:([A-ZÀ-Þ]{_LATIN}), ([A-ZÀ-Þ]{_LATIN})|([A-ZÀ-Þ]{_LATIN}) (?:[A-ZÀ-Þ]\. )?([A-ZÀ-Þ]{_LATIN})|[A-ZÀ-Þ]\. ?([A-ZÀ-Þ]{_LATIN}))(?![{_B}@]))")
+_RUN = re.compile(rf"{_HAN}{{2,4}}")
 _CUE_HINT = re.compile(rf"{_or([*BEFORE, *AFTER, *BEFORE_ZH, "说"])}", re.I)
 _DIGITS = re.compile(r"\d")
 
@@ -121,8 +123,12 @@ def _persons(m: re.Match, at: int) -> Iterator[tuple]:
         yield at + dot - 1, at + last, "person", _terms([m.group(found[-1])])
 
 
-def candidates(text: str) -> list[tuple]:
-    """(a, b, kind, terms, cued) of every candidate, in code points; they don't overlap but for readings of one name; earlier kinds win; of a Chinese name the family name is the term."""
+def candidates(text: str, families: frozenset[str] = frozenset()) -> list[tuple]:
+    """(a, b, kind, terms, cued) of every candidate, in code points; they don't overlap but for readings of names away from cues; earlier kinds win.
+
+    Of a cued Chinese name the family name is the term; away from cues, two to
+    four characters that begin with one of the families are one as a whole.
+    """
     t = text.translate(_NARROW)
     out: list[tuple] = []
 
@@ -155,19 +161,31 @@ def candidates(text: str) -> list[tuple]:
         for pattern in CUED_ZH:
             for m in pattern.finditer(t):
                 put((*m.span(1), "person", [m.group(1)[0]]))
-    for m in AWAY.finditer(t):
-        put(*_persons(m, 0), cued=False)
+    away = {s[:2]: s for m in AWAY.finditer(t) for s in _persons(m, 0)}
+    if families:
+        for m in re.finditer(f"[{''.join(sorted(families))}](?={_HAN})", t):
+            run = _RUN.match(t, m.start()).group()
+            away |= {(m.start(), m.start() + n): (m.start(), m.start() + n, "person", [run[:n]]) for n in range(2, len(run) + 1)}
+    put(*away.values(), cued=False)
     return out
 
 
-def _candidates(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """uid, the columns to keep and spans, one row per row of df, written."""
+def _names_zh(df: DataFrame, text: str, rule: Disclosure) -> DataFrame:
+    """term, slots: the whole Chinese names that stand in a person's place rule.away_rows times or more, and how often; written."""
+    t = F.translate(text, "：，；\u3000\xa0", ":,;  ")
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(c.pattern), F.lit(1)) for c in CUED_ZH])
+    return cut(df.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("slots")).filter(F.col("slots") >= rule.away_rows))
+
+
+def _candidates(df: DataFrame, keep: list[str], text: str, names: DataFrame) -> DataFrame:
+    """uid, the columns to keep and spans, one row per row of df, written. Of names (see _names_zh) the driver gets the first characters."""
+    families = frozenset(r[0] for r in names.select(F.substring("term", 1, 1)).distinct().collect())
     rows = df.select(*keep, F.col(text).alias("_text"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [[dict(zip(("a", "b", "kind", "terms", "cued"), c, strict=True)) for c in candidates(t)] if t else [] for t in b.column("_text").to_pylist()]
+            made = [[dict(zip(("a", "b", "kind", "terms", "cued"), c, strict=True)) for c in candidates(t, families)] if t else [] for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(made, _ARROW)], [*keep, "spans"])
 
     return cut(spread(rows).mapInArrow(run, ", ".join([*fields, f"spans array<{SPAN}>"])).withColumn("uid", F.monotonically_increasing_id()))
@@ -194,18 +212,21 @@ def find(df: DataFrame, keep: list[str], text: str, rule: Disclosure = Disclosur
     Null and empty texts have none; repeated rows stay repeated (uid tells
     them apart); texts are searched whole. A name counts if each of its words
     discloses persons; away from places of persons only if each does so
-    rule.away_rows times or more.
+    rule.away_rows times or more. A Chinese name there counts if its family
+    name discloses persons and the whole name stood in such places that often.
     """
-    made = _candidates(df, keep, text)
-    return _found(made, df, keep, text, rule)
+    names = _names_zh(df, text, rule)
+    made = _candidates(df, keep, text, names)
+    return _found(made, df, keep, text, rule, names)
 
 
-def _found(made: DataFrame, df: DataFrame, keep: list[str], text: str, rule: Disclosure) -> DataFrame:
+def _found(made: DataFrame, df: DataFrame, keep: list[str], text: str, rule: Disclosure, names_zh: DataFrame) -> DataFrame:
     each = made.select("uid", *keep, F.explode("spans").alias("s"))
     sure = each.filter("s.kind != 'person'").select("uid", *keep, "s.a", "s.b", "s.kind")
     names = made.select("uid", F.posexplode("spans").alias("at", "s")).filter("s.kind = 'person' AND size(s.terms) > 0")
     words = names.select("uid", "at", "s.cued", F.size("s.terms").alias("size"), F.explode("s.terms").alias("term"))
-    terms = disclosing_terms(made, df, text, rule)
+    terms = cut(disclosing_terms(made, df, text, rule))
+    terms = terms.unionByName(names_zh.join(terms.select(F.col("term").alias("family")), F.substring("term", 1, 1) == F.col("family")).drop("family"))
     told = words.join(terms, "term").filter(F.col("cued") | (F.col("slots") >= rule.away_rows))
     told = told.groupBy("uid", "at").agg((F.count("*") == F.first("size")).alias("all")).filter("all").select("uid", "at")
     persons = made.select("uid", *keep, F.posexplode("spans").alias("at", "s")).join(told, ["uid", "at"])
@@ -233,8 +254,9 @@ def sanitise(df: DataFrame, keep: list[str], text: str, rule: Disclosure = Discl
     One row per row of df; a null text stays null. Of readings that overlap
     the longer one that ends last is taken.
     """
-    made = _candidates(df.withColumn("_whole", F.col(text)), [*keep, "_whole"], text)
-    items = _found(made.drop("_whole", *keep), df, [], text, rule).groupBy("uid").agg(F.collect_list(F.struct("a", "b", "kind")).alias("items"))
+    names = _names_zh(df, text, rule)
+    made = _candidates(df.withColumn("_whole", F.col(text)), [*keep, "_whole"], text, names)
+    items = _found(made.drop("_whole", *keep), df, [], text, rule, names).groupBy("uid").agg(F.collect_list(F.struct("a", "b", "kind")).alias("items"))
     rows = made.join(items, "uid", "left").select(*keep, F.col("_whole").alias("_text"), "items")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
     return rows.mapInArrow(_replace, ", ".join([*fields, "sanitised string"]))

@@ -76,6 +76,18 @@ def test_sanitised_keeps_the_rest(spark):
     assert got[str(n + 3)] == "-" * 20000 + " [EMAIL]"
 
 
+def test_names_after_capitalised_words_and_uncued_chinese_names(spark):
+    cued = [f"talked to Jane Holt about {i}. 本条由晏屿确认。" for i in range(4)]
+    away = {"Yesterday Jane Holt came": "Jane Holt", "Kollege Hans, Jane Holt ging": "Jane Holt", "Thanks, Jane Holt": "Jane Holt", "昨天晏屿来了": "晏屿"}
+    plain = ["Yesterday Green Field was open", "昨天屿晏来了", "晏的屿"]
+    filler = [f"the user and the file {i} are as here as in a row of the end 我们今天把文件放在这里" for i in range(30)]
+    texts = [*cued, *away, *plain, *filler]
+    found = [(texts[int(r.id)], texts[int(r.id)][r.a : r.b]) for r in pii.find(frame(spark, texts), ["id"], "content").filter("kind = 'person'").collect()]
+    assert sorted(f for f in found if f[0] not in cued) == sorted(away.items())
+    got = {texts[int(r.id)]: r.sanitised for r in pii.sanitise(frame(spark, texts), ["id"], "content").collect()}
+    assert all(got[t] == t.replace(n, "[PERSON]") for t, n in away.items()) and all(got[t] == t for t in [*plain, *filler])
+
+
 def test_empty(spark):
     df = frame(spark, [])
     assert pii.find(df, ["id"], "content").count() == 0
