@@ -10,7 +10,7 @@ from memspark.tables import cut
 
 
 def weights(triples: DataFrame, entities: DataFrame) -> DataFrame:
-    """a, b (a < b), weight: current triples between known entities of one scope or global, per pair."""
+    """a, b (a < b), weight: current triples between known entities of all scopes, per pair; scopes aren't kept apart."""
     known = entities.select("id").distinct()
     rows = triples.filter("valid_to IS NULL AND object_id IS NOT NULL AND subject_id <> object_id").dropDuplicates(["id"])
     rows = rows.join(known.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").join(known.select(F.col("id").alias("object_id")), "object_id", "left_semi")
@@ -21,7 +21,8 @@ def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
     """node, label: in each round half of the nodes (by a hash) take the label of the greatest weight around them, the least of equal ones.
 
     Deterministic; a round is a join and two partial aggregates, so a hub of
-    any degree is reduced before the shuffle. Modularity is not maximised.
+    any degree is reduced before the shuffle. Modularity is not maximised, and
+    labels needn't have settled after the last round.
     """
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
