@@ -4,9 +4,13 @@ Labelled exemplars are held in an inverted index from terms to exemplars. A
 text is cut into passage windows (sentences and lines); a window retrieves the
 exemplars with which it shares terms and is compared by TF-IDF containment
 both ways: how much of the exemplar it contains, and how much of it the
-exemplar explains. Term weights come from the document frequencies of the
-whole corpus. Exemplars of the label `mention` are texts that quote, explain
-or report residue: a window closer to one of these is left alone.
+contained exemplars of a label explain together. Terms are concepts: words of
+one meaning (found, find, gefunden, 找到) are one term, so an exemplar stands
+for every wording of what it says. Term weights come from the document
+frequencies of the whole corpus. Exemplars of the label `mention` are texts
+that quote, explain or report residue: a window that contains one is left
+alone. Exemplars were written from what servers, browsers, frameworks, office
+programs and template engines are known to print; none was taken from a corpus.
 """
 
 from __future__ import annotations
@@ -27,181 +31,264 @@ from memspark.tables import spread
 
 @dataclass(frozen=True)
 class Coverage:
-    """A window is residue if it contains `contained` of an exemplar's weight and that explains `explained` of the window's.
+    """A window is residue if exemplars of one label, of each of which it contains `contained` of the weight, explain `explained` of the window's weight.
 
-    bare: what a mention must contain to excuse a placeholder; filler: the
-    share of filler words from which a window of `words` words is filler.
+    mentioned: what of a mention a window must contain to be left alone;
+    run: the words a window must have to be repetition or Latin.
     """
 
-    contained: float = 0.72
-    explained: float = 0.55
-    bare: float = 0.5
-    filler: float = 0.8
-    words: int = 4
-
-
-# Labelled exemplars. {} stands for a placeholder, 000 for a number.
+    contained: float = 0.9
+    explained: float = 0.42
+    mentioned: float = 0.95
+    run: int = 4
+
+
+# Words of one meaning, by the term that stands for them; Han words are cut before single characters.
+CONCEPTS = {
+    "unexpected": "unexpected unknown unerwarteter unerwarteten unerwartet unbekannter 意外 未知",
+    "occur": "occurred happened aufgetreten 发生",
+    "internal": "internal interner interne 内部",
+    "page": "page pages site website webpage url seite webseite website 页面 网页 网址 网站 本站 链接",
+    "thing": "resource item file document object note notes entry record topic post article notiz eintrag datei 资源 文件 文章 笔记",
+    "not": "not no never cannot can't couldn't isn't doesn't don't wasn't won't unable without nicht kein keine ohne nie 不 未 无法 没有 无 不能 不可",
+    "find": "find found locate located gefunden finden 找到 找 发现",
+    "exist": "exist exists existed existing available vorhanden existiert verfügbar 存在 可用",
+    "gone": "gone lost missing broken archived discontinued removed moved deleted renamed entfernt verschoben gelöscht 删除 移动 下线 失效",
+    "deny": "denied refused prohibited restricted blocked verweigert verboten gesperrt 拒绝 禁止 封禁",
+    "access": "access permission permissions authorized authorised authorization authorisation rights privileges berechtigung zugriff zugang rechte 权限 无权 授权",
+    "visit": "visit view viewed open see display displayed show shown access load loaded loading requested asked looking anzeigen angezeigt öffnen aufrufen angefordert 访问 查看 显示 浏览 打开 加载",
+    "session": "session sitzung login 会话 登录状态 登录",
+    "expire": "expired timed timeout ended invalid abgelaufen ungültig 过期 超时 失效",
+    "sign": "sign signin log login anmelden einloggen melden 登录 登陆",
+    "again": "again try retry reload refresh erneut nochmals neu 重试 重新 再试 再次 刷新",
+    "later": "later soon moment shortly minutes seconds minute second while später kurz bald augenblick 稍后 稍候 片刻 马上 秒 分钟",
+    "now": "now currently presently right momentarily zurzeit derzeit momentan gerade 现在 目前 当前",
+    "connection": "connection line socket verbindung 网络连接 连接 网络",
+    "close": "closed close closes reset dropped aborted geschlossen 关闭 断开 中断",
+    "real": "real actual own proper echten richtige richtigen tatsächlichen 真实 实际 正式",
+    "number": "one two three four few some several zwei drei einige 两 三 几",
+    "service": "service server system app application viewer player editor backend workspace host upstream dienst anwendung 服务 服务器 系统 应用 本应用 站点",
+    "down": "unavailable down offline unreachable overloaded erreichbar überlastet 繁忙 忙 维护 宕机 不可用",
+    "maintenance": "maintenance scheduled upgrade wartung wartungsarbeiten 维护 升级",
+    "error": "error errors fehler wrong failed failure oops sorry schiefgelaufen whoops 错误 出错 异常 失败 抱歉 故障 对不起",
+    "request": "request requests anfragen anfrage traffic 请求",
+    "many": "many rate limit exceeded slow viele zu 过多 太多 过于 频繁 限制",
+    "browser": "browser browsers 浏览器",
+    "complete": "complete completed finish solve 完成",
+    "check": "checking checked check verify verifying verification verified validate prove prüfen geprüft überprüft captcha human robot 检查 验证 安全检测 确认",
+    "script": "javascript script scripts scripting js noscript skripte skript 脚本 javascript",
+    "enable": "enable enabled activate activated allow allowed turn switch switched require required requires needs need needed support supports aktivieren aktiviert einschalten erlauben benötigt erforderlich 启用 开启 打开 允许 需要 支持",
+    "disable": "disable disabled off inactive deactivated deaktiviert ausgeschaltet 禁用 停用",
+    "work": "work works run runs start starts function functions properly läuft funktioniert starten ausführen 运行 使用 工作 功能",
+    "continue": "continue proceed go fortzufahren fortfahren weiter weiterlesen 继续",
+    "cookie": "cookie cookies",
+    "please": "please bitte 请",
+    "you": "you your you're ihr ihre ihren ihrem sie 您 您的 你 你的 用户",
+    "contact": "contact administrator admin support webmaster kontaktieren administrator 联系 管理员 客服",
+    "gateway": "gateway proxy 网关",
+    "text": "text texte content copy body paragraph absatz inhalt 内容 文本 文字 正文 段落",
+    "here": "here hier below 这里 此处 在此 处",
+    "put": "insert add enter type write replace fill put provide edit schreiben einfügen ersetzen eingeben ergänzen 输入 填写 替换 添加 补充 编辑",
+    "sample": "sample example placeholder dummy filler beispieltext beispiel platzhalter platzhaltertext blindtext mustertext 示例 占位 样例 占位符",
+    "pending": "coming follow follows folgt tba later soon todo wip später 待 稍后 即将 暂",
+    "describe": "description summary title heading sentence sentences words name short beschreibung titel zusammenfassung satz 描述 标题 摘要 说明 概述",
+}
+# Exemplars as terms of CONCEPTS and words; {} stands for a sure placeholder, ?? for a doubtful one, 400 for a status from 400 to 599, ** for repetition, ~~ for Latin.
 EXEMPLARS = {
     "template": [
-        "Dear {},", "Owner: {}", "Next review: {}", "# {}", "{} - {}", "Status of {} on {}: open.", "Release {} contains {} changes.", "The {} scope was last reviewed by {}.",
-        "This page describes {}.", "Welcome to {}, please read the notes first.", "Title: {}", "Author: {}", "Date: {}", "Name: {}", "Hello {},", "Hi {},", "From {} to {}", "Report of {} for {}",
-        "负责人：{}", "欢迎加入{}，请先阅读说明。", "会议时间：{}，地点：{}", "本周{}的进展由{}汇总。", "{}已完成，下一步见{}。", "您好，{}", "日期：{}", "标题：{}",
-        "Sehr geehrte Damen und Herren von {},", "Verantwortlich: {}", "Nächste Prüfung am {}", "Stand von {}: {}", "Hallo {},", "Liebe Frau {},",
+        "{}", "dear ??", "hello ??", "hi ??", "sehr geehrte ??", "liebe ??", "hallo ??", "您好 ??", "尊敬 ??", "owner ??", "author ??", "title ??", "date ??", "name ??", "subject ??", "status ??", "version ??", "assigned ??", "prepared by ??", "reviewed by ??", "approved by ??",
+        "next review ??", "due ??", "deadline ??", "client ??", "company ??", "address ??", "phone ??", "email ??", "signed ??", "page describe ??", "welcome ??", "report of ??", "between ?? and ??", "release ??", "contains ?? changes", "project ??", "team ??", "location ??", "version ?? of ??", "status of ?? on ?? open", "last reviewed by ??",
+        "verantwortlich ??", "datum ??", "titel ??", "nächste prüfung ??", "stand von ??", "负责人 ??", "日期 ??", "时间 ??", "地点 ??", "标题 ??", "姓名 ??", "项目 ??", "欢迎 ??", "会议 ??", "?? 完成", "由 ?? 汇总", "下一步 ??", "本周 ??",
     ],
     "filler": [
-        "Sample text.", "Your content goes here.", "Your text here", "Add description", "Add a title", "Body copy to follow.", "(placeholder paragraph)", "Placeholder text", "Write two or three sentences about the change here.",
-        "Replace this paragraph with a short summary of the project.", "Insert text here", "Content coming soon", "Description to be added", "To be written", "lorem ipsum", "Lorem ipsum dolor sit amet, consectetur adipiscing elit",
-        "blah blah blah", "asdf asdf asdf", "test test 000 test", "text text text text", "foo foo foo", "正文待补充。", "这里是示例段落，请替换为真实内容。", "此处为占位文本，稍后补充。", "在此输入内容", "示例内容示例内容示例内容",
-        "测试测试测试测试", "内容待填写", "Blindtext Blindtext Blindtext", "Beispieltext folgt.", "Bitte diesen Absatz ersetzen.", "Hier steht später der richtige Text.", "Platzhaltertext", "Text folgt",
+        "lorem ipsum", "dolor sit amet", "~~", "**", "text here", "put text", "put text here", "put describe", "sample text", "text pending", "text pending sample", "describe pending", "put sample text", "put text describe", "put describe here", "lorem", "put describe describe", "put please text", "text put sample", "text pending put", "sample text put please",
+        "you text here", "you text goes here", "text goes here", "put real text", "put real text please", "sample text put", "put number describe here", "put number describe about", "real text later here", "quick brown fox jumps over lazy dog", "text be here", "text later here", "body copy", "to be written", "to be added", "to be determined", "click to put text", "此处 put text",
     ],
     "error": [
-        "HTTP ERROR 503 - the service is unavailable right now.", "the service behind this page closed the line early (timeout)", "the service behind this page closed the line early (overflow)", '{"error": {"code": 404, "message": "resource not found"}}',
-        "504 Gateway Time-out nginx", "Access denied", "You do not have permission to open this note.", "You do not have permission to view this page", "Your session has expired. Please sign in again.", "Your session has expired.", "Please sign in again.", "Please log in to continue",
-        "We can't find that page.", "The page you asked for is gone or never existed.", "The page you requested could not be found", "Oops! Something went wrong on our side.", "Something went wrong", "Something went wrong on our side.", "Too many requests. Slow down and retry later.", "Too many requests.", "Slow down and retry later.", "Try again in 000 seconds.",
-        "This workspace is down for maintenance. We will be back soon.", "This workspace is down for maintenance.", "The site is down for maintenance", "One moment, your browser is being checked...", "Checking your browser before accessing", "It may have been moved.", "If you think this is a mistake, write to support.",
-        "抱歉，您访问的页面不存在", "页面不存在", "登录已过期，请重新登录", "没有权限查看此内容，请联系管理员", "访问过于频繁，请完成验证后继续", "系统繁忙，请稍后再试（000）", "系统繁忙，请稍后再试", "502 网关错误", "500 服务器内部错误", "服务暂时不可用",
-        "Seite nicht gefunden (404)", "Der Dienst ist zurzeit nicht erreichbar.", "Zugriff verweigert.", "Ihre Sitzung ist abgelaufen.", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich an.", "Bitte melden Sie sich an.", "Interner Serverfehler",
+        "error 400", "http error 400", "status 400", "service said 400", "page not find", "page not exist", "page gone not exist", "page has been gone", "page may have been gone", "it may have been gone", "thing not find", "thing not exist", "thing has been gone", "text not exist longer", "visit page not exist", "visit gone not exist", "page visit gone", "page not visit", "page looks gone error",
+        "access deny", "not access visit", "not access contact", "you not access visit thing", "you not access visit page", "you not access", "visit page deny", "session expire", "you session expire", "session expire again session", "please again session", "sign again", "please sign again", "session expire sign again", "please sign continue", "please sign visit page", "please sign you sich an",
+        "error service", "error service internal", "internal error", "something error", "something went error", "error our side", "error occur", "unexpected error", "unexpected error occur", "please again later", "again later", "again later 0", "service down", "service down now", "service not exist now", "down now", "service maintenance", "service not exist", "service not down", "service down maintenance", "page maintenance", "page down maintenance", "page down later", "page down now", "page down again later", "maintenance later", "maintenance now", "be back later",
+        "request many", "request many again", "many again later", "slow down again later", "visit many again", "visit many check continue", "visit many please check continue", "please complete check continue", "check browser", "check you browser", "check you browser visit", "later check browser", "check you human", "check you human complete", "check you human complete action", "check page connection secure",
+        "gateway bad", "gateway error", "gateway expire", "connection expire", "connection expire again", "connection expire please again", "service close connection", "service close early", "connection close", "connection close early", "service close connection early expire", "service close connection page", "service not respond", "contact error", "error please contact", "error message not", "error code message", "page not working", "bad request", "application error", "page not be reached",
+        "unsupported browser", "whitelabel error page", "cloudflare ray id", "apache server at port", "the request url was not find on this service", "no such key", "the page you follow may be gone",
     ],
     "script": [
-        "Please enable JavaScript to see the notes on this page.", "You need to enable JavaScript to run this app.", "Please enable JavaScript to continue", "This app starts only with JavaScript switched on.", "This viewer does not work without JavaScript.", "JavaScript is disabled in your browser; the notebook cannot be shown.",
-        "JavaScript is required", "Your browser has scripting switched off.", "This site requires scripts. Turn them on and reload.", "This site requires scripts.", "Turn them on and reload.", "Loading... If nothing happens, check that scripts are allowed.", "If nothing happens, check that scripts are allowed.", "Allow scripts and cookies for this page to go on.",
-        "请启用 JavaScript 后继续浏览", "您的浏览器未启用脚本，本页面无法显示。", "本应用需要开启 JavaScript 和 Cookie 才能运行。", "请开启 JavaScript",
-        "Bitte aktivieren Sie JavaScript, um fortzufahren.", "Ohne JavaScript kann die Notiz nicht angezeigt werden.", "Diese Anwendung benötigt Skripte.",
+        "enable script", "script enable", "please enable script", "please enable script visit", "please enable script visit page", "please enable script visit thing", "please enable script continue", "you enable script run", "not work not script", "not script", "not script visit", "not work script disable", "script disable", "script disable browser", "you browser script disable", "you browser not enable script", "enable script cookie", "enable script cookie continue", "check script enable", "nothing check script enable", "page enable script", "service enable script", "service enable script work", "service work script enable",
+        "enable reload", "enable them again", "enable them on again", "script not exist browser", "not visit script", "work only script enable", "load script enable", "visit page you script enable", "you must have script enable", "not support script", "script deny", "script deny browser", "please visit browser script", "visit browser script", "browser not support script", "browser enable script",
     ],
     "mention": [
-        "In the launcher, {} is expanded by the shell before the tool reads it.", "The query uses {} as a bind name, so quoting is left to the driver.", "The style guide says: never leave {} in a released note.", "The renderer replaces {} with the stored value; the test covers an empty one too.", "The variable {} is set by the caller",
-        "Generic parameters such as Map {} are listed in the second table.", "{} and {} are skipped by the importer.", "The form shows {} when the field is missing; the ticket asks for a blank.", "The value printed was {} because the key was missing",
-        "Access denied errors dropped to 000 a day once the filter was fixed.", "We traced the 404 on the view to a missing prefix and fixed the route.", "A 502 from the gateway came back 000 times last night, always after the rebuild.", "Users who saw session has expired were logged out by a clock that ran 000 minutes ahead.",
-        "The banner that asks users to enable JavaScript is now shown once per session only.", "Reviewers asked us to drop the lorem ipsum block from the fixture; the real intro is in place.", "模板里的 {} 会在渲染时替换，测试已确认。", "用户反馈“请启用 JavaScript”的提示过于显眼，我们调整了样式。",
-        "Die Meldung 404 trat nach dem Umzug 000-mal auf und ist behoben.", "Im Muster wird {} erst beim Speichern ersetzt.", "Der Hinweis „Bitte JavaScript aktivieren“ erscheint nur noch einmal.", "The error page was shown to users until the fix", "log.info prints {} rows kept after the merge.",
+        "{} expanded", "{} replaced", "{} replaces", "{} replace", "{} rendered", "{} escaped", "{} literal", "{} syntax", "{} variable", "{} parameter", "{} parameters", "{} placeholder", "{} printed", "{} prints", "{} set by", "{} skipped", "{} bind", "{} importer", "{} shell", "{} never leave", "{} style guide", "{} template engine", "{} 替换", "{} 变量", "{} 渲染", "{} ersetzt", "{} platzhalter",
+        "?? printed", "?? prints", "?? missing", "?? skipped", "?? returned", "?? key", "?? format", "?? log",
+        "traced", "fixed", "fix", "came back times", "last night", "logged out", "banner", "reviewers", "fixture", "block", "feedback", "adjusted", "测试", "反馈", "我们", "调整", "behoben", "trat auf", "erscheint", "hinweis", "meldung",
     ],
 }
-# The status lines that servers send, and the forms in which pages show them.
-STATUS = {400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 408: "Request Timeout", 410: "Gone", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Time-out"}
-STATUS_FORMS = ["{code} {text}", "{text}", "Error {code}: {text}", "Status {code} ({text}).", "server said: {code} {text}"]
-EXEMPLARS["error"] += [f.format(code=c, text=t) for c, t in STATUS.items() for f in STATUS_FORMS]
-# Words of filler Latin, classical and invented.
-FILLER_WORDS = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
-    "al an cario dantis fero ibum lisum meror notim ordo pretis pulvis quem sedra solet tarnis tolis umbra velum vexum"
-).split()
+# The reason phrases of HTTP.
+STATUS = ["Bad Request", "Unauthorized", "Payment Required", "Forbidden", "Not Found", "Method Not Allowed", "Not Acceptable", "Request Timeout", "Conflict", "Gone", "Too Many Requests", "Internal Server Error", "Not Implemented", "Bad Gateway", "Service Unavailable", "Gateway Timeout", "Gateway Time-out"]
+EXEMPLARS["error"] += [f.format(s.lower().replace("-", " ")) for s in STATUS for f in ("400 {}", "error 400 {}", "status 400 {}", *["{}"] * (s not in ("Gone", "Conflict")))]
+# The first words of the filler that typesetters use, endings of Latin words, and short words that texts of living languages hold.
+LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+ENDINGS = ("a", "ae", "am", "as", "em", "es", "et", "i", "im", "is", "it", "nt", "o", "or", "os", "um", "us")
+LIVING = frozenset("the of and to is are was were be been has have had for with on by this that from as it its we you they he she not der die das den dem des und ist sind war ein eine einen mit von zu auf für im nicht le la les des du une est sont dans pour que qui el los las del una por con para como se su al y e il lo gli che di da della per sono un uno os um uma com não na no ao mais does do did will would can if in at or but then them there me my our us any all so what which who when where how just only also goes go went said says more most some been about into over after before be must should may might looks like we're i'm it's that's you've kann können werden wird wurde haben hat".split())
+# Common Han characters. What holds no content weighs GLUE at most.
+COMMON_HAN = frozenset("的了已后并在正该此本是有和与将被为这那其于以及可就都要会到对上下中个也但而或等时从")
+GLUE = 0.5
 # Bracketed capitals that are content: levels of log lines, and what personal data is replaced by.
 LEVELS = "TRACE VERBOSE DEBUG INFO NOTICE WARN WARNING ERROR SEVERE FATAL CRITICAL ALERT EMERG EMERGENCY PANIC".split()
 BRACKETED = rf"\[(?!(?:{'|'.join([*LEVELS, *(p[1:-1] for p in PLACEHOLDERS.values())])})\])[A-Z]{{4,}}\]"
-# Forms of placeholders. Sure ones are residue wherever they stand bare, doubtful ones only in the frame of a template.
+# Forms of placeholders, of any length: those of template engines and of forms, and those that other texts may hold too.
 SURE = [
-    r"\{\{ ?[\w\- .]{1,40} ?\}?\}?", r"\{ ?\{ ?[\w\- .]{1,40} ?\} ?\}", r"\{%-?[^%\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"\$\{\w{1,40}\}", r"#\{\w{1,40}\}", r"@@\w{1,40}@@", r"%\(\w{1,40}\)s", r"%[A-Z][A-Z_]{2,40}%", r"__[A-Z][A-Z_]{1,40}__", r"\$[A-Z][A-Z_]{2,40}\$",
-    r"«[a-z]+(?:_[a-z]+)*»", r"&lt;[\w ]{2,40}&gt;", r"<[A-Z]{3,}(?:_[A-Z]+)*>", r"<[\w ]{2,30} goes here>", r"\[insert [^\]\n]{1,40}\]", r"\[[A-Z]{2,}(?: [A-Z]+)+\]", r"(?<![A-Za-z0-9_])TBD_[A-Z_]+", r"\[(?:Name|Datum|Titel|Ort|Text|Firma)[^\]\n]{0,20} ?einfügen\]", r"<[\wäöüÄÖÜ ]{2,30} ergänzen>",
-    r"【请填写[^】\n]{0,10}】", r"[（(]此处填写[^）)\n]{0,10}[）)]", r"XXXX-XX-XX", r"\bTT\.MM\.JJJJ\b", r"××年×月×日", r"YYYY-MM-DD_HERE", r"\[object Object\]", r"XX项目",
+    r"\{\{[^{}\n]+\}\}", r"\{\{ *[\w.\-]+(?: [\w.\-]+)? ?(?=$|\W)", r"\{ \{[^{}\n]+\} \}", r"\{%[^%\n]+%\}", r"<%[^%\n]+%>", r"\$\{[^{}\n]+\}", r"#\{[^{}\n]+\}", r"@@\w+@@", r"%\(\w+\)s", r"%[A-Z][A-Z_]+%", r"__[A-Z][A-Z_]*__", r"\$[A-Z][A-Z_]+\$",
+    r"«[^«»\n]+»", r"&lt;[\w ]+&gt;", r"<[A-Z]{3,}(?:_[A-Z]+)*>", r"<[\w ]+ (?:goes here|ergänzen|einfügen)>", r"\[(?i:insert|enter|your|add) [^\[\]\n]+\]", r"\[[A-Z]{2,}(?: [A-Z]+)+\]", r"(?<![A-Za-z0-9_])(?:TBD|TODO)_[A-Z_]+", r"\[[^\[\]\n]+ ?(?:einfügen|ergänzen|eintragen)\]",
+    r"【(?:请|待|此处)[^【】\n]*】", r"[（(](?:此处|请在此)[^（）()\n]*[）)]", r"X{4}-XX-XX", r"(?<![A-Z])TT\.MM\.J{2,4}", r"××年×月×日", r"YYYY-MM-DD_HERE", r"\[object Object\]", r"X{2,}(?:项目|公司|先生|女士)",
 ]
-DOUBTFUL = [BRACKETED, r"\?\?\?", r"_{4,}", r"%[sd](?![A-Za-z0-9])", r"\{[^\W\d][\w ]{0,30}\}", r"\{\d\}", r"(?<![A-Za-z0-9_])(?:undefined|NaN|TBD)(?![A-Za-z0-9_])", r"某某某"]
+DOUBTFUL = [BRACKETED, r"\?{3,}", r"_{4,}", r"%[sd](?![A-Za-z0-9])", r"\{[^\W\d][\w ]*\}", r"\{\d\}", r"(?<![A-Za-z0-9_])(?:undefined|NaN|TBD)(?![A-Za-z0-9_])", r"某某某?"]
 
-#: How every sure form begins or what it holds: without one of these no text needs the search for the forms.
-_SURE_HINT = re.compile(r"\{ ?\{|\{%|<%|\$\{|#\{|@@|%\(|%[A-Z]|__[A-Z]|\$[A-Z]|«|&lt;|<[A-Z]{3}|<[\w ]{2,30} (?:goes here|ergänzen)>|\[insert|\[[A-Z]{2}|TBD_|\[(?:Name|Datum|Titel|Ort|Text|Firma)|【请|[（(]此处|XXXX|TT\.|××|YYYY|\[object|XX项")
+#: What every form begins with or holds: without one of these no text needs the search for the forms.
+_FORM_HINT = re.compile(r"\{|<%|@@|%[(A-Zsd]|__|\$[A-Z]|«|&lt;|<[A-Z]{3}|<[\w ]+ (?:goes|erg|einf)|\[|TBD|TODO_|【|[（(](?:此|请)|XX|TT\.|××|YYYY|\?\?\?|undefined|NaN|某某")
 _SURE, _DOUBTFUL = re.compile("|".join(SURE)), re.compile("|".join(DOUBTFUL))
-_QUOTED = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|„[^“”\n]{1,80}[“”]")
-_MARKS = re.compile(r"<\|[a-z_]{2,30}\|>")
+_QUOTED = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|“[^“”\n]+”|„[^„“”\n]+[“”]")
+_JSON = re.compile(r"\"\s*[:,}\]]")
+_MARKS = re.compile(r"<\|[a-z_]+\|>")
 #: Characters that no exemplar has: strays between letters, which come off before words are cut.
 _STRAY = re.compile(r"[^\x00-ɏ‘-‟　-〿㐀-鿿！-｝×]+")
 _NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x2019: 0x27}
-_TERM = re.compile(r"\x01|\x02|[4-5]\d\d(?!\d)|\d+|[a-zß-ɏ]+(?:'[a-z]+)?|[㐀-鿿]")
-_WINDOW = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+|</?(?:html|head|title|body|center|h\d|p|noscript|div)[^>\n]{0,40}>", re.I)
+_LATIN = frozenset(LATIN)
+_NOT_LATIN = LIVING - _LATIN
+_CONCEPT = {w: c for c, words in reversed(CONCEPTS.items()) for w in words.split()}
+_HAN_WORDS = "|".join(sorted((w for w in _CONCEPT if len(w) > 1 and w[0] > "\u3400"), key=lambda w: (-len(w), w)))
+_TERM = re.compile(rf"\x01|\x02|[a-zß-ɏ]+(?:'[a-z]+)?|\d+|{_HAN_WORDS}|[㐀-鿿]")
+_ASCII_TERM = re.compile(r"\x01|\x02|[a-z]+(?:'[a-z]+)?|\d+")
+_WINDOW = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])|[\r\n]+|</?(?:html|head|title|body|center|h\d|p|noscript|div)\b[^<>\n]*>", re.I)
 _AGAIN = re.compile(r"([a-z㐀-鿿]{1,12}?)(?:[ ,.]*(?:\d+ )?\1){2,}")
-_HTTP = "\x03"
 
 
-def _words(low: str) -> list[str]:
-    """Words, numbers, Han characters and placeholders of a text in lower case, in order."""
-    return _TERM.findall(low)
+class _Kinds(dict):
+    """The term of each word: its concept, 400 for a status code, 0 for another number, else the word; remembers MOST words."""
+
+    MOST = 1 << 20
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = kind = _CONCEPT.get(word, word) if not "0" <= word[0] <= "9" else "400" if len(word) == 3 and word[0] in "45" else "0"
+        return kind
+
 
+_KIND = _Kinds()
 
-def _kinds(words: set[str]) -> set[str]:
-    """The same with status codes as \x03 and other numbers as 0."""
-    return {t if t[0] > "9" or t[0] < "0" else _HTTP if len(t) == 3 and t[0] in "45" else "0" for t in words}
+
+def _words(low: str) -> list[str]:
+    """Words, numbers, Han words and placeholders of a text in lower case, in order."""
+    return (_ASCII_TERM if low.isascii() else _TERM).findall(low)
 
 
-def _terms(window: str) -> tuple[list[str], set[str]]:
-    """The words of a window and its terms: their kinds, and * if it is mostly one thing again and again."""
+def _terms(window: str, run: int) -> set[str]:
+    """The terms of a window: the kinds of its words, but ** if it is mostly one thing again and again, ~~ if it is Latin.
+
+    Latin is what holds no short word of a living language and mostly words that end as Latin ones do.
+    """
     low = window.lower()
     words = _words(low)
     unlike = set(words)
-    terms = _kinds(unlike)
     if len(words) >= 3 and 2 * len(unlike) <= len(words) + 1 and (m := _AGAIN.search(low)) and 2 * (m.end() - m.start()) > len(low.strip()):
-        terms.add("*")
-    return words, terms
+        return {"**"}
+    if len(words) >= run and len(unlike) > 1 and _NOT_LATIN.isdisjoint(unlike) and low.isascii():
+        long = [t for t in words if len(t) > 2]
+        if long and 10 * sum(t in _LATIN or t.endswith(ENDINGS) for t in long) >= 7 * len(long) and all("a" <= t[0] <= "z" for t in words):
+            return {"~~"}
+    return {_KIND[t] for t in unlike}
 
 
 def _bare(text: str) -> str:
-    """text with placeholders as \\x01 and \\x02, without marks, strays and what is quoted."""
-    text = _STRAY.sub("", _MARKS.sub("", text))
+    """text with placeholders as \\x01 and \\x02, without marks, strays and what is quoted (but the strings of JSON)."""
+    if not text.isascii():
+        text = _STRAY.sub("", text)
+    if "<|" in text:
+        text = _MARKS.sub("", text)
     if "`" in text or '"' in text or "“" in text or "„" in text:
-        text = _QUOTED.sub(" \x04 ", text)
-    if _SURE_HINT.search(text):
-        text = _SURE.sub("\x01", text)
-    return _DOUBTFUL.sub("\x02", text).translate(_NARROW)
+        text = text if '":' in text and _JSON.search(text) else _QUOTED.sub(" \x04 ", text)
+    if _FORM_HINT.search(text):
+        text = _DOUBTFUL.sub("\x02", _SURE.sub("\x01", text))
+    return text if text.isascii() else text.translate(_NARROW)
 
 
 def windows(text: str) -> list[str]:
-    """The passage windows of a text."""
-    return [w for w in _WINDOW.split(_bare(text)) if w and not w.isspace()]
+    """The passage windows of a text; a line of nothing but a number, as of a status, belongs to that before it, else to the next."""
+    out, number = [], ""
+    for w in _WINDOW.split(_bare(text)):
+        if w and not w.isspace():
+            if w.strip().isdecimal():
+                if out:
+                    out[-1] += f" {w}"
+                else:
+                    number += f"{w} "
+            else:
+                out.append(number + w)
+                number = ""
+    return out
+
+
+def _exemplar(text: str) -> frozenset[str]:
+    marks = {"{}": "\x01", "??": "\x02", "**": "**", "~~": "~~"}
+    return frozenset(marks[w] if w in marks else w if w in CONCEPTS or w == "400" else k for w in text.split() for k in ([w] if w in marks or w in CONCEPTS or w == "400" else (_KIND[t] for t in _words(w))))
 
 
 class Index:
-    """The exemplars by term. weights: of every term of an exemplar."""
+    """The exemplars by term."""
 
     def __init__(self) -> None:
-        self.labels, self.terms, by = [], [], defaultdict(list)
-        for label, texts in EXEMPLARS.items():
-            for t in texts:
-                own = frozenset(_terms(t.replace("{}", "\x01").replace("000", "7").replace('"', ""))[1])
-                for term in own:
-                    by[term].append(len(self.terms))
-                self.labels.append(label)
-                self.terms.append(own)
-        self.by, self.filler = dict(by), frozenset(FILLER_WORDS)
-        self.vocabulary = frozenset(by)
+        made = {(label, _exemplar(t)): None for label, texts in EXEMPLARS.items() for t in texts}
+        self.labels, self.terms = [label for label, _ in made], [t for _, t in made]
+        self.vocabulary = frozenset().union(*self.terms)
 
     def weigh(self, documents: int, frequency: dict[str, int], rule: Coverage) -> None:
         rare = math.log(1 + documents)
         self.weight = {t: math.log(1 + documents / (1 + frequency.get(t, 0))) for t in self.vocabulary}
-        # placeholders weigh as much as the rarest words, so that no common frame outweighs them
-        self.weight |= {"\x01": rare, "\x02": rare, "*": rare}
+        # a placeholder weighs more than the rarest word, so that no common frame outweighs it
+        self.weight |= {"\x01": 2 * rare, "\x02": rare, "**": rare, "~~": rare}
+        self.weight |= {t: min(GLUE, self.weight.get(t, GLUE)) for t in {*LIVING, *COMMON_HAN, *"abcdefghijklmnopqrstuvwxyz0"}}
         self.other = math.log(1 + documents / (1 + documents**0.5))
         self.whole = [sum(map(self.weight.get, t)) for t in self.terms]
         # who contains enough of an exemplar holds one of its rarest terms, which so are all that need be looked up
         self.anchors: dict[str, list[int]] = defaultdict(list)
+        self.mentions: dict[str, list[int]] = defaultdict(list)
+        self.need: list[float] = []
         for e, own in enumerate(self.terms):
-            left = self.whole[e] * (rule.bare if self.labels[e] == "mention" else rule.contained)
-            missed = self.whole[e] - left
+            mention = self.labels[e] == "mention"
+            self.need.append(rule.mentioned if mention else 1 - 1e-9 if "\x02" in own else rule.contained)  # a doubtful placeholder needs its whole frame
+            missed = self.whole[e] * (1 - self.need[e])
             for t in sorted(own, key=lambda t: (-self.weight[t], t)):
                 if missed < 0:
                     break
-                self.anchors[t].append(e)
+                (self.mentions if mention else self.anchors)[t].append(e)
                 missed -= self.weight[t]
+        self.keys = frozenset(self.anchors)
+
+    def contained(self, e: int, own: set[str]) -> float:
+        return sum(self.weight[t] for t in self.terms[e] & own) / self.whole[e]
 
     def label(self, window: str, rule: Coverage) -> str | None:
         """The label of the residue that a window is, if it is any."""
-        words, terms = _terms(window)
-        if not terms:
+        own = _terms(window, rule.run)
+        hit = own & self.keys
+        if not hit:
+            return None
+        covered: dict[str, set[str]] = defaultdict(set)
+        for e in {e for t in hit for e in self.anchors[t]}:
+            if self.contained(e, own) >= self.need[e]:
+                covered[self.labels[e]] |= self.terms[e]
+        if not covered:
+            return None
+        whole = sum(self.weight.get(t, self.other) for t in own)
+        best, name = 0.0, None
+        for label, terms in covered.items():
+            # a placeholder has its place in any frame: what else stands in its window doesn't tell against it
+            share = 1.0 if "\x01" in terms else sum(self.weight[t] for t in terms & own) / whole
+            if share >= rule.explained and (share, label) > (best, name or ""):
+                best, name = share, label
+        if name and any(self.contained(e, own) >= self.need[e] for e in {e for t in own & self.mentions.keys() for e in self.mentions[t]}):
             return None
-        own = terms - {"\x02"} | {"\x01"} if "\x02" in terms else terms
-        near = {e for t in own & self.anchors.keys() for e in self.anchors[t]}
-        best, mention, name = 0.0, 0.0, None
-        if near:
-            weight = sum(self.weight.get(t, self.other) for t in own)
-            for e in near:
-                s = sum(self.weight[t] for t in self.terms[e] & own)
-                inside = s / self.whole[e]
-                if self.labels[e] == "mention":
-                    mention = max(mention, inside)
-                elif inside >= rule.contained and s >= rule.explained * weight and inside > best:
-                    best, name = inside, self.labels[e]
-        if "\x01" in terms and mention < rule.bare:
-            return "template"
-        words = [t for t in words if len(t) > 1]
-        if len(words) >= rule.words and sum(t in self.filler for t in words) >= rule.filler * len(words) and len(set(words)) > 1:
-            return "filler"
-        return name if best >= mention else None
+        return name
 
 
 _index: Index | None = None
@@ -226,7 +313,7 @@ def frequencies(df: DataFrame, text: str) -> tuple[int, dict[str, int]]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 n += 1
-                seen.update(index.vocabulary & _kinds(set(_words(t.lower()))) if t else ())
+                seen.update(index.vocabulary & set(map(_KIND.__getitem__, set(_words(t.lower())))) if t else ())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
