@@ -88,6 +88,25 @@ def test_names_after_capitalised_words_and_uncued_chinese_names(spark):
     assert all(got[t] == t.replace(n, "[PERSON]") for t, n in away.items()) and all(got[t] == t for t in [*plain, *filler])
 
 
+def test_long_names_and_sentences_of_other_texts(spark):
+    long = "Anna-" + "Friederike-Wilhelmina-Charlotte-" * 8 + "Luise Holt"
+    want = {"I met Sarah Johnson at the cafe yesterday.": "Sarah Johnson", "My colleague Priya Natarajan called.": "Priya Natarajan", "Our accountant is Tomás García.": "Tomás García", f"{long} said so.": long, f"As he heard, {long} wrote back.": long, "Dr. Omar Haddad came by": "Omar Haddad", "我告诉王小明，今天不来": "王小明"}
+    plain = ["The lock manager should own this.", "THE MANAGER ASKED CLOCK DRIFT", "The system called Green Field is open", "I asked the team twice"]
+    texts = [*want, *plain, *[f"the user and the file {i} are as here as in a row of the end; asked the team, the system is a green field 我们今天把文件放在这里" for i in range(40)]]
+    found = [(texts[int(r.id)], texts[int(r.id)][r.a : r.b]) for r in pii.find(frame(spark, texts), ["id"], "content").filter("kind = 'person'").collect()]
+    assert sorted(f for f in found if f[0] not in plain) == sorted(want.items())
+    assert not [f for f in found if f[0] in plain and f[0] != plain[2]]
+
+
+def test_places_are_learnt(spark):
+    """No list holds the surroundings "strolls past", yet the corpus shows that persons stand before it."""
+    names = [f"{a} {b}" for a in ("Jane", "Omar", "Priya") for b in ("Holt", "Haddad", "Lind")]
+    texts = [*[f"I met {n} in {i}." for i, n in enumerate(names)], *[f"{n} strolls past the gate." for n in names], "jane quill strolls past the gate.", *[f"the user and the file {i} are as here as in a row of the end" for i in range(40)]]
+    assert ("after", "strolls past", True) in pii.places(frame(spark, texts), "content", pii.Disclosure())
+    found = {(r.id, texts[int(r.id)][r.a : r.b]) for r in pii.find(frame(spark, texts), ["id"], "content").filter("kind = 'person'").collect()}
+    assert ("18", "jane quill") in found and {(str(9 + i), n) for i, n in enumerate(names)} <= found
+
+
 def test_empty(spark):
     df = frame(spark, [])
     assert pii.find(df, ["id"], "content").count() == 0
