@@ -3,10 +3,13 @@
 Vectors are scaled to length 1 and rotated at random, so that the distance on
 a few dimensions estimates the whole. Copies are searched for once, through
 one representative. An inverted index holds every representative in the list
-of its nearest centroid (centroids come from a bounded sample); a query visits
-the lists that can hold near enough vectors. Within a list, dimensions come in
-column blocks: after each block a hypothesis test on the partial distance
-abandons the candidates that are too far, and the rest are measured exactly.
+of its nearest centroid (centroids come from a bounded sample); lists that are
+large have lists of their own, from a bounded sample of each, so that the work
+for a vector doesn't grow with the number of vectors; a query visits the lists
+that can hold near enough vectors. A list of any size is scanned in pieces of
+candidates times pieces of queries. Within a piece, dimensions come in column
+blocks: after each block a hypothesis test on the partial distance abandons
+the candidates that are too far, and the rest are measured exactly.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ class Scan:
 
     k neighbours of similarity min_sim at least; lists of about list_rows
     vectors, max_lists at most, from a sample of train_per_list rows a list;
-    at most probes lists a query, and those only whose border is within
-    border_z standard deviations of where a neighbour can be; blocks of
-    column_block dimensions, tested at epsilon (the larger, the fewer true
-    neighbours are abandoned); pieces of piece_rows candidates of a list.
+    lists of twice list_rows or more have max_sublists lists of their own at
+    most. A query visits the lists whose border is within border_z standard
+    deviations of where a neighbour can be, the nearest `probes` of them
+    (None: all). Blocks of column_block dimensions, tested at epsilon (the
+    larger, the fewer true neighbours are abandoned); pieces of piece_rows
+    rows. exact: no lists and no tests, all pairs of pieces.
     """
 
     dim: int = 64
@@ -41,12 +46,14 @@ class Scan:
     min_sim: float = 0.9
     list_rows: int = 128
     max_lists: int = 4096
+    max_sublists: int = 256
     train_per_list: int = 8
-    probes: int = 6
+    probes: int | None = None
     border_z: float = 2.5
     column_block: int = 16
     epsilon: float = 2.1
     piece_rows: int = 4096
+    exact: bool = False
     seed: int = 20
 
 
@@ -100,13 +107,12 @@ def _centroids(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def _assign(c: np.ndarray, scan: Scan):
-    """Batches with `home`, the list of each vector, and `visits`, the lists to search for it (home first)."""
+def _placing(c: np.ndarray, scan: Scan):
+    """For rows of vectors, the list of each, the lists to search for it, and how many these are."""
     half = (c * c).sum(1) / 2
     apart = np.sqrt(np.maximum(2 * (half[:, None] + half[None, :] - c @ c.T), 1e-9)).astype(np.float32)
     reach = math.sqrt(max(0.0, 2 - 2 * scan.min_sim)) * min(1.0, scan.border_z / math.sqrt(scan.dim))
-    width = min(scan.probes, len(c))
-
+    width = min(scan.probes or len(c), len(c))
     step = max(1, (1 << 21) // len(c))  # rows at a time: what is held doesn't grow with the number of lists
 
     def placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,26 +125,49 @@ def _assign(c: np.ndarray, scan: Scan):
         kept = np.take_along_axis(border, near, 1) <= reach
         return home, near[kept], kept.sum(1)
 
+    def all_placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        home, near, sizes = zip(*[placed(x[a : a + step]) for a in range(0, max(len(x), 1), step)], strict=True)
+        return np.concatenate(home), np.concatenate(near), np.concatenate(sizes)
+
+    return all_placed
+
+
+def _assign(c: np.ndarray, scan: Scan):
+    """Batches with `home`, the list of each vector, and `visits`, the lists to search for it."""
+    place = _placing(c, scan)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("vec"), scan.dim)
             if len(x) == 0:
                 continue
-            home, near, sizes = map(np.concatenate, zip(*[placed(x[a : a + step]) for a in range(0, len(x), step)], strict=True))
+            home, near, sizes = place(x)
             visits = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), near.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(home.astype(np.int32)), visits], ["id", "vec", "home", "visits"])
 
     return run
 
 
+def _nearest(i: np.ndarray, j: np.ndarray, gone: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest candidates of each query, and the place of each among them."""
+    order = np.lexsort((gone, i))
+    i, j, gone = i[order], j[order], gone[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    kept = rank < k
+    return i[kept], j[kept], gone[kept], rank[kept]
+
+
 def scan_list(q: np.ndarray, x: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query rows, candidate rows and similarities found, and the number of products of dimensions spent.
 
-    Keeps for each query at least its k nearest among x that reach min_sim (and itself, if it is there).
+    Keeps for each query its k + 1 nearest among x that reach min_sim (one
+    more than asked, for itself, if it is there): what is held is bounded by
+    the queries, however many candidates are near.
     """
-    d, spent, found = scan.dim, 0, []
+    d, spent = scan.dim, 0
+    best = np.array([], int), np.array([], int), np.array([], np.float32)
     limit = np.full(len(q), 2 - 2 * scan.min_sim, np.float32)  # squared distance; sinks as neighbours are found
-    bound = lambda t: (1 + scan.epsilon / math.sqrt(t)) ** 2 * t / d
+    bound = lambda t: np.inf if scan.exact else (1 + scan.epsilon / math.sqrt(t)) ** 2 * t / d
     first = min(scan.column_block, d)
     for a in range(0, len(x), 512):
         part = x[a : a + 512]
@@ -154,18 +183,12 @@ def scan_list(q: np.ndarray, x: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.
                 spent += len(i) * (to - t)
                 left = gone <= limit[s : s + 4096][i] * (bound(to) if to < d else 1) + 1e-6
                 i, j, gone = i[left], j[left], gone[left]
-            found.append((i + s, j + a, gone))
-        if a + 512 < len(x):
-            i, j, gone = map(np.concatenate, zip(*found, strict=True))
-            order = np.lexsort((gone, i))
-            i, j, gone = i[order], j[order], gone[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            kept = rank <= scan.k  # one more, for the query itself
-            i, j, gone = i[kept], j[kept], gone[kept]
-            full = rank[kept] == scan.k
-            limit[i[full]] = np.minimum(limit[i[full]], gone[full])
-            found = [(i, j, gone)]
-    i, j, gone = map(np.concatenate, zip(*found, strict=True)) if found else (np.array([], int), np.array([], int), np.array([], np.float32))
+            if len(i):
+                i, j, gone, rank = _nearest(*map(np.concatenate, zip(best, (i + s, j + a, gone), strict=True)), scan.k + 1)
+                full = rank == scan.k
+                limit[i[full]] = np.minimum(limit[i[full]], gone[full])
+                best = i, j, gone
+    i, j, gone = best
     return i, j, 1 - np.maximum(gone, 0) / 2, spent
 
 
@@ -173,9 +196,9 @@ def _search(scan: Scan):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
         x = _matrix(group.column("vec"), scan.dim)
-        inside = np.flatnonzero(group.column("inside").to_numpy(zero_copy_only=False))
-        i, j, sim, _ = scan_list(x, x[inside], scan)
-        a, b = ids[i], ids[inside[j]]
+        asks, holds = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("asks", "holds"))
+        i, j, sim, _ = scan_list(x[asks], x[holds], scan)
+        a, b = ids[asks[i]], ids[holds[j]]
         other = a != b
         a, b, sim = a[other], b[other], sim[other]
         order = np.lexsort((b, -sim, a))
@@ -186,12 +209,66 @@ def _search(scan: Scan):
     return run
 
 
+def _sublists(visit: DataFrame, sizes: dict[int, tuple[int, int]], scan: Scan) -> DataFrame:
+    """visit (id, vec, list, inside) with `sub`, the list within its list: rows go on to all that they must search.
+
+    sizes: rows inside and visiting of every list. Large lists have centroids
+    from a sample of train_per_list rows each, trained list by list; every
+    block of piece_rows rows of the list is placed by itself.
+    """
+    large = {i: min(scan.max_sublists, n // scan.list_rows) for i, (n, _) in sizes.items() if n >= 2 * scan.list_rows and not scan.exact}
+    if not large or scan.max_sublists < 2:
+        return visit.withColumn("sub", F.lit(0))
+    # at most max_lists rows of four numbers: a bounded broadcast
+    rows = [(i, n, max(1, sizes[i][0] // (n * scan.train_per_list)), -(-sizes[i][1] // scan.piece_rows)) for i, n in large.items()]
+    plan = F.broadcast(visit.sparkSession.createDataFrame(rows, "list int, n int, every int, blocks int"))
+    rest = visit.join(plan, "list", "left_anti").withColumn("sub", F.lit(0))
+    visit = visit.join(plan, "list")
+    schema = "list int, sub int, vec array<float>"
+
+    def train(group: pa.Table) -> pa.Table:
+        x = _matrix(group.column("vec"), scan.dim)[np.argsort(group.column("id").to_numpy(), kind="stable")]
+        c = _centroids(x, min(group.column("n")[0].as_py(), len(x)))
+        return pa.table([pa.array([group.column("list")[0].as_py()] * len(c), pa.int32()), pa.array(np.arange(len(c), dtype=np.int32)), _lists(c)], ["list", "sub", "vec"])
+
+    sample = visit.filter(F.col("inside") & (F.pmod(F.xxhash64("id", F.lit(scan.seed)), F.col("every")) == 0))
+    # few rows a list: written, as they are read for every block
+    centres = cut(sample.select("list", "id", "n", "vec").groupBy("list").applyInArrow(train, schema))
+    placed = visit.select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec", "inside", F.lit(-1).alias("sub"))
+    each = centres.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).cast("long").alias("id"), "vec", F.lit(False).alias("inside"), "sub")
+
+    def place(group: pa.Table) -> pa.Table:
+        sub = group.column("sub").to_numpy()
+        x, ids, inside = _matrix(group.column("vec"), scan.dim), group.column("id").to_numpy(), group.column("inside").to_numpy(zero_copy_only=False)
+        centre, own = np.flatnonzero(sub >= 0), np.flatnonzero(sub < 0)
+        centre = centre[np.argsort(sub[centre])]
+        if not len(centre):  # no row of a small list came into its sample
+            return pa.table([pa.array(ids[own]), _lists(x[own]), pa.array([group.column("list")[0].as_py()] * len(own), pa.int32()), pa.array(inside[own]), pa.array(np.zeros(len(own), np.int32))], ["id", "vec", "list", "inside", "sub"])
+        home, near, n = _placing(x[centre], scan)(x[own])
+        row = np.repeat(np.arange(len(own)), n)
+        return pa.table([pa.array(ids[own][row]), _lists(x[own][row]), pa.array([group.column("list")[0].as_py()] * len(row), pa.int32()), pa.array(inside[own][row] & (home[row] == near)), pa.array(near.astype(np.int32))], ["id", "vec", "list", "inside", "sub"])
+
+    made = placed.unionByName(each).groupBy("list", "block").applyInArrow(place, "id long, vec array<float>, list int, inside boolean, sub int")
+    return rest.unionByName(cut(made))
+
+
+def _pieces(visit: DataFrame, scan: Scan) -> DataFrame:
+    """visit with the pieces in which rows ask and are held; lists with more than piece_rows of either are cut into pieces of both."""
+    sizes = visit.groupBy("list", "sub").agg(F.count_if("inside").alias("held"), F.count("*").alias("asked")).filter(F.greatest("held", "asked") > scan.piece_rows)
+    sizes = sizes.select("list", "sub", F.ceil(F.col("held") / scan.piece_rows).cast("int").alias("cs"), F.ceil(F.col("asked") / scan.piece_rows).cast("int").alias("vs"))
+    at = visit.join(sizes, ["list", "sub"], "left").withColumns({"cs": F.greatest(F.coalesce("cs", F.lit(1)), F.lit(1)), "vs": F.coalesce("vs", F.lit(1))})
+    at = at.withColumns({"c": F.pmod(F.xxhash64("id", F.lit(1)), F.col("cs")).cast("int"), "v": F.pmod(F.xxhash64("id", F.lit(2)), F.col("vs")).cast("int")})
+    asking = F.transform(F.sequence(F.lit(0), F.col("cs") - 1), lambda c: F.struct(c.alias("c"), F.col("v").alias("v"), F.lit(True).alias("asks"), (F.col("inside") & (c == F.col("c"))).alias("holds")))
+    held = F.transform(F.filter(F.sequence(F.lit(0), F.col("vs") - 1), lambda v: F.col("inside") & (v != F.col("v"))), lambda v: F.struct(F.col("c").alias("c"), v.alias("v"), F.lit(False).alias("asks"), F.lit(True).alias("holds")))
+    return at.select("list", "sub", "id", "vec", F.explode(F.concat(asking, held)).alias("p")).select("list", "sub", "id", "vec", "p.*")
+
+
 def _edges(reps: DataFrame, scan: Scan) -> DataFrame:
     """a, b, sim: for each representative its k nearest of similarity min_sim at least."""
     spark, n = reps.sparkSession, reps.count()
     if n == 0:
         return spark.createDataFrame([], "a long, b long, sim float")
-    lists = max(1, min(scan.max_lists, n // scan.list_rows))
+    lists = 1 if scan.exact else max(1, min(scan.max_lists, n // scan.list_rows))
     want = lists * scan.train_per_list
     # the sample is bounded by max_lists * train_per_list rows
     sample = reps.select("vec").sample(min(1.0, 1.2 * want / n + 50 / n), seed=scan.seed).limit(want).toArrow()
@@ -200,19 +277,15 @@ def _edges(reps: DataFrame, scan: Scan) -> DataFrame:
         train = _matrix(reps.select("vec").limit(1).toArrow().column("vec"), scan.dim)
     c = _centroids(train, min(lists, len(train)))
     placed = cut(reps.mapInArrow(_assign(c, scan), "id long, vec array<float>, home int, visits array<int>"))
-    # one number a list: at most max_lists rows
-    pieces = [1] * len(c)
-    for home, size in placed.groupBy("home").count().collect():
-        pieces[home] = -(-size // scan.piece_rows)
-    split = F.array(*map(F.lit, pieces)) if max(pieces) > 1 else None
-    visit = placed.select("id", "vec", "home", F.explode("visits").alias("list"))
-    if split is None:
-        visit = visit.withColumn("piece", F.lit(0)).withColumn("inside", F.col("home") == F.col("list"))
+    visit = placed.select("id", "vec", F.explode("visits").alias("list"), "home").withColumn("inside", F.col("home") == F.col("list")).drop("home")
+    # three numbers a list: at most max_lists rows
+    sizes = {r["list"]: (r.held, r.asked) for r in visit.groupBy("list").agg(F.count_if("inside").alias("held"), F.count("*").alias("asked")).collect()}
+    visit = _sublists(visit, sizes, scan)
+    if max(v for _, v in sizes.values()) > scan.piece_rows:
+        visit = _pieces(visit, scan)
     else:
-        own = F.pmod(F.xxhash64("id"), F.element_at(split, F.col("home") + 1)).cast("int")
-        visit = visit.withColumn("piece", F.explode(F.sequence(F.lit(0), F.element_at(split, F.col("list") + 1) - 1)))
-        visit = visit.withColumn("inside", (F.col("home") == F.col("list")) & (F.col("piece") == own))
-    found = visit.drop("home").groupBy("list", "piece").applyInArrow(_search(scan), "a long, b long, sim float")
+        visit = visit.withColumns({"c": F.lit(0), "v": F.lit(0), "asks": F.lit(True), "holds": F.col("inside")})
+    found = visit.select("list", "sub", "c", "v", "id", "vec", "asks", "holds").groupBy("list", "sub", "c", "v").applyInArrow(_search(scan), "a long, b long, sim float")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     both = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     return both.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("rank") <= scan.k)
@@ -226,7 +299,8 @@ def similar(df: DataFrame, key: str, vector: str, scan: Scan = Scan()) -> DataFr
     ids; length doesn't matter; repeated rows are one; an id with several
     vectors counts by each. Among equally similar ones (as are copies) the
     smaller ids come first. Further columns are ignored; an empty table gives
-    no row. Approximate: a neighbour can be missed by the list or the test.
+    no row. Approximate: a neighbour can be missed by the list or the test,
+    but with scan.exact.
     """
     at = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == scan.dim) & ~F.exists("vec", lambda x: x.isNull()))
     made = cut(at.mapInArrow(_prepare(scan.dim, scan.seed), "id long, h1 long, h2 long, vec array<float>"))

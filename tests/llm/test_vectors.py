@@ -38,6 +38,48 @@ def test_recall_over_many_lists(spark):
     assert not pairs(got) - pairs(want)
 
 
+def recall(got, want):
+    pairs = lambda d: {(a, b) for a, to in d.items() for _, b in to}
+    return len(pairs(got) & pairs(want)) / len(pairs(want))
+
+
+def test_recall_over_sublists(spark):
+    """Eight lists, each with lists of its own, and pieces of both sides."""
+    x = planted(1500, 64)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = run(spark, rows, Scan(list_rows=40, max_lists=8, piece_rows=256))
+    want = brute(dict(rows), 10, 0.9)
+    assert recall(got, want) >= 0.98
+
+
+def test_k_nearest_without_threshold(spark):
+    """Clustered vectors over some 25 lists: recall of the 10 nearest, whatever their similarity; all of them if exact."""
+    r = np.random.default_rng(7)
+    x = np.repeat(r.standard_normal((40, 64)), 25, 0) + 0.6 * r.standard_normal((1000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute(dict(rows), 10, -1.0)
+    assert recall(run(spark, rows, Scan(min_sim=-1.0, list_rows=40, probes=8)), want) >= 0.9
+    assert recall(run(spark, rows, Scan(min_sim=-1.0, list_rows=40, exact=True, piece_rows=300)), want) >= 0.999
+
+
+def test_one_dense_list(spark):
+    """All vectors near one another: one list is all, and is searched in pieces of queries and candidates."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal(64) + 0.05 * r.standard_normal((900, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = run(spark, rows, Scan(max_lists=1, max_sublists=1, piece_rows=128))
+    assert recall(got, brute(dict(rows), 10, 0.9)) >= 0.95
+
+
+def test_recall_on_the_tables(spark):
+    """The real vectors of sf0.01 against brute force, sub-lists included."""
+    v = [(r.vector_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/vector_links.parquet").filter("size(embedding) = 64").select("vector_id", "embedding").dropDuplicates(["vector_id"]).collect()]
+    v = [(i, e) for i, e in v if np.isfinite(e).all() and np.any(e)]
+    want = brute(dict(v), 10, 0.9)
+    for scan in (Scan(), Scan(list_rows=16, max_lists=4)):
+        assert recall(run(spark, v, scan), want) >= 0.99
+
+
 def test_copies_and_bad_vectors(spark):
     r = np.random.default_rng(1)
     one, two, three = r.standard_normal((3, 8))
