@@ -33,7 +33,7 @@ class Disclosure:
 
     A surrounding is a person's place if at least place_share of the names in
     it, different ones place_names at least, are made of words that stand
-    where language puts persons, and it has place_part of all such names: so
+    where language puts persons in sure_share of all names with them, and it has place_part of all such names: so
     no more than 1 / place_part surroundings of each of four kinds. Names in
     any case count there if firm_share of all its occurrences, whatever stands
     beside them, are of such names; else only capitalised ones.
@@ -43,7 +43,8 @@ class Disclosure:
     away_rows: int = 3
     place_share: float = 0.6
     place_names: int = 3
-    place_part: float = 0.001
+    place_part: float = 0.005
+    sure_share: float = 0.15
     firm_share: float = 0.3
 
 
@@ -99,6 +100,11 @@ ADDRESS = [
     re.compile(rf"(?<![{_B}])(?:am|an der|an den|im|in der|zum|zur|auf dem|auf der|unter den) {_LATIN} \d{{1,4}}[a-z]?, \d{{5}} {_LATIN}", re.I),
     re.compile(rf"(?:{_SITE}{{2,4}}(?:省|市|州))*(?:{_SITE}{{1,4}}(?:区|县|镇|乡))*{_SITE}{{1,5}}(?:路|街|巷|大道|道|弄|胡同)\s?(?:\d+|[一二三四五六七八九十百零〇]+)\s?(?:号|弄)(?:\s?\d+\s?(?:号楼|栋|室|单元|楼))*"),
 ]
+# What a text must hold for a pattern of ADDRESS to match: one of these words, or the pattern.
+_ADDRESS_HINTS = [
+    frozenset(w.lower() for w in STREETS), frozenset(w.lower() for w in STREETS + STREETS_CASED), re.compile(rf"(?:{'|'.join(map(re.escape, STREETS_DE))}) \d", re.I), re.compile(r"\d, \d{5} "), re.compile(r"[路街巷道弄同]\s?[\d一二三四五六七八九十百零〇]"),
+]
+_TITLE_WORDS = frozenset(t.lower() for t in TITLES)
 _TITLE = rf"(?:(?:{'|'.join(TITLES)})\.? )?"
 _PERSON = rf"{_TITLE}(?:({_LATIN}), ?({_LATIN})|({_LATIN}) (?:[A-Za-zÀ-ɏ]\. )?({_LATIN})|[A-Za-zÀ-ɏ]\. ?({_LATIN}))"
 _UP = r"[A-ZÀ-ÖØ-Þ]"
@@ -125,6 +131,11 @@ SPAN = "struct<a:int,b:int,kind:string,terms:array<string>,cued:boolean>"
 _ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("terms", pa.list_(pa.string())), ("cued", pa.bool_())]))
 
 
+def _narrow(text: str) -> str:
+    """text with full-width characters as plain ones, code point by code point."""
+    return text if text.isascii() else text.translate(_NARROW)
+
+
 def checked_18(text: str) -> bool:
     """Whether an identity number of 18 characters has the check character of GB 11643."""
     s = re.sub(r"[ \-]", "", text).upper()
@@ -189,16 +200,15 @@ class Cues:
         else:
             self.marks.append((max(tokens.split(), key=len), at is self.before, made))
 
-    def persons(self, t: str) -> Iterator[tuple]:
-        """The persons of a text in a person's place; where only capitalised names count, not those of texts all in capitals."""
-        words = set(_WORD.findall(t.lower()))
+    def persons(self, t: str, words: set[str]) -> Iterator[tuple]:
+        """The persons of a text of these words (in lower case) in a person's place; where only capitalised names count, not those of texts all in capitals."""
         before = [p for w in words & self.before.keys() for p in self.before[w]]
         after = [p for w in words & self.after.keys() for p in self.after[w]]
         for mark, first, made in self.marks:
             if mark in t:
                 (before if first else after).append(made)
         before, after = {p[0].pattern: p for p in before}.values(), {p[0].pattern: p for p in after}.values()
-        for m in _TITLED.finditer(t):
+        for m in () if words.isdisjoint(_TITLE_WORDS) else _TITLED.finditer(t):
             yield from _persons(m, 0)
         for pattern, flags in sorted(before, key=lambda p: p[0].pattern):
             for m in pattern.finditer(t):
@@ -220,7 +230,8 @@ def candidates(text: str, cues: Cues | None = None) -> list[tuple]:
     four characters that begin with one of the families are one as a whole.
     """
     cues = cues or Cues()
-    t = text.translate(_NARROW)
+    t = _narrow(text)
+    words = set(_WORD.findall(t.lower()))
     out: list[tuple] = []
 
     def put(*spans: tuple, cued: bool = True) -> None:
@@ -231,9 +242,10 @@ def candidates(text: str, cues: Cues | None = None) -> list[tuple]:
         for m in EMAIL.finditer(t):
             put((*m.span(), "email", []))
     if _DIGITS.search(t):
-        for pattern in ADDRESS:
-            for m in pattern.finditer(t):
-                put((*m.span(), "address", []))
+        for pattern, hint in zip(ADDRESS, _ADDRESS_HINTS, strict=True):
+            if not words.isdisjoint(hint) if isinstance(hint, frozenset) else hint.search(t):
+                for m in pattern.finditer(t):
+                    put((*m.span(), "address", []))
         for m in ID_18.finditer(t):
             if checked_18(m.group()):
                 put((*m.span(), "id_number", []))
@@ -243,7 +255,7 @@ def candidates(text: str, cues: Cues | None = None) -> list[tuple]:
             if 7 <= sum(c.isdigit() for c in m.group()) <= 18:
                 put((*m.span(), "phone", []))
     # readings of one place may overlap each other: "by Jane Holt said" has one from either side
-    put(*{s[:2]: s for s in cues.persons(t)}.values())
+    put(*{s[:2]: s for s in cues.persons(t, words)}.values())
     if _HINT_ZH.search(t):
         for pattern in CUED_ZH:
             for m in pattern.finditer(t):
@@ -269,11 +281,11 @@ def _sighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(0).to_pylist():
             if not text:
                 continue
-            t = text.translate(_NARROW)
+            t = _narrow(text)
             found = {s[:2]: s for m in AWAY.finditer(t) for s in _persons(m, 0) if s[3] and not t[s[0] : s[1]].isupper()}
             if not found:
                 continue
-            sure = {s[:2] for s in _surely.persons(t)}
+            sure = {s[:2] for s in _surely.persons(t, set(_WORD.findall(t.lower())))}
             tokens = [(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(t)]
             starts, ends = [x[0] for x in tokens], [x[1] for x in tokens]
             for (a, e), s in found.items():
@@ -286,7 +298,7 @@ def _sighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def places(df: DataFrame, text: str, rule: Disclosure) -> frozenset[tuple[str, str, bool]]:
     """The surroundings (before or after, tokens, firm) that the corpus shows to be a person's place; of each side and length 1 / rule.place_part at most."""
     seen = cut(spread(df.select(F.col(text).alias("_text"))).mapInArrow(_sighted, "name string, terms array<string>, sure boolean, around array<string>"))
-    known = seen.filter("sure").select(F.explode("terms").alias("term")).distinct()
+    known = seen.select("sure", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if("sure").alias("places"), F.count("*").alias("n")).filter((F.col("places") > 0) & (F.col("places") >= rule.sure_share * F.col("n"))).select("term")
     names = seen.select("name", "terms").distinct()
     all_known = names.select("name", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(known, "term").groupBy("name").agg((F.count("*") == F.first("n")).alias("known"))
     each = seen.select("name", F.explode("around").alias("around")).join(all_known, "name", "left")
@@ -305,7 +317,7 @@ def places(df: DataFrame, text: str, rule: Disclosure) -> frozenset[tuple[str, s
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text:
-                    low = text.translate(_NARROW)
+                    low = _narrow(text)
                     for w in [None, *(by.keys() & set(_WORD.findall(low.lower())))]:
                         for t in by.get(w, ()):
                             n[t] += len(made[t].findall(low))
@@ -319,7 +331,7 @@ def _names_zh(df: DataFrame, text: str, rule: Disclosure) -> DataFrame:
     """term, slots: the whole Chinese names that stand in a person's place rule.away_rows times or more, and how often; written."""
     t = F.translate(text, "：，；\u3000\xa0", ":,;  ")
     found = F.concat(*[F.regexp_extract_all(t, F.lit(c.pattern), F.lit(1)) for c in CUED_ZH])
-    return cut(df.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("slots")).filter(F.col("slots") >= rule.away_rows))
+    return cut(df.filter(F.col(text).rlike(_HINT_ZH.pattern)).select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("slots")).filter(F.col("slots") >= rule.away_rows))
 
 
 def _candidates(df: DataFrame, keep: list[str], text: str, names: DataFrame, rule: Disclosure) -> DataFrame:
