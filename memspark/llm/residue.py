@@ -2,9 +2,8 @@
 
 Labelled exemplars are held in an inverted index from terms to exemplars. A
 text is cut into passage windows (sentences and lines); a window retrieves the
-exemplars with which it shares terms and is compared by TF-IDF containment
-both ways: how much of the exemplar it contains, and how much of it the
-contained exemplars of a label explain together. Terms are concepts: words of
+exemplars that it contains whole and is measured by TF-IDF containment the
+other way: how much of its weight they explain together. Terms are concepts: words of
 one meaning (found, find, gefunden, 找到) are one term, so an exemplar stands
 for every wording of what it says. Term weights come from the document
 frequencies of the whole corpus. Exemplars of the label `mention` are texts
@@ -26,20 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.pii import PLACEHOLDERS
-from memspark.tables import spread
+from memspark.tables import cut, spread
 
 
 @dataclass(frozen=True)
 class Coverage:
-    """A window is residue if exemplars of one label, of each of which it contains `contained` of the weight, explain `explained` of the window's weight.
+    """A window is residue if the exemplars of one label that it contains explain `explained` of its weight.
 
-    mentioned: what of a mention a window must contain to be left alone;
     run: the words a window must have to be repetition or Latin.
     """
 
-    contained: float = 0.9
     explained: float = 0.42
-    mentioned: float = 0.95
     run: int = 4
 
 
@@ -158,7 +154,8 @@ _CONCEPT = {w: c for c, words in reversed(CONCEPTS.items()) for w in words.split
 _HAN_WORDS = "|".join(sorted((w for w in _CONCEPT if len(w) > 1 and w[0] > "\u3400"), key=lambda w: (-len(w), w)))
 _TERM = re.compile(rf"\x01|\x02|[a-zß-ɏ]+(?:'[a-z]+)?|\d+|{_HAN_WORDS}|[㐀-鿿]")
 _ASCII_TERM = re.compile(r"\x01|\x02|[a-z]+(?:'[a-z]+)?|\d+")
-_WINDOW = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])|[\r\n]+|</?(?:html|head|title|body|center|h\d|p|noscript|div)\b[^<>\n]*>", re.I)
+_PASSAGE = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])|[\r\n]+")
+_WINDOW = re.compile(_PASSAGE.pattern + r"|</?(?:html|head|title|body|center|h\d|p|noscript|div)\b[^<>\n]*>", re.I)
 _AGAIN = re.compile(r"([a-z㐀-鿿]{1,12}?)(?:[ ,.]*(?:\d+ )?\1){2,}")
 
 
@@ -175,6 +172,7 @@ class _Kinds(dict):
 
 
 _KIND = _Kinds()
+_GLUE = frozenset({*(_CONCEPT.get(t, t) for t in LIVING), *COMMON_HAN, *"abcdefghijklmnopqrstuvwxyz0"}) - CONCEPTS.keys()
 
 
 def _words(low: str) -> list[str]:
@@ -215,7 +213,7 @@ def _bare(text: str) -> str:
 def windows(text: str) -> list[str]:
     """The passage windows of a text; a line of nothing but a number, as of a status, belongs to that before it, else to the next."""
     out, number = [], ""
-    for w in _WINDOW.split(_bare(text)):
+    for w in (_WINDOW if "<" in text else _PASSAGE).split(_bare(text)):
         if w and not w.isspace():
             if w.strip().isdecimal():
                 if out:
@@ -234,61 +232,43 @@ def _exemplar(text: str) -> frozenset[str]:
 
 
 class Index:
-    """The exemplars by term."""
+    """The exemplars by the term of theirs that the fewest others have."""
 
     def __init__(self) -> None:
         made = {(label, _exemplar(t)): None for label, texts in EXEMPLARS.items() for t in texts}
         self.labels, self.terms = [label for label, _ in made], [t for _, t in made]
         self.vocabulary = frozenset().union(*self.terms)
+        uses = Counter(t for own in self.terms for t in own)
+        self.by: dict[str, list[int]] = defaultdict(list)
+        for e, own in enumerate(self.terms):
+            self.by[min(own, key=lambda t: (t in _GLUE, uses[t], t))].append(e)
+        self.keys = frozenset(self.by)
+
+    def contained(self, own: set[str]) -> list[int]:
+        """The exemplars whose terms are all among those of a window; none if all of them are mentions."""
+        found = [e for t in own & self.keys for e in self.by[t] if self.terms[e] <= own]
+        return found if any(self.labels[e] != "mention" for e in found) else []
 
-    def weigh(self, documents: int, frequency: dict[str, int], rule: Coverage) -> None:
+    def weigh(self, documents: int, frequency: dict[str, int]) -> None:
         rare = math.log(1 + documents)
         self.weight = {t: math.log(1 + documents / (1 + frequency.get(t, 0))) for t in self.vocabulary}
         # a placeholder weighs more than the rarest word, so that no common frame outweighs it
         self.weight |= {"\x01": 2 * rare, "\x02": rare, "**": rare, "~~": rare}
-        self.weight |= {t: min(GLUE, self.weight.get(t, GLUE)) for t in {*LIVING, *COMMON_HAN, *"abcdefghijklmnopqrstuvwxyz0"}}
+        self.weight |= {t: min(GLUE, self.weight.get(t, GLUE)) for t in _GLUE}
         self.other = math.log(1 + documents / (1 + documents**0.5))
-        self.whole = [sum(map(self.weight.get, t)) for t in self.terms]
-        # who contains enough of an exemplar holds one of its rarest terms, which so are all that need be looked up
-        self.anchors: dict[str, list[int]] = defaultdict(list)
-        self.mentions: dict[str, list[int]] = defaultdict(list)
-        self.need: list[float] = []
-        for e, own in enumerate(self.terms):
-            mention = self.labels[e] == "mention"
-            self.need.append(rule.mentioned if mention else 1 - 1e-9 if "\x02" in own else rule.contained)  # a doubtful placeholder needs its whole frame
-            missed = self.whole[e] * (1 - self.need[e])
-            for t in sorted(own, key=lambda t: (-self.weight[t], t)):
-                if missed < 0:
-                    break
-                (self.mentions if mention else self.anchors)[t].append(e)
-                missed -= self.weight[t]
-        self.keys = frozenset(self.anchors)
-
-    def contained(self, e: int, own: set[str]) -> float:
-        return sum(self.weight[t] for t in self.terms[e] & own) / self.whole[e]
-
-    def label(self, window: str, rule: Coverage) -> str | None:
-        """The label of the residue that a window is, if it is any."""
-        own = _terms(window, rule.run)
-        hit = own & self.keys
-        if not hit:
-            return None
+
+    def label(self, own: set[str], found: list[int], rule: Coverage) -> str | None:
+        """The label of a window of these terms that contains these exemplars, if it is residue."""
         covered: dict[str, set[str]] = defaultdict(set)
-        for e in {e for t in hit for e in self.anchors[t]}:
-            if self.contained(e, own) >= self.need[e]:
-                covered[self.labels[e]] |= self.terms[e]
-        if not covered:
+        for e in found:
+            covered[self.labels[e]] |= self.terms[e]
+        if "mention" in covered:
             return None
         whole = sum(self.weight.get(t, self.other) for t in own)
-        best, name = 0.0, None
-        for label, terms in covered.items():
-            # a placeholder has its place in any frame: what else stands in its window doesn't tell against it
-            share = 1.0 if "\x01" in terms else sum(self.weight[t] for t in terms & own) / whole
-            if share >= rule.explained and (share, label) > (best, name or ""):
-                best, name = share, label
-        if name and any(self.contained(e, own) >= self.need[e] for e in {e for t in own & self.mentions.keys() for e in self.mentions[t]}):
-            return None
-        return name
+        # a placeholder has its place in any frame: what else stands in its window doesn't tell against it
+        shares = [(1.0 if "\x01" in terms else sum(self.weight[t] for t in terms) / whole, label) for label, terms in covered.items()]
+        best, name = max(shares)
+        return name if best >= rule.explained else None
 
 
 _index: Index | None = None
@@ -301,42 +281,48 @@ def _shared_index() -> Index:
     return _index
 
 
-def frequencies(df: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """The number of texts, and of those with each term of an exemplar, over all texts.
-
-    Only terms of exemplars are counted, so what comes to the driver is as
-    large as the exemplars, whatever the corpus.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, seen, n = _shared_index(), Counter(), 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                seen.update(index.vocabulary & set(map(_KIND.__getitem__, set(_words(t.lower())))) if t else ())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
-
-    rows = spread(df.select(F.col(text).alias("_text"))).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r.term: r.n for r in rows}
-    return counts.pop("", 0), counts
-
-
 def labelled(df: DataFrame, keep: list[str], text: str, rule: Coverage = Coverage()) -> DataFrame:
     """The columns to keep and residue: template, filler, error or script, of the first window that is some; else null.
 
     One row per row of df; null, empty and blank texts are no residue; texts
-    are searched whole. Rows without a key stay.
+    are searched whole. Rows without a key stay. One pass over the texts
+    retrieves exemplars and counts in how many texts each of their terms
+    stands; weights follow from the counts, which are as many as the
+    exemplars have terms, whatever the corpus; only windows that contain an
+    exemplar are weighed.
     """
-    documents, counts = frequencies(df, text)
     rows = df.select(*keep, F.col(text).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+    lists = pa.list_(pa.list_(pa.string()))
+
+    def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, seen, n, last = _shared_index(), Counter(), 0, None
+        for last in batches:
+            out = []
+            for t in last.column("_text").to_pylist():
+                n += 1
+                near, every = [], set()
+                for w in windows(t) if t else ():
+                    own = _terms(w, rule.run)
+                    every |= own
+                    if not own.isdisjoint(index.keys) and index.contained(own):
+                        near.append(sorted(own))
+                seen.update(every & index.vocabulary)
+                out.append(near)
+            yield pa.RecordBatch.from_arrays([*[last.column(c) for c in keep], pa.array(out, lists), pa.nulls(len(out), pa.string()), pa.nulls(len(out), pa.int64())], [*keep, "near", "term", "n"])
+        if n:
+            none = [pa.nulls(len(seen) + 1, last.column(c).type) for c in keep]
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(len(seen) + 1, lists), pa.array(["", *seen]), pa.array([n, *seen.values()], pa.int64())], [*keep, "near", "term", "n"])
+
+    made = cut(spread(rows).mapInArrow(retrieve, ", ".join([*fields, "near array<array<string>>", "term string", "n bigint"])))
+    counts = {r.term: r.n for r in made.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    documents = counts.pop("", 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _shared_index()
-        index.weigh(documents, counts, rule)
+        index.weigh(documents, counts)
         for b in batches:
-            found = [next(filter(None, (index.label(w, rule) for w in windows(t))), None) if t else None for t in b.column("_text").to_pylist()]
+            found = [next(filter(None, (index.label(own, index.contained(own), rule) for own in map(set, near))), None) if near else None for near in b.column("near").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(found, pa.string())], [*keep, "residue"])
 
-    return spread(rows).mapInArrow(run, ", ".join([*fields, "residue string"]))
+    return made.filter("term IS NULL").select(*keep, "near").mapInArrow(weigh, ", ".join([*fields, "residue string"]))
