@@ -85,9 +85,10 @@ CONCEPTS = {
     "text": "text texte content copy body paragraph absatz inhalt 内容 文本 文字 正文 段落",
     "here": "here hier below 这里 此处 在此 处",
     "put": "insert add enter type write replace fill put provide edit schreiben einfügen ersetzen eingeben ergänzen 输入 填写 替换 添加 补充 编辑",
-    "sample": "sample example placeholder dummy filler beispieltext beispiel platzhalter platzhaltertext blindtext mustertext 示例 占位 样例 占位符",
+    "sample": "sample example placeholder dummy filler beispiel platzhalter 示例 占位 样例 占位符",
+    "sampletext": "beispieltext platzhaltertext blindtext mustertext fülltext 占位文本 示例文本 占位文字 示例文字 示例段落",
     "pending": "coming follow follows folgt tba later soon todo wip später 待 稍后 即将 暂",
-    "describe": "description summary title heading sentence sentences words name short beschreibung titel zusammenfassung satz 描述 标题 摘要 说明 概述",
+    "describe": "describe describes description summary title heading sentence sentences words name short beschreibung titel zusammenfassung satz 描述 标题 摘要 说明 概述",
 }
 # Exemplars as terms of CONCEPTS and words; {} stands for a sure placeholder, ?? for a doubtful one, 400 for a status from 400 to 599, ** for repetition, ~~ for Latin.
 EXEMPLARS = {
@@ -97,7 +98,7 @@ EXEMPLARS = {
         "verantwortlich ??", "datum ??", "titel ??", "nächste prüfung ??", "stand von ??", "负责人 ??", "日期 ??", "时间 ??", "地点 ??", "标题 ??", "姓名 ??", "项目 ??", "欢迎 ??", "会议 ??", "?? 完成", "由 ?? 汇总", "下一步 ??", "本周 ??",
     ],
     "filler": [
-        "lorem ipsum", "dolor sit amet", "~~", "**", "text here", "put text", "put text here", "put describe", "sample text", "text pending", "text pending sample", "describe pending", "put sample text", "put text describe", "put describe here", "lorem", "put describe describe", "put please text", "text put sample", "text pending put", "sample text put please",
+        "lorem ipsum", "dolor sit amet", "~~", "**", "text here", "put text", "put text here", "put describe", "sample text", "text pending", "text pending sample", "describe pending", "put sample text", "sampletext", "sampletext pending", "put sampletext", "sampletext put please", "put text describe", "put describe here", "lorem", "put describe describe", "put please text", "text put sample", "text pending put", "sample text put please",
         "you text here", "you text goes here", "text goes here", "put real text", "put real text please", "sample text put", "put number describe here", "put number describe about", "real text later here", "quick brown fox jumps over lazy dog", "text be here", "text later here", "body copy", "to be written", "to be added", "to be determined", "click to put text", "此处 put text",
     ],
     "error": [
