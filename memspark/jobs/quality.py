@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions.text import first_number, normalize_value
-from memspark.operators.prefix import prefix_sum
+from memspark.operators.prefix import prefix_sum, prefix_sums
 from memspark.operators.state import STATE_TYPES
 from memspark.tables import cut, micros
 
@@ -54,10 +54,10 @@ def restore(hot: DataFrame, archived: DataFrame, wanted: Column) -> tuple[DataFr
 
 
 def predicate_codes(triples: DataFrame) -> DataFrame:
-    """predicate, code: a dictionary in order of the predicates, from 1 (as many rows as predicates)."""
-    from pyspark.sql import Window as W
-
-    return triples.select("predicate").filter("predicate IS NOT NULL").distinct().withColumn("code", F.row_number().over(W.orderBy("predicate")))
+    """predicate, code: a dictionary in order of the predicates, from 1; numbered over ranges, so of any size."""
+    names = triples.select("predicate").filter("predicate IS NOT NULL").distinct()
+    numbered = prefix_sum(names.withColumn("one", F.lit(1).cast("long")), [], ["predicate"], "one", "before")
+    return numbered.select("predicate", (F.col("before") + 1).cast("int").alias("code"))
 
 
 def contradictions(triples: DataFrame, tolerance: float = 0.1) -> DataFrame:
@@ -98,12 +98,13 @@ def contradictions(triples: DataFrame, tolerance: float = 0.1) -> DataFrame:
 
 
 def temporal_contradictions(triples: DataFrame) -> DataFrame:
-    """id of every closed triple that overlaps one of its key (scope, subject_id, predicate) with another value.
+    """id of every triple that overlaps one of its key (scope, subject_id, predicate) with another value, one of the two being closed.
 
-    Counted, not paired: the stretches of each value (merged, so that a value
-    never overlaps itself) that begin before the triple ends, less those that
-    end by its start; more than the triple's own is a contradiction. The
-    counts are prefix sums over the sorted bounds of the key.
+    Counted, not paired. Closed ones: the stretches of each value (merged, so
+    that a value never overlaps itself) that begin before the triple ends,
+    less those that end by its start; more than the triple's own is a
+    contradiction. The counts are prefix sums over the sorted bounds of the
+    key. Open ones: of the other values' closed triples the last end counts.
     """
     from memspark.operators.intervals import periods
 
@@ -116,10 +117,15 @@ def temporal_contradictions(triples: DataFrame) -> DataFrame:
     asked = rows.filter("closed")
     # at one instant: ends, then the ask for a start, the ask for an end, then beginnings
     events = mark(runs, "period_end", "who", 0, 1, 0).unionByName(mark(asked, "a", "id", 0, 0, 1)).unionByName(mark(asked, "b", "id", 0, 0, 2)).unionByName(mark(runs, "period_start", "who", 1, 0, 3))
-    events = events.withColumn("n", F.struct("begins", "ends"))
-    summed = prefix_sum(prefix_sum(events.drop("n"), key, ["at", "o", "who"], "begins", "begun"), key, ["at", "o", "who"], "ends", "ended")
+    summed = prefix_sums(events, key, ["at", "o", "who"], {"begins": "begun", "ends": "ended"})
     counts = summed.filter("o IN (1, 2)").groupBy(F.col("who").alias("id")).agg((F.max(F.when(F.col("o") == 2, F.col("begun"))) - F.max(F.when(F.col("o") == 1, F.col("ended")))).alias("n"))
-    return counts.filter("n > 1").select("id")
+    ends = asked.groupBy(*key, "v").agg(F.max("b").alias("b"))
+    last = ends.groupBy(*key).agg(F.max_by("v", F.struct("b", "v")).alias("v1"), F.max("b").alias("b1"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    second = ends.alias("l").join(last.alias("r"), same).filter("l.v != v1").groupBy(*[F.col(f"l.{k}").alias(k) for k in key]).agg(F.max("l.b").alias("b2"))
+    rest = last.alias("l").join(second.alias("r"), same, "left").select("l.*", "b2")
+    open_ = rows.filter("NOT closed").alias("l").join(rest.alias("r"), same).filter(F.when(F.col("v") == F.col("v1"), F.col("b2")).otherwise(F.col("b1")) > F.col("a"))
+    return counts.filter("n > 1").select("id").unionByName(open_.select("l.id"))
 
 
 def inverse_causes(triples: DataFrame) -> DataFrame:

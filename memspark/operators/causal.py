@@ -42,7 +42,7 @@ def trace(triples: DataFrame, start: str, direction: str = "backward", max_depth
 
 def chains(triples: DataFrame) -> DataFrame:
     """id, root_id, depth of every triple in its causal chain; on or after a cycle `cycle` and -1."""
-    return hierarchy(triples, "id", "predecessor_id").select("id", "root_id", "depth")
+    return hierarchy(triples, "id", "predecessor_id", with_ranges=False)
 
 
 def would_cycle(triples: DataFrame, triple: str, predecessor: str, max_depth: int = 100) -> bool:

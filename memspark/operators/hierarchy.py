@@ -1,21 +1,26 @@
 """Parent links to trees: root, depth, path, nested-set ranges, descendants, cycles.
 
 Upward, subtree sizes; downward, preorder positions from prefix sums of the
-sizes of earlier siblings; ancestors and descendants then follow from the
-ranges. Both passes double the distance they bridge in every round, so a tree
-of depth d takes log2(d) joins, not d. What no round can lead to a root lies
-on a cycle or below one.
+sizes of earlier siblings, and with them depth, root and path. Ancestors and
+descendants then follow from the ranges. Both passes double the distance they
+bridge in every round, so a tree of depth d takes log2(d) rounds, not d; nodes
+that have come to their root stay out of later rounds. What the downward pass
+doesn't reach from a root lies on a cycle or below one.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.prefix import prefix_sum
-from memspark.tables import cut
+from memspark.tables import cut, cut_counting
+
+def _open() -> Column:
+    """Whether a node has not come to its root."""
+    return F.col("ptr").isNotNull()
 
 
 def _links(df: DataFrame, key: str, parent: str) -> DataFrame:
@@ -26,36 +31,51 @@ def _links(df: DataFrame, key: str, parent: str) -> DataFrame:
     return cut(linked.select("id", F.col("known").alias("parent")))
 
 
-def _upward(links: DataFrame) -> DataFrame:
-    """links with root (null if none can be reached), depth and size of the subtree (of no use without a root)."""
+def _doubled(at: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    """at with the pointers of open nodes leading as far again, and with changes, in which up_x is x of the node pointed to."""
+    up = at.select(F.col("id").alias("ptr"), *[F.col(c).alias(f"up_{c}") for c in ["ptr", *changes]])
+    moved = at.filter(_open()).join(up, "ptr", "left")
+    own = {"ptr": F.col("up_ptr"), **changes}
+    return at.filter(~_open()).unionByName(moved.select(*[own[c].alias(c) if c in own else c for c in at.columns]))
+
+
+def _upward(links: DataFrame) -> tuple[DataFrame, int]:
+    """links with the size of each subtree (of no use on or below cycles), and the rounds it took."""
     # sizes on cycles double with every round: as doubles they can't overflow, below 2^53 they are exact
-    at = cut(links.select("id", "parent", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"), F.lit(1.0).alias("size")))
-    left = at.filter("ptr is not null").count()
+    at, left = cut_counting(links.select("id", "parent", F.col("parent").alias("ptr"), F.lit(1.0).alias("size")), _open())
+    rounds = 0
     while left:
-        up = at.select(F.col("id").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"))
-        more = at.filter("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
-        at = cut(
-            at.join(up, "ptr", "left")
-            .join(more, "id", "left")
-            .select("id", "parent", F.col("up_ptr").alias("ptr"), F.coalesce("root", "up_root").alias("root"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("more", F.lit(0.0))).alias("size"))
-        )
-        before, left = left, at.filter("ptr is not null").count()
+        more = at.filter(_open()).groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
+        grown = _doubled(at, {}).join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0.0))).drop("more")
+        before, (at, left), rounds = left, cut_counting(grown, _open()), rounds + 1
         if left == before:  # no node has the depths just bridged, so none is deeper
             break
-    return at.select("id", "parent", F.when(F.col("ptr").isNull(), F.col("root")).alias("root"), "depth", "size")
+    return at.drop("ptr"), rounds
 
 
-def _downward(at: DataFrame, rounds: int, with_path: bool) -> DataFrame:
-    """Sums of `step` (and the ids, joined by /) over the way from the root down to each node."""
-    at = at.select("id", F.col("parent").alias("ptr"), F.col("step").alias("pre"), *[F.col("id").alias("path")] * with_path)
-    for _ in range(rounds):
-        up = at.select(F.col("id").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("pre").alias("up_pre"), *[F.col("path").alias("up_path")] * with_path)
-        path = [F.concat_ws("/", "up_path", "path").alias("path")] * with_path
-        at = cut(at.join(up, "ptr", "left").select("id", F.col("up_ptr").alias("ptr"), (F.col("pre") + F.coalesce("up_pre", F.lit(0))).alias("pre"), *path))
-    return at.drop("ptr")
+def _downward(at: DataFrame, rounds: int | None, with_pre: bool, with_path: bool) -> DataFrame:
+    """at (id, parent and further columns) with root (null where none leads to it) and depth; with pre, the sum of `step`, and path over the way from the root.
+
+    Without a number of rounds, as many as it takes.
+    """
+    top = F.col("parent").isNull()
+    made = at.withColumns({"ptr": F.col("parent"), "root": F.when(top, F.col("id")), "depth": (~top).cast("long")})
+    made = made.withColumn("pre", F.col("step")) if with_pre else made
+    made = made.withColumn("path", F.col("id")) if with_path else made
+    zero = F.lit(0)
+    changes = {"root": F.coalesce("root", "up_root"), "depth": F.col("depth") + F.coalesce("up_depth", zero)}
+    changes |= {"pre": F.col("pre") + F.coalesce("up_pre", zero)} if with_pre else {}
+    changes |= {"path": F.concat_ws("/", "up_path", "path")} if with_path else {}
+    made, left = cut_counting(made, _open())
+    done = 0
+    while left and (rounds is None or done < rounds):
+        before, (made, left), done = left, cut_counting(_doubled(made, changes), _open()), done + 1
+        if left == before:
+            break
+    return made.withColumn("root", F.when(~_open(), F.col("root")))
 
 
-def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent_id", with_path: bool = False) -> DataFrame:
+def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent_id", with_path: bool = False, with_ranges: bool = True) -> DataFrame:
     """id, root_id, depth, pre, last, n_descendants (and path, the ids from the root joined by /), one row per key.
 
     pre is the position in preorder within the tree (siblings by id, the root
@@ -64,19 +84,24 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent_id", with_pa
     row makes a root. On a cycle (a row that names itself is one) or below,
     root_id is `cycle`, depth -1 and the rest null. Rows without a key are no
     nodes; rows of one key are one node, with the least of its parents;
-    further columns are ignored; an empty table gives no row.
+    further columns are ignored; an empty table gives no row. Without ranges,
+    there are only id, root_id, depth (and path), for less.
     """
-    at = _upward(_links(df, key, parent))
-    tree = at.filter("root is not null").withColumn("size", F.col("size").cast("long"))
-    sized = prefix_sum(tree.filter("parent is not null"), ["parent"], ["id"], "size", "earlier").withColumn("step", F.col("earlier") + 1)
-    sized = cut(sized.drop("earlier").unionByName(tree.filter("parent is null").withColumn("step", F.lit(0).cast("long"))))
-    deepest = sized.agg(F.max("depth")).first()[0] or 0
-    placed = _downward(sized, math.ceil(math.log2(deepest + 1)), with_path)
-    path = ["path"] * with_path
-    done = sized.join(placed, "id").select("id", F.col("root").alias("root_id"), "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("n_descendants"), *path)
-    null = F.lit(None)
-    lost = at.filter("root is null").select("id", F.lit("cycle").alias("root_id"), F.lit(-1).cast("long").alias("depth"), *[null.cast("long").alias(c) for c in ("pre", "last", "n_descendants")], *[null.cast("string").alias(c) for c in path])
-    return done.unionByName(lost)
+    links = _links(df, key, parent)
+    if with_ranges:
+        sized, rounds = _upward(links)
+        below = prefix_sum(sized.filter("parent is not null"), ["parent"], ["id"], "size", "earlier").withColumn("step", F.col("earlier") + 1).drop("earlier")
+        links = below.unionByName(sized.filter("parent is null").withColumn("step", F.lit(0.0)))
+        at = _downward(links, rounds, True, with_path)
+    else:
+        at = _downward(links, None, False, with_path)
+    known = F.col("root").isNotNull()
+    if with_ranges:
+        at = at.withColumns({"pre": F.when(known, F.col("pre")).cast("long"), "size": F.when(known, F.col("size")).cast("long")})
+        at = at.withColumns({"last": F.col("pre") + F.col("size") - 1, "n_descendants": F.col("size") - 1})
+    at = at.withColumn("path", F.when(known, F.col("path"))) if with_path else at
+    columns = [*["pre", "last", "n_descendants"] * with_ranges, *["path"] * with_path]
+    return at.select("id", F.coalesce("root", F.lit("cycle")).alias("root_id"), F.when(known, F.col("depth")).otherwise(-1).alias("depth"), *columns)
 
 
 def descendants(nodes: DataFrame) -> DataFrame:

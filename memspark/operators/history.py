@@ -4,7 +4,8 @@ Insert-only satellites: a row is appended where the hash of the value differs
 from that of the update before (or that one had ended), and an end row where
 an update ends before the next begins. No row is ever changed; the end of a
 version is the time of the next row, read by versions() with lead. Attributes
-that change often and rarely go to two satellites. A key of any size is spread
+that change often and those that rarely do go to two satellites, each a table
+of its own with a view of its own. A key of any size is spread
 over ranges of (key, time).
 """
 
@@ -20,8 +21,8 @@ from memspark.tables import cut
 FAST_CHANGES = 4.0
 
 
-def satellites(updates: DataFrame, keys: list[str], attribute: str, fast_changes: float = FAST_CHANGES) -> DataFrame:
-    """keys, at_us, hash, value, ended, satellite (and _range): the rows appended, `ended` marking ends.
+def satellites(updates: DataFrame, keys: list[str], attribute: str, fast_changes: float = FAST_CHANGES) -> dict[str, DataFrame]:
+    """The satellites fast and slow: keys, at_us, hash, value, ended (and _range), the rows appended, `ended` marking ends.
 
     updates: keys, from_us, to_us, value, rank; attribute is one of the keys.
     Of updates of one key and from_us the one of the greatest rank counts
@@ -42,11 +43,19 @@ def satellites(updates: DataFrame, keys: list[str], attribute: str, fast_changes
     rows = cut(rows.select(*keys, "_range", "hash", "value", F.col("prev").isNull().alias("opens"), F.explode(emitted).alias("row")).select(*keys, "_range", "hash", "value", "opens", "row.*"))
     begun = F.count_if(~F.col("ended"))
     rates = rows.groupBy(F.col(attribute).alias("_attribute")).agg((begun > fast_changes * F.count_if(F.col("opens") & ~F.col("ended"))).alias("_fast"))
-    rows = rows.join(rates, F.col(attribute).eqNullSafe(F.col("_attribute")))
-    return rows.withColumn("satellite", F.when(F.col("_fast"), "fast").otherwise("slow")).drop("_attribute", "_fast", "opens")
+    # as many rows as attributes change fast
+    fast = cut(rates.filter("_fast").select("_attribute"))
+    same = F.col(attribute).eqNullSafe(F.col("_attribute"))
+    return {"fast": cut(rows.join(fast, same, "left_semi").drop("opens")), "slow": cut(rows.join(fast, same, "left_anti").drop("opens"))}
 
 
 def versions(appended: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, value, from_us, to_us (null: no end) of every version, from the rows of satellites()."""
+    """keys, value, from_us, to_us (null: no end) of every version: the view of one satellite."""
     rows = neighbour(appended, keys, "at_us", ["at_us"], "next", forward=True).filter(~F.col("ended"))
-    return rows.select(*keys, "value", "satellite", F.col("at_us").alias("from_us"), F.col("next.at_us").alias("to_us"))
+    return rows.select(*keys, "value", F.col("at_us").alias("from_us"), F.col("next.at_us").alias("to_us"))
+
+
+def history(updates: DataFrame, keys: list[str], attribute: str, fast_changes: float = FAST_CHANGES) -> DataFrame:
+    """keys, value, satellite, from_us, to_us of every version, from both satellites."""
+    views = [versions(df, keys).withColumn("satellite", F.lit(name)) for name, df in satellites(updates, keys, attribute, fast_changes).items()]
+    return views[0].unionByName(views[1]).select(*keys, "value", "satellite", "from_us", "to_us")

@@ -4,8 +4,8 @@ Two-level merge. Time is cut into shards at quantiles of the starts, so no
 shard of any entity holds more than about `shard_rows` intervals. An interval
 inside one shard stays a row; one that crosses a border becomes a head (only
 the earliest per shard matters), a tail (only the latest) and a run of wholly
-covered shards. Heads, tails, runs and equal starts collapse before the
-shuffle. Shards merge locally; what touches their borders is stitched on a
+covered shards, one row however many they are. Heads, tails, runs and equal
+starts collapse before the shuffle. Shards merge locally; what touches their borders is stitched on a
 summary of at most three rows per entity and shard.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from memspark.tables import cut
 
-#: Intervals per shard aimed at; and the most shards, which bounds the driver's list of borders.
+#: Intervals per shard aimed at; and the most shards, which bounds the driver's list of borders and what is stitched in one task (beyond 1.3 billion intervals shards grow).
 SHARD_ROWS, MOST_SHARDS = 65_536, 20_000
 
 
@@ -48,6 +48,14 @@ def _islands(pieces: DataFrame, by: list[str]) -> DataFrame:
     return pieces.withColumn("_before", before).withColumn("_run", run).groupBy(*by, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_run")
 
 
+def _covered(islands: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, shard of the shards with islands that lie within a run: one row for each island's shard and run, however many shards a run covers."""
+    none = F.lit(None).cast("long").alias("to_shard")
+    marks = islands.select(*keys, F.col("shard").cast("long"), none).distinct().unionByName(runs.select(*keys, F.col("from_shard").cast("long").alias("shard"), "to_shard"))
+    w = W.partitionBy(*keys).orderBy("shard")  # rows of one shard are peers: a run that begins there counts
+    return marks.withColumn("_until", F.max("to_shard").over(w)).filter("to_shard IS NULL AND _until > shard").select(*keys, F.col("shard").cast("int").alias("shard"))
+
+
 def _merged(spans: DataFrame, keys: list[str], shard_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Islands within shards (with first/last flags, without those of wholly covered shards); stitched blocks; runs of covered shards."""
     borders = _borders(spans, shard_rows)
@@ -74,7 +82,7 @@ def _merged(spans: DataFrame, keys: list[str], shard_rows: int) -> tuple[DataFra
     pieces = inside.groupBy(*k, "s").agg(F.max("e").alias("e"))
     islands = _islands(pieces, k)
     if runs is not None:
-        covered = runs.select(*keys, F.explode(F.sequence(F.col("from_shard").cast("int"), (F.col("to_shard") - 1).cast("int"))).alias("shard"))
+        covered = _covered(islands, runs, keys)
         same = [islands[c].eqNullSafe(covered[c]) for c in k]
         islands = islands.join(covered, same, "left_anti")
     islands = islands.withColumn("prev_e", F.lag("e").over(W.partitionBy(*k).orderBy("s"))).withColumn("next_s", F.lead("s").over(W.partitionBy(*k).orderBy("s")))
@@ -95,7 +103,8 @@ def _spans(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """keys, gap_start, gap_end: the stretches between the first and last covered instant that no [start, end) covers.
 
-    start and end are long columns. Null bounds and ends not after their
+    start and end are long columns (starts below 2^53 in size, as borders are
+    compared as doubles; ends of any size). Null bounds and ends not after their
     starts cover nothing; a null key is a key of its own; touching intervals
     leave no gap; repeated rows and further columns have no effect; no
     interval, no row.

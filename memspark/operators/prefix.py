@@ -31,19 +31,27 @@ def spanning(df: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(extra), [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)], "left").drop(*names)
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """df with `out`, the sum of `value` over the rows before this one in its group (keys may hold nulls).
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """df with, for each value: out of values, the sum of `value` over the rows before this one in its group (keys may hold nulls).
 
     order must tell the rows of a group apart; a null value counts as 0; an
-    empty table stays empty. `out` starts at 0.
+    empty table stays empty. Sums start at 0.
     """
     df = ranged(df, keys, order)
-    by = [*keys, "_range"]
-    base = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    bases = df.groupBy(*by).agg(F.sum(value).alias("_sum")).withColumn("_base", base).filter("_base is not null").drop("_sum")
-    local = F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    by, names = [*keys, "_range"], list(values)
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = df.groupBy(*by).agg(*[F.sum(v).alias(f"_sum{i}") for i, v in enumerate(names)])
+    bases = totals.select(*by, *[F.sum(f"_sum{i}").over(before).alias(f"_base{i}") for i in range(len(names))], F.count("*").over(before).alias("_before")).filter("_before > 0").drop("_before")
+    local = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = spanning(df.withColumns({f"_local{i}": F.sum(v).over(local) for i, v in enumerate(names)}), bases, keys)
     zero = F.lit(0)
-    return spanning(df.withColumn("_local", local), bases, keys).withColumn(out, F.coalesce("_base", zero) + F.coalesce("_local", zero)).drop("_local", "_base", "_range")
+    rows = rows.withColumns({values[v]: F.coalesce(f"_base{i}", zero) + F.coalesce(f"_local{i}", zero) for i, v in enumerate(names)})
+    return rows.drop("_range", *[f"_{k}{i}" for i in range(len(names)) for k in ("base", "local")])
+
+
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """prefix_sums() of one value."""
+    return prefix_sums(df, keys, order, {value: out})
 
 
 def neighbour(df: DataFrame, keys: list[str], order: str, carried: list[str], out: str, forward: bool) -> DataFrame:

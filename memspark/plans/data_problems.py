@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.operators import hierarchy as H
-from memspark.operators.history import satellites, versions
+from memspark.operators.history import history
 from memspark.operators.intervals import gaps, periods
 from memspark.operators.references import check_references, parent_spans
 from memspark.tables import micros, stripped, table
@@ -64,7 +64,7 @@ def _updates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, folder: str) -> DataFrame:
-    return versions(satellites(_updates(spark, folder), STATE_KEY, "predicate"), STATE_KEY)
+    return history(_updates(spark, folder), STATE_KEY, "predicate")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

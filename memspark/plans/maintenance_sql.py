@@ -52,7 +52,7 @@ SQL = {
     "contradiction_kinds": f"""WITH {_T}, {_PAIRS} SELECT DISTINCT id, CASE WHEN causal THEN 'causal' WHEN x IS NOT NULL AND y IS NOT NULL THEN 'numeric' ELSE 'value' END AS kind FROM pairs
 WHERE causal OR (x IS NOT NULL AND y IS NOT NULL AND x <> y AND abs(x - y) / greatest(abs(x), abs(y)) > 0.1) OR ((x IS NULL OR y IS NULL) AND single)""",
     "contradiction_temporal": f"""WITH {_T}, r AS (SELECT id, scope, subject_id, predicate, {_VALUES} AS v, valid_from AS a, coalesce(valid_to, 'infinity') AS b, valid_to IS NOT NULL AS closed FROM t WHERE valid_from < coalesce(valid_to, 'infinity'))
-SELECT DISTINCT x.id FROM r x JOIN r y ON x.scope = y.scope AND x.subject_id = y.subject_id AND x.predicate = y.predicate AND x.v <> y.v AND x.a < y.b AND y.a < x.b WHERE x.closed""",
+SELECT DISTINCT x.id FROM r x JOIN r y ON x.scope = y.scope AND x.subject_id = y.subject_id AND x.predicate = y.predicate AND x.v <> y.v AND x.a < y.b AND y.a < x.b WHERE x.closed OR y.closed""",
     "causal_inverse": """WITH c AS (SELECT scope, predicate, subject_id AS s, object_id AS o, min(id) AS id FROM triples WHERE predicate IN ('导致', 'causes', 'leads_to') AND valid_to IS NULL AND object_id IS NOT NULL GROUP BY ALL)
 SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.scope = y.scope AND x.predicate = y.predicate AND x.s = y.o AND x.o = y.s AND x.id < y.id""",
     "cross_project_patterns": f"WITH {_T}, {_KEYED} SELECT pattern, projects, support, representative FROM found",

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+    """cut(df), and the number of its rows for which `which` holds, counted as they are written."""
+    seen = Observation()
+    at = cut(df.observe(seen, F.count_if(which).alias("n")))
+    return at, seen.get.get("n") or 0
+
+
 _shipped: set[str] = set()
 
 

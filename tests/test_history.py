@@ -1,6 +1,6 @@
 import random
 
-from memspark.operators.history import satellites, versions
+from memspark.operators.history import history, satellites
 
 SCHEMA = "k string, from_us long, to_us long, value string, rank int, hash string, prev string"
 
@@ -26,7 +26,7 @@ def brute(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    got = [tuple(r) for r in versions(satellites(df, ["k"], "k"), ["k"]).select("k", "value", "from_us", "to_us").collect()]
+    got = [tuple(r) for r in history(df, ["k"], "k").select("k", "value", "from_us", "to_us").collect()]
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
@@ -47,4 +47,5 @@ def test_empty(spark):
 def test_split_by_change_rate(spark):
     rows = [("fast", i, None, str(i), 0) for i in range(9)] + [("slow", 1, None, "A", 0), ("slow", 2, None, "A", 0)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    assert {(r.k, r.satellite) for r in satellites(df, ["k"], "k").collect()} == {("fast", "fast"), ("slow", "slow")}
+    assert {(r.k, n) for n, at in satellites(df, ["k"], "k").items() for r in at.collect()} == {("fast", "fast"), ("slow", "slow")}
+    assert {(r.k, r.satellite) for r in history(df, ["k"], "k").collect()} == {("fast", "fast"), ("slow", "slow")}

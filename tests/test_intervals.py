@@ -3,8 +3,9 @@ from collections import defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from memspark.operators.intervals import gaps, periods
+from memspark.operators.intervals import _merged, gaps, periods
 
 SCHEMA = "k string, a long, b long, s string, e string"
 
@@ -56,5 +57,15 @@ def test_long_interval_covers_whole_shards(spark):
     check(spark, [("x", 0, 90)] + [("x", i, i + 1) for i in range(0, 100, 2)], 3)
 
 
+def test_open_intervals_make_few_rows(spark):
+    """20,000 intervals without end over 100 shards: no row per covered shard."""
+    n = 20_000
+    df = spark.range(n).select((F.col("id") % 500).cast("string").alias("k"), (F.col("id") * 7).alias("s"), F.lit(2**62).alias("e"))
+    islands, blocks, runs = _merged(df, ["k"], n // 100)
+    assert islands.count() + blocks.count() + runs.count() <= 2 * n
+    assert runs.count() <= 500 and "Generate" not in runs._jdf.queryExecution().toString()
+    assert periods(df.withColumnsRenamed({"s": "a", "e": "b"}), ["k"], "a", "b", n // 100).count() == 500
+
+
 def test_empty(spark):
     check(spark, [], 2)
