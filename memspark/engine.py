@@ -9,10 +9,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.jobs import quality
 from memspark.operators import causal, fusion, graph, search, spatial, state, temporal
 from memspark.scope import ScopeFilter
-from memspark.tables import table
+from memspark.tables import cut, table
 
+# What marks archived records in a context, and the length of a snippet.
+ARCHIVED, SNIPPET = "[归档] ", 120
 TABLES = ("entities", "triples", "locations", "temporal_fragments", "vector_links", "project_current_state")
 
 
@@ -32,10 +35,10 @@ class Request:
 
 
 class Memory:
-    """Lazy: every method but find_path gives a DataFrame. Rows of one id count once."""
+    """Lazy: every method but find_path gives a DataFrame. Rows of one id count once: they are compared after filters and projections, so these reach the scan."""
 
     def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = {n: df.dropDuplicates(["id"]) if "id" in df.columns else df for n, df in tables.items()}
+        self.tables = dict(tables)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, names: Sequence[str] = TABLES) -> Memory:
@@ -54,6 +57,10 @@ class Memory:
             raise ValueError(f"no such table: {name!r}")
         return temporal.query_in_range(self.tables[name], start, end, self._scope(scope), limit)
 
+    def get(self, name: str, key: str) -> DataFrame:
+        """The record of a table with this id: a point lookup that reaches the scan."""
+        return self.tables[name].filter(F.col("id") == key).limit(1)
+
     def timeline(self, entities: DataFrame, **roles: bool) -> DataFrame:
         return temporal.timeline(self.tables["triples"], entities, **roles)
 
@@ -106,7 +113,7 @@ class Memory:
         if r.entity is not None:
             start = t.sparkSession.createDataFrame([(r.entity,)], "id string")
             hood = graph.n_degree(t, start, 2, scope).select("node").unionByName(start.withColumnRenamed("id", "node"))
-            now = t.filter("valid_to IS NULL")
+            now = t.filter("valid_to IS NULL").select("id", "subject_id", "object_id", "valid_from")
             touching = now.join(hood, F.col("subject_id") == F.col("node"), "left_semi").unionByName(now.join(hood, F.col("object_id") == F.col("node"), "left_semi")).dropDuplicates(["id"])
             rankings.append(search.ranks(touching.orderBy(F.desc("valid_from"), "id").limit(20), "id", [F.desc("valid_from"), F.col("id")], "graph"))
         if r.triple is not None:
@@ -120,20 +127,63 @@ class Memory:
         """layer, key, score, text, tokens of the candidates of all layers, each id in its first layer, in order (place)."""
         f, t = self.tables["temporal_fragments"], self.tables["triples"]
         session = f.filter("layer = 'L0' AND content IS NOT NULL")
-        session = (session if r.scope is None else session.filter(r.scope.column())).orderBy(F.desc_nulls_last("importance"), F.desc_nulls_last("updated_at"), "id").limit(r.top_k)
+        session = (session if r.scope is None else session.filter(r.scope.column())).select("id", "importance", "updated_at", "content").dropDuplicates(["id"]).orderBy(F.desc_nulls_last("importance"), F.desc_nulls_last("updated_at"), "id").limit(r.top_k)
         l0 = session.select(F.lit(0).alias("layer"), F.col("id").alias("key"), F.coalesce("importance", F.lit(0.0)).alias("score"), F.col("content").alias("text"))
-        l1 = self._first_layer(r).join(f.select(F.col("id").alias("key"), F.col("content").alias("text")), "key").select(F.lit(1).alias("layer"), "key", "score", "text")
+        l1 = self._first_layer(r).join(f.select(F.col("id").alias("key"), F.col("content").alias("text")).dropDuplicates(["key"]), "key").select(F.lit(1).alias("layer"), "key", "score", "text")
         thing = F.coalesce(F.when(F.length("object_id") > 0, F.col("object_id")), F.when(F.length("object_value") > 0, F.col("object_value")), F.lit("?"))
-        said = t.select(F.col("id").alias("key"), F.concat_ws(" ", "subject_id", "predicate", thing).alias("text"))
+        said = t.select(F.col("id").alias("key"), F.concat_ws(" ", "subject_id", "predicate", thing).alias("text")).dropDuplicates(["key"])
         l2 = self.hybrid(r).join(said, "key").select(F.lit(2).alias("layer"), "key", "score", "text")
         items = fusion.first_layer(l0.unionByName(l1).unionByName(l2), "key", F.col("layer"), [F.desc("score")])
         place = F.struct(F.col("layer"), (-F.col("score")).alias("s"), F.col("key"))
         return items.withColumn("tokens", fusion.token_estimate(F.col("text"))).withColumn("place", place)
 
-    def recall(self, r: Request) -> DataFrame:
+    def fill(self, r: Request) -> DataFrame:
         """keys, used, truncated: what of the context fits the budget, in order."""
         return fusion.greedy_fill(self.context(r).withColumn("one", F.lit(1)), ["one"], ["place"], "tokens", "key", r.budget).drop("one")
 
+    def recall(self, r: Request, archived: dict[str, DataFrame] | None = None) -> DataFrame:
+        """position, layer, key, score (0 to 1), snippet, text, tokens of what a recall gives.
+
+        The context within the budget and, if archived tables (fragments,
+        triples) are given, up to top_k archived records with the query as a
+        keyword, marked and of score 0.
+        """
+        items = cut(self.context(r))
+        chosen = fusion.greedy_fill(items.withColumn("one", F.lit(1)), ["one"], ["place"], "tokens", "key", r.budget)
+        chosen = chosen.select(F.posexplode("keys").alias("position", "key"))
+        clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+        columns = ["position", F.concat(F.lit("L"), F.col("layer").cast("string")).alias("layer"), "key", clamped.alias("score"), F.substring("text", 1, SNIPPET).alias("snippet"), "text", "tokens"]
+        found = items.join(chosen, "key").select(*columns)
+        if archived is None:
+            return found.orderBy("position")
+        cold = quality.query_archived(archived, r.query, self._scope(r.scope), r.top_k)
+        line = F.concat(F.lit(ARCHIVED), F.col("text"))
+        cold = cold.select((F.col("place") + 1_000_000).alias("position"), F.lit("L2").alias("layer"), F.col("id").alias("key"), F.lit(0.0).alias("score"), F.substring("text", 1, SNIPPET).alias("snippet"), line.alias("text"), fusion.token_estimate(line).alias("tokens"))
+        return found.unionByName(cold).orderBy("position")
+
+    def accesses(self, recalled: DataFrame, at: datetime) -> DataFrame:
+        """id, at: an access for every fragment that a recall gave, to be logged and counted by stores.with_access()."""
+        ids = recalled.select(F.col("key").alias("id")).distinct()
+        return self.tables["temporal_fragments"].select("id").join(ids, "id", "left_semi").distinct().withColumn("at", F.lit(at))
+
+    def graph_query(self, mode: str, start: str, target: str | None = None, max_depth: int = 3, scope: ScopeFilter | None = None) -> DataFrame:
+        """position, id, name of a path, of neighbours (by depth) or of causes (triples with their texts), whatever the start is called."""
+        if mode not in ("path", "neighbours", "causes"):
+            raise ValueError(f"no mode: {mode!r}")
+        e, t = self.tables["entities"], self.tables["triples"]
+        found = self.resolve(start).first()
+        first = found["id"] if found else start
+        if mode == "causes":
+            thing = F.coalesce(F.when(F.length("object_id") > 0, F.col("object_id")), F.when(F.length("object_value") > 0, F.col("object_value")), F.lit("?"))
+            said = t.select("id", F.concat_ws(" ", "subject_id", "predicate", thing).alias("name")).dropDuplicates(["id"])
+            return self.trace(start, "both", max_depth, scope).join(said, "id").select(F.col("depth").alias("position"), "id", "name")
+        if mode == "path":
+            end = self.resolve(target or "").first()
+            rows = self.find_path(first, end["id"] if end else target or "", max_depth, scope).select("position", F.col("node").alias("id"))
+        else:
+            rows = self.n_degree(t.sparkSession.createDataFrame([(first,)], "id string"), max_depth, scope).select(F.col("depth").alias("position"), F.col("node").alias("id"))
+        return graph.with_names(rows, "id", e, "name")
+
     def browse(self, layer: str | None = None, keyword: str | None = None, scope: ScopeFilter | None = None, limit: int = 50) -> DataFrame:
         """id, kind, layer, scope, text, at of memories, the latest first: fragments, triples (as L2) and entities (as L1)."""
         f, t, e = self.tables["temporal_fragments"], self.tables["triples"], self.tables["entities"]
@@ -143,4 +193,4 @@ class Memory:
         rows = rows.unionByName(e.select("id", F.lit("entity").alias("kind"), F.lit("L1").alias("layer"), "scope", F.col("name").alias("text"), F.col("valid_from").alias("at")))
         for wanted in (None if layer is None else F.col("layer") == layer, None if keyword is None else search.keyword_like(F.col("text"), keyword), self._scope(scope)):
             rows = rows if wanted is None else rows.filter(wanted)
-        return rows.orderBy(F.desc_nulls_last("at"), "id").limit(limit)
+        return rows.dropDuplicates(["id", "kind"]).orderBy(F.desc_nulls_last("at"), "id").limit(limit)

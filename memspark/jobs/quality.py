@@ -6,10 +6,12 @@ from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memspark.functions.text import first_number, normalize_value
 from memspark.operators.prefix import prefix_sum, prefix_sums
+from memspark.operators.search import keyword_like
 from memspark.operators.state import STATE_TYPES
 from memspark.tables import cut, micros
 
@@ -53,6 +55,55 @@ def restore(hot: DataFrame, archived: DataFrame, wanted: Column) -> tuple[DataFr
     return hot.unionByName(back), archived.filter(~F.coalesce(wanted, F.lit(False)))
 
 
+def query_archived(archived: dict[str, DataFrame], keyword: str, scope: Column | None = None, top_k: int = 50) -> DataFrame:
+    """place, id, found_in, text of archived fragments and triples that hold the keyword, the latest first, top_k in all; an empty keyword is held by all."""
+    thing = F.coalesce(F.when(F.length("object_id") > 0, F.col("object_id")), F.when(F.length("object_value") > 0, F.col("object_value")), F.lit("?"))
+    texts = {"temporal_fragments": (F.col("content"), "time_start"), "triples": (F.concat_ws(" ", "subject_id", "predicate", thing), "valid_from")}
+    parts = []
+    for name, (text, at) in texts.items():
+        if name in archived:
+            rows = archived[name] if scope is None else archived[name].filter(scope)
+            rows = rows.select("id", F.lit(name).alias("found_in"), text.alias("text"), F.col(at).cast("timestamp_ntz").alias("at"))
+            parts.append((rows.filter(keyword_like(F.col("text"), keyword)) if keyword else rows).dropDuplicates(["id"]).orderBy(F.desc_nulls_last("at"), "id").limit(top_k))
+    found = reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("at"), "id").limit(top_k)
+    # at most top_k rows
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("at"), "id"))).select("place", "id", "found_in", "text")
+
+
+def check_new(triples: DataFrame, incoming: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """new_id, kind, n, existing: how many rows there contradict each incoming triple, by kind, and the first of them.
+
+    incoming: id and the columns of triples. For every row of its key
+    (scope, subject_id, predicate) with another value the first kind that
+    holds: causal (both causal and open), temporal (one closed, and they
+    overlap), numeric, value; besides inverse: the reverse of a new cause is
+    there. Counts, not pairs, so that a key of any size is reduced before the
+    shuffle's end.
+    """
+    key = ["scope", "subject_id", "predicate"]
+    value = F.coalesce(F.when(F.col("object_id") != "", F.col("object_id")), "object_value", F.lit(""))
+
+    def sided(df: DataFrame, side: str, extra: list[str]) -> DataFrame:
+        bounds = [micros(df, "valid_from").alias(f"a_{side}"), F.coalesce(micros(df, "valid_to"), F.lit(2**62)).alias(f"b_{side}"), F.col("valid_to").isNull().alias(f"open_{side}")]
+        return df.select(*[F.col(k).alias(f"{k}_{side}") for k in [*key, "id", "relation_type", *extra]], value.alias(f"v_{side}"), *bounds).dropDuplicates([f"id_{side}"])
+
+    old, new = sided(triples, "old", ["object_id"]), sided(incoming, "new", ["object_id"])
+    pairs = new.join(old, [F.col(f"{k}_new").eqNullSafe(F.col(f"{k}_old")) for k in key]).filter("v_new <> v_old AND id_new <> id_old")
+    x, y = first_number(F.col("v_new")), first_number(F.col("v_old"))
+    both_open = F.col("open_new") & F.col("open_old")
+    causal = (F.col("relation_type_new") == "causal") & (F.col("relation_type_old") == "causal") & both_open
+    temporal = ~both_open & (F.col("a_new") < F.col("b_old")) & (F.col("a_old") < F.col("b_new"))
+    numbers = x.isNotNull() & y.isNotNull()
+    apart = F.try_divide(F.abs(x - y), F.greatest(F.abs(x), F.abs(y))) > tolerance
+    single = F.col("relation_type_new").isin(STATE_TYPES) | F.col("relation_type_old").isin(STATE_TYPES) | F.col("predicate_new").isin(ENUM_PREDICATES)
+    kind = F.when(causal, "causal").when(temporal, "temporal").when(both_open & numbers, F.when(apart, "numeric")).when(both_open & single, "value")
+    cause = (F.col("relation_type_new") == "causal") & F.col("predicate_new").isin(CAUSE_PREDICATES)
+    turned = (F.col("scope_new") == F.col("scope_old")) & (F.col("predicate_new") == F.col("predicate_old")) & (F.col("v_new") == F.col("subject_id_old")) & (F.col("subject_id_new") == F.col("object_id_old"))
+    back = new.filter(cause).join(old.filter("relation_type_old = 'causal' AND open_old"), turned).select("id_new", F.lit("inverse").alias("kind"), "id_old")
+    found = pairs.select("id_new", kind.alias("kind"), "id_old").filter("kind IS NOT NULL").unionByName(back)
+    return found.groupBy(F.col("id_new").alias("new_id"), "kind").agg(F.count("*").alias("n"), F.min("id_old").alias("existing"))
+
+
 def predicate_codes(triples: DataFrame) -> DataFrame:
     """predicate, code: a dictionary in order of the predicates, from 1; numbered over ranges, so of any size."""
     names = triples.select("predicate").filter("predicate IS NOT NULL").distinct()
@@ -158,10 +209,38 @@ def promote(triples: DataFrame, entities: DataFrame, min_projects: int = 3) -> D
     """The triples that global lacks: id, source, subject_key, predicate, object_key; a second run finds none."""
     have = _keyed(triples.filter("scope = 'global'"), entities).select(F.col("pattern").alias("have")).distinct()
     new = cross_project_patterns(triples, entities, min_projects).join(have, F.col("pattern") == F.col("have"), "left_anti")
+    return _promoted(new)
+
+
+def _promoted(new: DataFrame) -> DataFrame:
+    """The global triples of patterns, by id of the pattern and the triple that stands for it."""
     parts = F.split("pattern", r"\|", 3)
     return new.select(F.sha2(F.concat(F.lit("global|"), "pattern"), 256).alias("id"), F.col("representative").alias("source"), parts[0].alias("subject_key"), parts[1].alias("predicate"), parts[2].alias("object_key"))
 
 
+def manual_promote(triples: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for the wanted triples (column id), whichever projects say them; nothing for what global has or of which there is no such triple."""
+    ids = wanted.select("id").distinct()
+    rows = _keyed(triples.join(ids, "id", "left_semi").dropDuplicates(["id"]), entities)
+    have = _keyed(triples.filter("scope = 'global'"), entities).select(F.col("pattern").alias("have")).distinct()
+    new = rows.groupBy("pattern").agg(F.min("id").alias("representative")).join(have, F.col("pattern") == F.col("have"), "left_anti")
+    return _promoted(new)
+
+
+def global_entities(promoted: DataFrame, entities: DataFrame) -> DataFrame:
+    """The entities that promoted triples need in global: id, entity_id, entity_type, name, scope, valid_from, source_closet.
+
+    Copied from the first project entity of that entity_id, its id as
+    source_closet; what global has, and keys that no entity has, make none.
+    """
+    keys = promoted.select(F.col("subject_key").alias("entity_id")).unionByName(promoted.select(F.col("object_key").alias("entity_id"))).distinct()
+    have = entities.filter("scope = 'global'").select("entity_id").distinct()
+    kept = ["id", "entity_type", "name", "valid_from"]
+    source = entities.filter(F.col("scope").startswith("project:")).groupBy("entity_id").agg(F.min_by(F.struct(*kept), "id").alias("s"))
+    rows = source.join(keys, "entity_id", "left_semi").join(have, "entity_id", "left_anti")
+    return rows.select(F.sha2(F.concat(F.lit("global|entity|"), "entity_id"), 256).alias("id"), "entity_id", "s.entity_type", "s.name", F.lit("global").alias("scope"), "s.valid_from", F.col("s.id").alias("source_closet"))
+
+
 def violations(entities: DataFrame, triples: DataFrame, fragments: DataFrame, locations: DataFrame, vectors: DataFrame) -> DataFrame:
     """check, n: rows that break a constraint of the model, over all tables; n may be 0."""
     bad = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,18 @@ def greedy_fill(items: DataFrame, by: list[str], order: list[str], tokens: str,
 
 def rerank_scale(items: DataFrame, by: list[str], score: str, rank: str, head: int = 50) -> DataFrame:
     """items with `scaled`: of the first `head` of each group the score on [0, 1] (all 1 where they are equal), of the rest min(score, 0)."""
-    w = W.partitionBy(*by)
-    top = F.when(F.col(rank) <= head, F.col(score))
-    low, high = F.min(top).over(w), F.max(top).over(w)
+    names = [f"_k{i}" for i in range(len(by))]
+    # head rows a group, reduced to one: the rest of a group of any size stays where it is
+    ends = items.filter(F.col(rank) <= head).groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    items = items.join(ends, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)], "left")
+    low, high = F.col("_low"), F.col("_high")
     scaled = F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
-    return items.withColumn("scaled", F.when(F.col(rank) <= head, scaled).otherwise(F.least(F.col(score), F.lit(0.0))))
+    items = items.withColumn("scaled", F.when(F.col(rank) <= head, scaled).otherwise(F.least(F.col(score), F.lit(0.0))))
+    return items.drop("_low", "_high", *names)
+
+
+def rerank(items: DataFrame, by: list[str], text: str, rank: str, scorer: Callable[[Column], Column], head: int = 50) -> DataFrame:
+    """items with `scaled` from any scorer of texts (a column expression or a pandas UDF), which is asked for the first `head` of each group only."""
+    first = items.filter(F.col(rank) <= head).withColumn("_score", scorer(F.col(text)).cast("double"))
+    rest = items.filter(~(F.col(rank) <= head)).withColumn("_score", F.lit(0.0))
+    return rerank_scale(first.unionByName(rest), by, "_score", rank, head).drop("_score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,26 +28,67 @@ def occurrences(text: Column, term: str) -> Column:
     return F.size(F.filter(at, lambda i: F.substr(text, i, F.lit(len(term))) == term)).cast("long")
 
 
+def _bm25_score(terms: int) -> Column:
+    """From _tf and _df of every term, _len, _avg and _n."""
+    score = F.lit(0.0)
+    for i in range(terms):
+        tf, df_ = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        idf = F.log((F.col("_n") - df_ + 0.5) / (df_ + 0.5))
+        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    return score
+
+
 def bm25(df: DataFrame, key: str, text: str, query: str | Sequence[str], top_k: int = 20, scope: Column | None = None) -> DataFrame:
     """key, score of the top_k rows that contain a term of the query, best (lowest) first.
 
     Case is ignored. Statistics cover all rows, whatever the scope: the rows
-    with each term, and the length in trigrams. Null texts count as empty.
+    with each term, and the length in trigrams. Null texts count as empty;
+    rows of one key are one. A text is read once: what is compared and
+    shuffled are its counts.
     """
     terms = [t.lower() for t in (query_terms(query) if isinstance(query, str) else query)]
     low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("_in", scope if scope is not None else F.lit(True))
-    low = low.select(key, "_in", F.greatest(F.length("_low") - 2, F.lit(0)).alias("_len"), *[occurrences(F.col("_low"), t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    low = low.select(key, "_in", F.greatest(F.length("_low") - 2, F.lit(0)).alias("_len"), *[occurrences(F.col("_low"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]).dropDuplicates([key])
     if not terms:
         return low.select(key, F.lit(0.0).alias("score")).limit(0)
     n = F.broadcast(low.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))]))  # one row
     rows = low.filter(F.col("_in") & F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)).cast("boolean")).crossJoin(n)
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df_ = F.col(f"_tf{i}"), F.col(f"_df{i}")
-        idf = F.log((F.col("_n") - df_ + 0.5) / (df_ + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return rows.select(key, score.alias("score")).orderBy("score", key).limit(top_k)
+    return rows.select(key, _bm25_score(len(terms)).alias("score")).orderBy("score", key).limit(top_k)
+
+
+def postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """gram, key, len: the distinct trigrams of every text in lower case with its length in trigrams; rows of one key are one.
+
+    To be written once, in ranges of gram (see sources.layout), for bm25_indexed().
+    """
+    low = df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).dropDuplicates(["key"])
+    n = F.length("low") - 2
+    grams = F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col("low"), i, F.lit(3))))).otherwise(F.array(F.lit("")))
+    return low.select(F.explode(grams).alias("gram"), "key", F.greatest(n, F.lit(0)).alias("len"))
+
+
+def bm25_indexed(index: DataFrame, df: DataFrame, key: str, text: str, query: str | Sequence[str], top_k: int = 20) -> DataFrame:
+    """key, score as of bm25(), reading texts only of rows that hold all trigrams of a term.
+
+    The index is filtered by the trigrams of the query, which reaches its scan;
+    the number of rows and their mean length come from the index too.
+    """
+    terms = [t.lower() for t in (query_terms(query) if isinstance(query, str) else query)]
+    grams = [(i, t[j : j + 3]) for i, t in enumerate(terms) for j in range(len(t) - 2)]
+    needed = {i: len({g for k, g in grams if k == i}) for i in range(len(terms))}
+    if not grams:
+        return df.select(key, F.lit(0.0).alias("score")).limit(0)
+    hits = index.filter(F.col("gram").isin(sorted({g for _, g in grams})))
+    held = hits.groupBy("key").agg(*[F.count_if(F.col("gram").isin(sorted({g for k, g in grams if k == i}))).alias(f"_g{i}") for i in needed])
+    near = held.filter(reduce(Column.__or__, [F.col(f"_g{i}") == n for i, n in needed.items()])).select(F.col("key").alias(key))
+    low = df.join(near, key, "left_semi").withColumn("_low", F.lower(F.col(text)))
+    low = low.select(key, F.greatest(F.length("_low") - 2, F.lit(0)).alias("_len"), *[occurrences(F.col("_low"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]).dropDuplicates([key])
+    low = low.filter(F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0)
+    size = index.select("key", "len").distinct().agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
+    counts = low.agg(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+    rows = low.crossJoin(F.broadcast(size.crossJoin(counts)))  # one row each
+    return rows.select(key, _bm25_score(len(terms)).alias("score")).orderBy("score", key).limit(top_k)
 
 
 def keyword_like(text: Column, keyword: str) -> Column:
@@ -59,7 +101,7 @@ def panel_search(df: DataFrame, key: str, text: str, updated: str, query: str, t
     """key, score: the whole query as one phrase by BM25; if shorter than 3 characters, LIKE with the latest first (score null)."""
     if len(query) >= 3:
         return bm25(df, key, text, [query], top_k)
-    return df.filter(keyword_like(F.col(text), query)).orderBy(F.desc_nulls_last(updated), key).select(key, F.lit(None).cast("double").alias("score")).limit(top_k)
+    return df.filter(keyword_like(F.col(text), query)).dropDuplicates([key]).orderBy(F.desc_nulls_last(updated), key).select(key, F.lit(None).cast("double").alias("score")).limit(top_k)
 
 
 def l2(vector: Column, query: Sequence[float]) -> Column:
@@ -94,7 +136,7 @@ def keyword_overlap(df: DataFrame, key: str, text: str, query: str, top_k: int =
     """key, score: how many distinct words of the query the text contains, most first."""
     words = [w.lower() for w in dict.fromkeys(re.findall(r"\w+", query.lower()))]
     score = sum((F.contains(F.lower(F.col(text)), F.lit(w)).cast("int") for w in words), F.lit(0))
-    return df.select(key, score.alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(top_k)
+    return df.select(key, score.alias("score")).filter("score > 0").dropDuplicates([key]).orderBy(F.desc("score"), key).limit(top_k)
 
 
 def ranks(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:

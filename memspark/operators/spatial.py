@@ -18,7 +18,7 @@ def haversine(lng: Column, lat: Column, lng0: float, lat0: float) -> Column:
 
 
 def query_in_area(locations: DataFrame, lng: float, lat: float, radius_m: float, scope: Column | None = None) -> DataFrame:
-    """Locations within radius_m of a point, with distance_m, nearest first.
+    """Locations within radius_m of a point, each id once, with distance_m, nearest first.
 
     A box of degrees, which reaches the scan as ranges, comes before the exact
     distance; it doesn't wrap at 180 degrees. Locations without coordinates,
@@ -28,7 +28,7 @@ def query_in_area(locations: DataFrame, lng: float, lat: float, radius_m: float,
     dy = radius_m / METRES_PER_DEGREE
     dx = radius_m / (METRES_PER_DEGREE * max(math.cos(math.radians(lat)), 1e-6))
     near = x.between(max(lng - dx, -180.0), min(lng + dx, 180.0)) & y.between(max(lat - dy, -90.0), min(lat + dy, 90.0))
-    rows = locations.filter(near if scope is None else near & scope).withColumn("distance_m", haversine(x, y, lng, lat))
+    rows = locations.filter(near if scope is None else near & scope).dropDuplicates(["id"]).withColumn("distance_m", haversine(x, y, lng, lat))
     return rows.filter(F.col("distance_m") <= radius_m).orderBy("distance_m", "id")
 
 
@@ -39,5 +39,6 @@ def below_path(path: str, include_children: bool = True) -> Column:
 
 
 def query_in_location(locations: DataFrame, path: str, include_children: bool = True, scope: Column | None = None) -> DataFrame:
-    rows = locations.filter(below_path(path, include_children))
-    return (rows if scope is None else rows.filter(scope)).orderBy("path", "id")
+    """Locations at or below a path, each id once, in order of path, id."""
+    here = below_path(path, include_children)
+    return locations.filter(here if scope is None else here & scope).dropDuplicates(["id"]).orderBy("path", "id")

@@ -58,3 +58,37 @@ def merged_maps(base: str, ours: str, theirs: str, prefer: str = "theirs"):
         return F.when(mine & other, z if prefer == "theirs" else y).when(mine, y).when(other, z).otherwise(x)
 
     return F.map_from_entries(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))), lambda e: e["value"].isNotNull()))
+
+
+# What is done about a conflict of each kind.
+STRATEGIES = {"version_stale": "auto_merge", "write_write": "auto_last", "read_write": "auto_last", "causal_cycle": "rollback", "causal_contradiction": "manual"}
+
+
+def strategy(kind):
+    """The strategy for a conflict of this kind (a column); null for none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in STRATEGIES.items() for x in pair]), kind)
+
+
+def version_conflicts(writes: DataFrame, incoming: DataFrame) -> DataFrame:
+    """resource_id, chain_id, kind, strategy, current_version, other_chain_id of incoming writes that don't fit what is there.
+
+    writes: resource_id, chain_id, at, a row per commit (its number is the
+    version). incoming: resource_id, chain_id, expected_version, base_version.
+    version_stale: an expected version that isn't the current one; else
+    write_write: one based on an older version of what exists.
+    """
+    now = writes.groupBy("resource_id").agg(F.count("*").alias("current"), F.max_by("chain_id", F.struct("at", "chain_id")).alias("other_chain_id"))
+    at = incoming.join(now, "resource_id", "left").withColumn("current_version", F.coalesce("current", F.lit(0)))
+    stale = F.col("expected_version").isNotNull() & (F.col("expected_version") != F.col("current_version"))
+    kind = F.when(stale, "version_stale").when(F.col("current").isNotNull() & (F.col("base_version") < F.col("current_version")), "write_write")
+    return at.withColumn("kind", kind).filter("kind IS NOT NULL").select("resource_id", "chain_id", "kind", strategy(F.col("kind")).alias("strategy"), "current_version", "other_chain_id")
+
+
+def read_write_conflicts(writes: DataFrame, reads: DataFrame, window_s: float = 60.0) -> DataFrame:
+    """resource_id, chain_id, read_at, kind, strategy, other_chain_id of reads (resource_id, chain_id, at) that another chain's last write made stale within the window."""
+    now = writes.groupBy("resource_id").agg(F.max(F.struct("at", "chain_id")).alias("w"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = reads.withColumnRenamed("at", "read_at").join(now, "resource_id")
+    late = us("w.at") - us("read_at")
+    rows = rows.filter((F.col("w.chain_id") != F.col("chain_id")) & (late > 0) & (late <= window_s * 1e6)).withColumn("kind", F.lit("read_write"))
+    return rows.select("resource_id", "chain_id", "read_at", "kind", strategy(F.col("kind")).alias("strategy"), F.col("w.chain_id").alias("other_chain_id"))

@@ -23,15 +23,15 @@ def valid_in(start: datetime, end: datetime) -> Column:
 
 
 def query_at_time(df: DataFrame, t: datetime, scope: Column | None = None) -> DataFrame:
-    """Rows valid at t; filters reach the scan. In order of valid_from, id."""
-    return df.filter(valid_at(t) if scope is None else valid_at(t) & scope).orderBy("valid_from", "id")
+    """Rows valid at t, each id once; filters reach the scan and come before ids are compared. In order of valid_from, id."""
+    return df.filter(valid_at(t) if scope is None else valid_at(t) & scope).dropDuplicates(["id"]).orderBy("valid_from", "id")
 
 
 def query_in_range(df: DataFrame, start: datetime, end: datetime, scope: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Rows valid at some time of the range, in order of valid_from, id; the first `limit` of them."""
+    """Rows valid at some time of the range, each id once, in order of valid_from, id; the first `limit` of them."""
     if end < start:
         raise ValueError("the range ends before it starts")
-    rows = df.filter(valid_in(start, end) if scope is None else valid_in(start, end) & scope).orderBy("valid_from", "id")
+    rows = df.filter(valid_in(start, end) if scope is None else valid_in(start, end) & scope).dropDuplicates(["id"]).orderBy("valid_from", "id")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -41,7 +41,7 @@ def timeline(triples: DataFrame, entities: DataFrame, as_subject: bool = True, a
         raise ValueError("neither role is asked for")
     ids = entities.select(F.col("id").alias("entity")).distinct()
     roles = [(as_subject, "subject_id", "subject"), (as_object, "object_id", "object")]
-    made = [triples.join(ids, F.col(c) == F.col("entity")).withColumn("role", F.lit(r)) for wanted, c, r in roles if wanted]
+    made = [triples.join(ids, F.col(c) == F.col("entity")).dropDuplicates(["id"]).withColumn("role", F.lit(r)) for wanted, c, r in roles if wanted]
     return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.operators import causal, fusion, graph, search, spatial, state, temporal
+from memspark.operators.prefix import prefix_sum
 from memspark.scope import cross_project_scope, global_only_scope, parse_scope, project_scope, tenant_scope
-from memspark.tables import micros, table
+from memspark.tables import cut, micros, table
 
 AT, START, END = datetime(2025, 6, 1), datetime(2025, 3, 1), datetime(2025, 4, 1)
 PROJECT, WORDS = "harborlight", "vector index rebuilt 归档搬运"
-LNG, LAT, RADIUS_M, PATH = -100.0, 35.0, 3_000_000.0, "depot_1"
+LNG, LAT, RADIUS_M = -100.0, 35.0, 3_000_000.0
 
 
-def _t(spark: SparkSession, folder: str, name: str, key: str = "id") -> DataFrame:
-    """A table as records: rows of one id are one."""
-    return table(spark, folder, name).dropDuplicates([key])
+def _t(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """These columns of a table as records: rows of one id are one."""
+    return table(spark, folder, name).select("id", *columns).dropDuplicates(["id"])
 
 
 def _us(df: DataFrame, *columns: str) -> list:
@@ -48,13 +49,13 @@ def entity_timeline(spark, folder):
 
 
 def scope_counts(spark, folder):
-    e = _t(spark, folder, "entities")
+    e = _t(spark, folder, "entities", "scope")
     filters = {"project": project_scope(PROJECT), "project_only": project_scope(PROJECT, False), "projects": cross_project_scope(False), "global": global_only_scope(), "tenant": tenant_scope("t1")}
     return e.agg(*[F.count_if(f.column()).alias(n) for n, f in filters.items()])
 
 
 def scope_kinds(spark, folder):
-    e = _t(spark, folder, "entities").select(parse_scope(F.col("scope")).alias("s"))
+    e = _t(spark, folder, "entities", "scope").select(parse_scope(F.col("scope")).alias("s"))
     return e.groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("s.name").alias("names"))
 
 
@@ -80,12 +81,15 @@ def write_conflicts(spark, folder):
 
 
 def spatial_radius(spark, folder):
-    near = spatial.query_in_area(_t(spark, folder, "locations"), LNG, LAT, RADIUS_M)
+    near = spatial.query_in_area(table(spark, folder, "locations"), LNG, LAT, RADIUS_M)
     return near.select("id", F.round("distance_m", 3).alias("distance_m"))
 
 
 def spatial_hierarchy(spark, folder):
-    return spatial.query_in_location(_t(spark, folder, "locations"), PATH).select("id", "path")
+    """The places at and below the parent of the least path of three steps."""
+    places = table(spark, folder, "locations")
+    path = places.filter(F.size(F.split("path", "\\.")) == 3).agg(F.min("path")).first()[0]
+    return spatial.query_in_location(places, path.rpartition(".")[0]).select("id", "path")
 
 
 def _people(spark, folder):
@@ -166,12 +170,12 @@ def knn_scoped_oversample(spark, folder):
 
 
 def bm25_fragments(spark, folder):
-    rows = search.bm25(_t(spark, folder, "temporal_fragments"), "id", "content", WORDS, 25)
+    rows = search.bm25(table(spark, folder, "temporal_fragments"), "id", "content", WORDS, 25)
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
 def bm25_scoped(spark, folder):
-    rows = search.bm25(_t(spark, folder, "temporal_fragments"), "id", "content", "session cache stale", 15, project_scope(PROJECT).column())
+    rows = search.bm25(table(spark, folder, "temporal_fragments"), "id", "content", "session cache stale", 15, project_scope(PROJECT).column())
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
@@ -180,16 +184,31 @@ def keyword_like(spark, folder):
 
 
 def panel_search(spark, folder):
-    return search.panel_search(_t(spark, folder, "temporal_fragments"), "id", "content", "updated_at", "锁管", 30).select("id")
+    return search.panel_search(table(spark, folder, "temporal_fragments"), "id", "content", "updated_at", "锁管", 30).select("id")
+
+
+def panel_phrase(spark, folder):
+    """A query of three characters or more is one phrase."""
+    rows = search.panel_search(table(spark, folder, "temporal_fragments"), "id", "content", "updated_at", "lock manager", 30)
+    return rows.select("id", F.round("score", 6).alias("score"))
+
+
+def bm25_postings(spark, folder):
+    """bm25_fragments() through an index of trigrams that is written first."""
+    from memspark.sources.sinks import laid_out
+
+    f = table(spark, folder, "temporal_fragments")
+    index = cut(laid_out("postings", search.postings(f, "id", "content")))
+    return search.bm25_indexed(index, f, "id", "content", WORDS, 25).select("id", F.round("score", 6).alias("score"))
 
 
 def keyword_overlap(spark, folder):
-    t = _t(spark, folder, "triples").select("id", F.concat_ws(" ", "predicate", "object_value").alias("text"))
+    t = table(spark, folder, "triples").select("id", F.concat_ws(" ", "predicate", "object_value").alias("text"))
     return search.keyword_overlap(t, "id", "text", "token budget 1000 review status", 40)
 
 
 def _rankings(spark, folder):
-    f = _t(spark, folder, "temporal_fragments")
+    f = table(spark, folder, "temporal_fragments")
     words = search.bm25(f, "id", "content", "vector index stale", 40)
     q = list(f.filter("size(embedding) = 64").agg(F.min_by("embedding", "id")).first()[0])
     near = search.knn(f, "id", "embedding", q, 40)
@@ -200,46 +219,68 @@ def rrf_fusion(spark, folder):
     return fusion.rrf(_rankings(spark, folder)).select("key", F.round("score", 9).alias("score"), F.array_join("found_in", ",").alias("found_in"))
 
 
-def hybrid_search(spark, folder):
-    """Time, graph and cause strategies fused: 20 of each, 10 in all."""
-    t = _t(spark, folder, "triples")
-    by_time = temporal.query_in_range(t, START, END, limit=20)
+def _request(spark, folder):
+    """A request that uses every channel: words, a vector, a range of time, an entity and a triple of the tables."""
+    from memspark.engine import Memory, Request
+
+    m = Memory.open(spark, folder)
+    t = m.tables["triples"]
+    vector = list(m.tables["temporal_fragments"].filter("size(embedding) = 64").agg(F.min_by("embedding", "id")).first()[0])
     start = graph.edges(t).agg(F.min("src")).first()[0]
-    hood = graph.n_degree(t, spark.createDataFrame([(start,)], "id string"), 2).select("node").unionByName(spark.createDataFrame([(start,)], "node string")).distinct()
-    now = t.filter("valid_to IS NULL")
-    touching = now.join(hood, F.col("subject_id") == F.col("node"), "left_semi").unionByName(now.join(hood, F.col("object_id") == F.col("node"), "left_semi")).dropDuplicates(["id"])
-    by_graph = touching.orderBy(F.desc("valid_from"), "id").limit(20)
     cause = t.filter("predecessor_id IS NOT NULL").agg(F.max("id")).first()[0]
-    by_cause = causal.trace(t, cause, "backward").orderBy("depth", "id").limit(20)
-    rankings = [
-        search.ranks(by_time, "id", [F.col("valid_from"), F.col("id")], "time"),
-        search.ranks(by_graph, "id", [F.desc("valid_from"), F.col("id")], "graph"),
-        search.ranks(by_cause, "id", [F.col("depth"), F.col("id")], "cause"),
-    ]
-    return fusion.rrf(rankings).limit(10).select("key", F.round("score", 9).alias("score"), F.array_join("found_in", ",").alias("found_in"))
+    return m, Request(query="vector index stale", vector=vector, start=START, end=END, entity=start, triple=cause, top_k=10, budget=600)
 
 
-def layered_dedup(spark, folder):
-    """The fragment of the first layer for every content of a scope."""
-    f = _t(spark, folder, "temporal_fragments").withColumn("content_key", F.md5(F.concat_ws("|", "scope", "content")))
-    return fusion.first_layer(f, "content_key", F.col("layer"), [F.desc_nulls_last("importance"), F.col("id")]).select("id", "layer")
+def hybrid_search(spark, folder):
+    """Time, graph and cause strategies fused: 20 of each, 10 in all."""
+    m, r = _request(spark, folder)
+    return m.hybrid(r).select("key", F.round("score", 9).alias("score"), F.array_join("found_in", ",").alias("found_in"))
+
+
+def context_candidates(spark, folder):
+    """What all layers offer for a context, each id in its first layer."""
+    m, r = _request(spark, folder)
+    return m.context(r).select("layer", "key", F.round("score", 9).alias("score"), "text", "tokens")
 
 
 def context_fill(spark, folder):
-    """What of the 60 most important fragments of each layer fits a context of 4000 tokens."""
-    f = _t(spark, folder, "temporal_fragments").filter("importance IS NOT NULL").withColumn("tokens", fusion.token_estimate(F.col("content")))
-    from pyspark.sql import Window as W
+    """What of it fits a budget of 600 tokens."""
+    m, r = _request(spark, folder)
+    return m.fill(r).select(F.size("keys").alias("n"), "used", "truncated")
 
-    f = f.withColumn("place", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("importance"), "id"))).filter("place <= 60")
-    filled = fusion.greedy_fill(f, ["layer"], ["place"], "tokens", "id", 4000)
-    return filled.select("layer", F.array_join("keys", ",").alias("keys"), "used", "truncated")
 
+def recall_context(spark, folder):
+    """A recall with archived records."""
+    from memspark.jobs import quality
 
-def rerank_scaled(spark, folder):
-    from pyspark.sql import Window as W
+    m, r = _request(spark, folder)
+    now = datetime(2026, 6, 1)
+    cold = {n: m.tables[n].filter(c(m.tables[n], now)) for n, c in (("temporal_fragments", quality.cold_fragments), ("triples", quality.cold_triples))}
+    return m.recall(r, cold).select("layer", "key", F.round("score", 9).alias("score"), "snippet", "tokens")
+
+
+def recall_accesses(spark, folder):
+    """The fragments with the accesses of that recall counted."""
+    from memspark.sources.stores import with_access
+
+    m, r = _request(spark, folder)
+    f = m.tables["temporal_fragments"].select("id", "access_count", "last_accessed_at").dropDuplicates(["id"])
+    counted = with_access(f, m.accesses(m.recall(r), datetime(2026, 6, 1)))
+    return counted.select("id", "access_count", micros(counted, "last_accessed_at").alias("last_us"))
 
-    f = _t(spark, folder, "temporal_fragments").filter("importance IS NOT NULL").withColumn("place", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("importance"), "id"))).filter("place <= 80")
-    return fusion.rerank_scale(f, ["layer"], "importance", "place").select("id", "layer", F.round("scaled", 9).alias("scaled"))
+
+def layered_dedup(spark, folder):
+    """The fragment of the first layer for every content of a scope."""
+    f = _t(spark, folder, "temporal_fragments", "scope", "content", "layer", "importance").withColumn("content_key", F.md5(F.concat_ws("|", "scope", "content")))
+    return fusion.first_layer(f, "content_key", F.col("layer"), [F.desc_nulls_last("importance"), F.col("id")]).select("id", "layer")
+
+
+def rerank_scaled(spark, folder):
+    """All fragments of each layer in order of importance, as scores of which the first 50 were reranked; none counts as 0."""
+    f = _t(spark, folder, "temporal_fragments", "layer", "importance")
+    f = f.withColumns({"score": F.coalesce("importance", F.lit(0.0)), "one": F.lit(1).cast("long")}).withColumn("worse", -F.col("score"))
+    placed = prefix_sum(f, ["layer"], ["worse", "id"], "one", "before").withColumn("place", F.col("before") + 1)
+    return fusion.rerank_scale(placed, ["layer"], "score", "place").select("id", "layer", F.round("scaled", 9).alias("scaled"))
 
 
 def memory_browse(spark, folder):
@@ -254,7 +295,7 @@ def hit_rates(spark, folder):
     """How often the five most important fragments of a scope name a place that its very important ones of a layer name; medians of importance."""
     from memspark.operators.metrics import hit_at_k, nearest_rank
 
-    f = _t(spark, folder, "temporal_fragments")
+    f = _t(spark, folder, "temporal_fragments", "scope", "location_id", "layer", "importance")
     gold = f.filter("location_id IS NOT NULL AND importance > 0.9").select(F.col("scope").alias("query"), F.col("location_id").alias("key"), "layer").distinct()
     from pyspark.sql import Window as W
 

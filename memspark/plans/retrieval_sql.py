@@ -1,6 +1,6 @@
 """The queries of retrieval in SQL, for comparison in DuckDB."""
 
-from memspark.plans.retrieval import LAT, LNG, PATH, PROJECT, RADIUS_M
+from memspark.plans.retrieval import LAT, LNG, PROJECT, RADIUS_M
 
 _ONE = "QUALIFY row_number() OVER (PARTITION BY id) = 1"
 _AT = "valid_from <= TIMESTAMP '2025-06-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2025-06-01')"
@@ -31,8 +31,6 @@ fq AS (SELECT arg_min(embedding, id) AS q FROM f WHERE len(embedding) = 64),
 near AS (SELECT id, {_DISTANCE} AS d FROM f, fq WHERE len(embedding) = 64 ORDER BY d, id LIMIT 40),
 ranks AS (SELECT id AS key, row_number() OVER (ORDER BY d, id) AS rank, 'vector' AS ranking FROM near UNION ALL SELECT id, row_number() OVER (ORDER BY round(score, 9), id), 'words' FROM bm)"""
 _FUSED = "SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(ranking, ',' ORDER BY ranking) AS found_in FROM ranks GROUP BY key"
-_PLACED = f"placed AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY importance DESC, id) AS place FROM f WHERE importance IS NOT NULL)"
-
 _CHAIN = """links AS (SELECT DISTINCT id, predecessor_id AS prior FROM triples WHERE predecessor_id IS NOT NULL AND predecessor_id IN (SELECT id FROM triples)),
 back(id, depth) AS (SELECT max(id), 0 FROM triples WHERE predecessor_id IS NOT NULL UNION SELECT l.prior, b.depth + 1 FROM back b JOIN links l ON l.id = b.id WHERE b.depth < 20)"""
 _FORWARD = """first AS (SELECT DISTINCT id FROM triples WHERE id = (SELECT min(predecessor_id) FROM triples)),
@@ -40,6 +38,29 @@ links AS (SELECT DISTINCT id, predecessor_id AS prior FROM triples WHERE predece
 back(id, depth) AS (SELECT id, 0 FROM first UNION SELECT l.prior, b.depth + 1 FROM back b JOIN links l ON l.id = b.id WHERE b.depth < 20),
 forth(id, depth) AS (SELECT id, 0 FROM first UNION SELECT l.id, b.depth + 1 FROM forth b JOIN links l ON l.prior = b.id WHERE b.depth < 20)"""
 
+_THING = "coalesce(CASE WHEN length(object_id) > 0 THEN object_id END, CASE WHEN length(object_value) > 0 THEN object_value END, '?')"
+_COLD_F = "(coalesce(time_end < TIMESTAMP '2026-06-01' - INTERVAL 180 DAY, false) OR coalesce(updated_at < TIMESTAMP '2026-06-01' - INTERVAL 180 DAY AND importance <= 0.3, false))"
+_COLD_T = "coalesce(valid_to < TIMESTAMP '2026-06-01' - INTERVAL 365 DAY, false)"
+_HYBRID = f"""t AS (SELECT * FROM triples {_ONE}), {_EDGES}, {_CHAIN},
+forth(id, depth) AS (SELECT max(id), 0 FROM triples WHERE predecessor_id IS NOT NULL UNION SELECT l.id, b.depth + 1 FROM forth b JOIN links l ON l.prior = b.id WHERE b.depth < 20),
+start AS (SELECT min(src) AS s FROM edges), hood AS (SELECT s AS node FROM start UNION SELECT dst FROM edges, start WHERE src = s UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst, start WHERE a.src = s),
+by_time AS (SELECT id, row_number() OVER (ORDER BY valid_from, id) AS rank FROM t WHERE {_IN} QUALIFY rank <= 20),
+by_graph AS (SELECT id, row_number() OVER (ORDER BY valid_from DESC, id) AS rank FROM t WHERE valid_to IS NULL AND (subject_id IN (SELECT node FROM hood) OR object_id IN (SELECT node FROM hood)) QUALIFY rank <= 20),
+by_cause AS (SELECT id, row_number() OVER (ORDER BY way, d, id) AS rank FROM (SELECT 'backward' AS way, id, min(depth) AS d FROM back GROUP BY id UNION ALL SELECT 'forward', id, min(depth) FROM forth GROUP BY id HAVING min(depth) > 0) QUALIFY rank <= 20),
+ways AS (SELECT id AS key, rank, 'time' AS ranking, 0 AS i FROM by_time UNION ALL SELECT id, rank, 'graph', 1 FROM by_graph UNION ALL SELECT id, rank, 'cause', 2 FROM by_cause),
+hybrid AS (SELECT key, sum(1.0::DOUBLE / (60 + rank)) AS s, min({{'i': i, 'rank': rank}}) AS seen, string_agg(ranking, ',' ORDER BY ranking) AS found_in FROM ways GROUP BY key ORDER BY round(s, 12) DESC, seen LIMIT 10)"""
+_CONTEXT = f"""{_HYBRID}, {_bm25(["vector", "index", "stale"], "true", 20)},
+fq AS (SELECT arg_min(embedding, id) AS q FROM f WHERE len(embedding) = 64),
+near AS (SELECT id, {_DISTANCE} AS d FROM f, fq WHERE len(embedding) = 64 ORDER BY d, id LIMIT 10),
+ranks AS (SELECT id AS key, row_number() OVER (ORDER BY d, id) AS rank, 'vector' AS ranking, 0 AS i FROM near UNION ALL SELECT id, row_number() OVER (ORDER BY score, id), 'words', 1 FROM bm),
+fused AS (SELECT key, sum(1.0::DOUBLE / (60 + rank)) AS s, min({{'i': i, 'rank': rank}}) AS seen, list(ranking) AS found FROM ranks GROUP BY key ORDER BY round(s, 12) DESC, seen LIMIT 10),
+channels AS (SELECT count(DISTINCT r) AS n FROM (SELECT unnest(found) AS r FROM fused)),
+items AS (SELECT * FROM (SELECT 0 AS layer, id AS key, coalesce(importance, 0) AS score, content AS text FROM f WHERE layer = 'L0' AND content IS NOT NULL ORDER BY importance DESC NULLS LAST, updated_at DESC NULLS LAST, id LIMIT 10)
+  UNION ALL SELECT 1, key, s * 61 / n, content FROM fused JOIN f ON f.id = key, channels UNION ALL SELECT 2, key, s, concat_ws(' ', subject_id, predicate, {_THING}) FROM hybrid JOIN t ON t.id = key),
+context AS (SELECT *, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 4)) END::INT AS tokens FROM items QUALIFY row_number() OVER (PARTITION BY key ORDER BY layer) = 1)"""
+_FILL = """ordered AS (SELECT *, row_number() OVER (ORDER BY layer, score DESC, key) AS place FROM context),
+fill(place, used, taken) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT o.place, CASE WHEN used + tokens <= 420 THEN used + tokens ELSE used END, used + tokens <= 420 FROM fill l JOIN ordered o ON o.place = l.place + 1)"""
+
 SQL = {
     "temporal_as_of": f"SELECT DISTINCT id, scope, epoch_us(valid_from) AS valid_from_us, epoch_us(valid_to) AS valid_to_us FROM triples WHERE {_AT} AND {_MINE}",
     "temporal_as_of_entities": f"SELECT DISTINCT id, entity_id, epoch_us(valid_from) AS valid_from_us FROM entities WHERE {_AT}",
@@ -62,7 +83,8 @@ WHERE t.valid_to IS NULL AND value IS DISTINCT FROM coalesce(t.object_id, t.obje
 d AS (SELECT id, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y - {LAT}) / 2), 2) + cos(radians({LAT})) * cos(radians(y)) * pow(sin(radians(x - {LNG}) / 2), 2)))) AS m FROM l
 WHERE x BETWEEN greatest({LNG} - {RADIUS_M} / (111000.0 * cos(radians({LAT}))), -180.0) AND least({LNG} + {RADIUS_M} / (111000.0 * cos(radians({LAT}))), 180.0) AND y BETWEEN {LAT} - {RADIUS_M} / 111000.0 AND {LAT} + {RADIUS_M} / 111000.0)
 SELECT id, round(m, 3) AS distance_m FROM d WHERE m <= {RADIUS_M}""",
-    "spatial_hierarchy": f"SELECT DISTINCT id, path FROM locations WHERE path = '{PATH}' OR starts_with(path, '{PATH}.')",
+    "spatial_hierarchy": """WITH least AS (SELECT min(path) AS p FROM locations WHERE len(string_split(path, '.')) = 3), top AS (SELECT array_to_string(string_split(p, '.')[:2], '.') AS p FROM least)
+SELECT DISTINCT id, path FROM locations, top WHERE path = p OR starts_with(path, p || '.')""",
     "graph_n_degree": f"""WITH {_EDGES}, steps AS (SELECT p.id AS start, dst AS node, 1 AS depth FROM ({_PEOPLE}) p JOIN edges ON src = p.id
 UNION SELECT p.id, b.dst, 2 FROM ({_PEOPLE}) p JOIN edges a ON a.src = p.id JOIN edges b ON b.src = a.dst)
 SELECT start, node, min(depth)::INT AS depth FROM steps WHERE start <> node GROUP BY start, node""",
@@ -78,27 +100,27 @@ SELECT l.id, coalesce(root_id, 'cycle') AS root_id, coalesce(depth, -1) AS depth
     "knn_scoped_exact": f"WITH {_OWNED} SELECT vector_id, round({_DISTANCE}, 4) AS distance FROM owned, q WHERE scope = 'project:{PROJECT}' ORDER BY {_DISTANCE}, vector_id LIMIT 10",
     "knn_scoped_oversample": f"WITH {_OWNED}, top AS (SELECT vector_id, scope, {_DISTANCE} AS d FROM owned, q ORDER BY d, vector_id LIMIT 50) SELECT vector_id, round(d, 4) AS distance FROM top WHERE scope = 'project:{PROJECT}' ORDER BY d, vector_id LIMIT 10",
     "bm25_fragments": f"WITH {_bm25(['vector', 'index', 'rebuilt', '归档搬运'], 'true', 25)} SELECT id, round(score, 6) AS score FROM bm",
+    "bm25_postings": f"WITH {_bm25(['vector', 'index', 'rebuilt', '归档搬运'], 'true', 25)} SELECT id, round(score, 6) AS score FROM bm",
+    "panel_phrase": f"WITH {_bm25(['lock manager'], 'true', 30)} SELECT id, round(score, 6) AS score FROM bm",
     "bm25_scoped": f"WITH {_bm25(['session', 'cache', 'stale'], _MINE, 15)} SELECT id, round(score, 6) AS score FROM bm",
     "keyword_like": "SELECT DISTINCT id FROM temporal_fragments WHERE translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%shared_lock%twice%'",
     "panel_search": f"WITH {_F} SELECT id FROM f WHERE content LIKE '%锁管%' ORDER BY updated_at DESC NULLS LAST, id LIMIT 30",
     "keyword_overlap": f"""WITH t AS (SELECT id, lower(concat_ws(' ', predicate, object_value)) AS x FROM triples {_ONE}),
 s AS (SELECT id, contains(x, 'token')::INT + contains(x, 'budget')::INT + contains(x, '1000')::INT + contains(x, 'review')::INT + contains(x, 'status')::INT AS score FROM t) SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 40""",
     "rrf_fusion": f"WITH {_RANKED} {_FUSED}",
-    "hybrid_search": f"""WITH RECURSIVE t AS (SELECT * FROM triples {_ONE}), {_EDGES}, {_CHAIN},
-start AS (SELECT min(src) AS s FROM edges), hood AS (SELECT s AS node FROM start UNION SELECT dst FROM edges, start WHERE src = s UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst, start WHERE a.src = s),
-by_time AS (SELECT id, row_number() OVER (ORDER BY valid_from, id) AS rank FROM t WHERE {_IN} QUALIFY rank <= 20),
-by_graph AS (SELECT id, row_number() OVER (ORDER BY valid_from DESC, id) AS rank FROM t WHERE valid_to IS NULL AND (subject_id IN (SELECT node FROM hood) OR object_id IN (SELECT node FROM hood)) QUALIFY rank <= 20),
-by_cause AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM (SELECT id, min(depth) AS d FROM back GROUP BY id) QUALIFY rank <= 20),
-ranks AS (SELECT id AS key, rank, 'time' AS ranking, 0 AS i FROM by_time UNION ALL SELECT id, rank, 'graph', 1 FROM by_graph UNION ALL SELECT id, rank, 'cause', 2 FROM by_cause),
-fused AS (SELECT key, sum(1.0::DOUBLE / (60 + rank)) AS s, min({{'i': i, 'rank': rank}}) AS seen, string_agg(ranking, ',' ORDER BY ranking) AS found_in FROM ranks GROUP BY key)
-SELECT key, round(s, 9) AS score, found_in FROM fused ORDER BY round(s, 12) DESC, seen LIMIT 10""",
+    "hybrid_search": f"WITH RECURSIVE {_HYBRID} SELECT key, round(s, 9) AS score, found_in FROM hybrid",
+    "context_candidates": f"WITH RECURSIVE {_CONTEXT} SELECT layer, key, round(score, 9) AS score, text, tokens FROM context",
+    "context_fill": f"WITH RECURSIVE {_CONTEXT}, {_FILL} SELECT count(*) FILTER (taken)::INT AS n, max(used) AS used, bool_or(NOT taken AND place > 0) AS truncated FROM fill",
+    "recall_context": f"""WITH RECURSIVE {_CONTEXT}, {_FILL}, cold AS (SELECT id, content AS text, time_start AS row_time FROM f WHERE {_COLD_F} UNION ALL SELECT id, concat_ws(' ', subject_id, predicate, {_THING}), valid_from FROM t WHERE {_COLD_T}),
+kept AS (SELECT * FROM cold WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%vector index stale%' ORDER BY row_time DESC NULLS LAST, id LIMIT 10)
+SELECT 'L' || layer AS layer, key, round(greatest(0, least(1, score)), 9) AS score, substr(text, 1, 120) AS snippet, tokens FROM ordered JOIN fill USING (place) WHERE taken
+UNION ALL SELECT 'L2', id, 0, substr(text, 1, 120), greatest(1, floor(length('[归档] ' || text) / 4))::INT FROM kept""",
+    "recall_accesses": f"""WITH RECURSIVE {_CONTEXT}, {_FILL}, hit AS (SELECT DISTINCT key FROM ordered JOIN fill USING (place) WHERE taken)
+SELECT id, coalesce(access_count, 0) + CASE WHEN key IS NULL THEN 0 ELSE 1 END AS access_count, epoch_us(CASE WHEN key IS NULL THEN last_accessed_at ELSE greatest(last_accessed_at, TIMESTAMP '2026-06-01') END) AS last_us FROM f LEFT JOIN hit ON key = id""",
     "layered_dedup": f"WITH {_F} SELECT id, layer FROM f QUALIFY row_number() OVER (PARTITION BY scope, content ORDER BY layer, importance DESC NULLS LAST, id) = 1",
-    "context_fill": f"""WITH RECURSIVE {_F}, {_PLACED}, items AS (SELECT layer, place, id, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, floor(length(content) / 4))::BIGINT END AS tokens FROM placed WHERE place <= 60),
-fill(layer, place, used, keys, truncated) AS (SELECT DISTINCT layer, 0::BIGINT, 0::BIGINT, '', false FROM items
-UNION ALL SELECT i.layer, i.place, CASE WHEN used + tokens <= 2800 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 2800 THEN keys || CASE WHEN keys = '' THEN '' ELSE ',' END || id ELSE keys END, truncated OR used + tokens > 2800 FROM fill f JOIN items i ON i.layer = f.layer AND i.place = f.place + 1)
-SELECT layer, keys, used, truncated FROM fill QUALIFY row_number() OVER (PARTITION BY layer ORDER BY place DESC) = 1""",
-    "rerank_scaled": f"""WITH {_F}, {_PLACED}, p AS (SELECT *, min(importance) FILTER (place <= 50) OVER (PARTITION BY layer) AS lo, max(importance) FILTER (place <= 50) OVER (PARTITION BY layer) AS hi FROM placed WHERE place <= 80)
-SELECT id, layer, round(CASE WHEN place > 50 THEN least(importance, 0.0) WHEN hi = lo THEN 1.0 ELSE (importance - lo) / (hi - lo) END, 9) AS scaled FROM p""",
+    "rerank_scaled": f"""WITH {_F}, s AS (SELECT id, layer, coalesce(importance, 0) AS score FROM f), p AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY score DESC, id) AS place FROM s),
+q AS (SELECT *, min(score) FILTER (place <= 50) OVER (PARTITION BY layer) AS lo, max(score) FILTER (place <= 50) OVER (PARTITION BY layer) AS hi FROM p)
+SELECT id, layer, round(CASE WHEN place > 50 THEN least(score, 0.0) WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 9) AS scaled FROM q""",
     "memory_browse": f"""WITH m AS (SELECT id, 'fragment' AS kind, layer, scope, content AS text, updated_at AS row_time FROM (SELECT * FROM temporal_fragments {_ONE})
 UNION ALL SELECT id, 'triple', 'L2', scope, concat_ws(' ', subject_id, predicate, coalesce(CASE WHEN length(object_id) > 0 THEN object_id END, object_value, '?')), valid_from FROM (SELECT * FROM triples {_ONE})
 UNION ALL SELECT id, 'entity', 'L1', scope, name, valid_from FROM (SELECT * FROM entities {_ONE}))

@@ -21,7 +21,7 @@ class ScopeFilter:
     all_projects: bool = False
 
     def column(self, name: str = "scope") -> Column:
-        """The predicate; with nothing included, false. A null scope never passes."""
+        """The predicate; with nothing included, false. A null scope gives null, which no filter passes: so it reaches the scan."""
         c, parts = F.col(name), []
         if self.all_projects:
             parts.append(c.startswith("project:"))
@@ -31,7 +31,7 @@ class ScopeFilter:
             parts.append(c == f"tenant:{self.tenant}")
         if self.include_global:
             parts.append(c == "global")
-        return F.coalesce(reduce(Column.__or__, parts), F.lit(False)) if parts else F.lit(False)
+        return reduce(Column.__or__, parts) if parts else F.lit(False)
 
 
 def project_scope(project: str, include_global: bool = True) -> ScopeFilter:
