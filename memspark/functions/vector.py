@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +20,18 @@ def dequantize(q: Column) -> Column:
     return F.transform(q["codes"], lambda c: (c.cast("float") * step + q["low"]).cast("float"))
 
 
-def hash_embedding(dim: int = 64):
-    """A pandas UDF from text to a unit vector that depends on the text only (and says nothing of its meaning)."""
-
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        blocks = math.ceil(dim / 8)
+def hash_embedding(c: Column, dim: int = 64) -> Column:
+    """A unit vector that depends on the text only (and says nothing of its meaning); of a null text null.
 
-        def one(t):
-            if t is None:
-                return None
-            raw = b"".join(hashlib.sha256(f"{t}\x00{b}".encode()).digest() for b in range(blocks))
-            v = (np.frombuffer(raw, "<u4")[:dim] / 2**32 * 2 - 1).astype(np.float32)
-            n = float(np.linalg.norm(v))
-            return v / n if n > 0 else v
+    Its numbers are the little-endian words of SHA-256 of the text, a zero
+    character and the number of the block, on [-1, 1).
+    """
 
-        return texts.map(one)
+    def word(h: Column, i: int) -> Column:
+        parts = [F.substring(h, 8 * i + 2 * k + 1, 2) for k in (3, 2, 1, 0)]
+        return (F.conv(F.concat(*parts), 16, 10).cast("double") / 2.0**32 * 2 - 1).cast("float")
 
-    return embed
+    blocks = [F.sha2(F.concat(c, F.lit("\0" + str(b))), 256) for b in range(-(-dim // 8))]
+    v = F.slice(F.flatten(F.transform(F.array(*blocks), lambda h: F.array(*[word(h, i) for i in range(8)]))), 1, dim)
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(c.isNotNull(), F.transform(v, lambda x: F.when(n > 0, (x / n).cast("float")).otherwise(x)))

@@ -19,28 +19,39 @@ from memspark.tables import cut, micros
 # What marks texts made by a job.
 CONSOLIDATED, SUMMARY, SUMMARY_ID = "【聚合】", "【摘要】", ":summary"
 PROTECTED, HALF_LIFE_DAYS, FORGOTTEN = 0.9, 30.0, 0.1
+#: Characters up to which members are joined in one text.
+MOST_TEXT = 1 << 20
 
 
-def consolidate(fragments: DataFrame, layer: str = "L1", target: str = "L2", head: int = 50) -> tuple[DataFrame, DataFrame]:
-    """New fragments, one per scope and set of entities of two or more fragments of the layer, and the ids they replace.
+def consolidate(fragments: DataFrame, layer: str = "L1", target: str = "L2", head: int = 50, most_text: int = MOST_TEXT) -> tuple[DataFrame, DataFrame]:
+    """New fragments, one per scope and set of entities of two or more fragments of the layer, and their members.
 
-    A null list of entities is an empty one. The content joins the first
-    `head` characters of the members in order of id; numbers are bounded by
-    the group, texts of a group by what one row can hold.
+    A null list of entities is an empty one. members: group_id, position, id
+    and text (the first `head` characters) of each fragment replaced, in order
+    of id, a row each, so that a group of any size is no single row. The
+    content joins these texts where they have most_text characters at most,
+    else it is null and stands in the members.
     """
     names = F.array_sort(F.coalesce("entities", F.array().cast("array<string>")))
-    rows = fragments.filter(F.col("layer") == layer).dropDuplicates(["id"]).withColumn("names", names)
-    each = rows.groupBy("scope", "names").agg(
-        F.count("*").alias("n"), F.max("importance").alias("importance"), F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
-        F.max("updated_at").alias("updated_at"), F.sum("access_count").alias("access_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("relations")))).alias("relations"),
-        F.array_sort(F.collect_list(F.struct("id", F.substring("content", 1, head).alias("text")))).alias("parts"),
+    kept = ["id", "scope", "relations", "importance", "time_start", "time_end", "updated_at", "access_count"]
+    rows = fragments.filter(F.col("layer") == layer).select(*kept, names.alias("names"), F.substring("content", 1, head).alias("text")).dropDuplicates(["id"])
+    rows = cut(rows.withColumn("key", F.md5(F.to_json(F.struct("scope", "names")))))
+    each = rows.groupBy("key").agg(
+        F.first("scope").alias("scope"), F.first("names").alias("names"), F.count("*").alias("n"), F.max("importance").alias("importance"), F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
+        F.max("updated_at").alias("updated_at"), F.sum("access_count").alias("access_count"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("mix"), F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2).alias("chars"),
     ).filter("n >= 2")
+    each = cut(each.withColumn("id", F.sha2(F.concat_ws("|", F.lit(target), "key", "first", F.col("n").cast("string"), F.col("mix").cast("string")), 256)))
+    grouped = rows.join(each.select("key", F.col("id").alias("group_id"), "chars"), "key")
+    # as many names as there are kinds of relations
+    relations = grouped.select("group_id", F.explode("relations").alias("relation")).distinct().groupBy(F.col("group_id").alias("id")).agg(F.array_sort(F.collect_list("relation")).alias("relations"))
+    parts = grouped.filter(F.col("chars") <= most_text).groupBy(F.col("group_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("member"), "text"))).alias("parts"))
     label = F.when(F.size("names") > 0, F.array_join("names", ",")).otherwise(F.col("scope"))
     body = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "; ")
     content = F.concat(F.lit(CONSOLIDATED), label, F.lit(":"), F.col("n").cast("string"), F.lit(" 条记忆聚合 — "), body)
-    new_id = F.sha2(F.concat_ws("|", F.lit(target), "scope", F.array_join("names", ","), F.array_join("parts.id", ",")), 256)
-    new = each.select(new_id.alias("id"), "scope", F.lit(target).alias("layer"), F.col("names").alias("entities"), "relations", content.alias("content"), "importance", "time_start", "time_end", "updated_at", "access_count", F.col("n").alias("members"))
-    return new, each.select(F.explode("parts.id").alias("id"))
+    new = each.join(relations, "id", "left").join(parts, "id", "left")
+    new = new.select("id", "scope", F.lit(target).alias("layer"), F.col("names").alias("entities"), F.coalesce("relations", F.array().cast("array<string>")).alias("relations"), content.alias("content"), "importance", "time_start", "time_end", "updated_at", "access_count", F.col("n").alias("members"))
+    members = prefix_sum(grouped.select("group_id", "id", "text", F.lit(1).cast("long").alias("one")), ["group_id"], ["id"], "one", "position")
+    return new, members.select("group_id", "position", "id", "text")
 
 
 def retention(df: DataFrame, now: datetime) -> Column:
@@ -139,6 +150,13 @@ def _scored(similarity: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _classes(rows: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """rows (with id, scope, layer, content) with `text`, the hash of their normalised text, for content; and the classes of equal texts: id (the least), scope, layer, text, norm, written."""
+    made = rows.withColumn("norm", compact(F.col("content"))).filter(F.length("norm") >= shortest).withColumn("text", F.md5("norm")).drop("content")
+    classes = made.groupBy("scope", "layer", "text").agg(F.min("id").alias("id"), F.first("norm").alias("norm"))
+    return made.drop("norm"), cut(classes.select("id", "scope", "layer", "text", "norm"))
+
+
 def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12, block: int = 1 << 18) -> DataFrame:
     """a, b, jaccard: all links between different texts of one scope and layer whose bigram sets are that similar.
 
@@ -149,8 +167,11 @@ def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int
     work being bounded by the block. No pair is left out: the work is quadratic
     in the classes of like size of one scope and layer.
     """
-    rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm")).filter(F.length("norm") >= shortest)
-    made = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("id")).select("id", "scope", "layer", "norm")
+    return _links(_classes(fragments.select("id", "scope", "layer", "content"), shortest)[1], similarity, block)
+
+
+def _links(classes: DataFrame, similarity: float, block: int = 1 << 18) -> DataFrame:
+    made = classes.select("id", "scope", "layer", "norm")
     sized = made.mapInArrow(_sized, "id string, scope string, layer string, norm string, n int").withColumn("weight", F.greatest(F.length("norm"), F.lit(256)).cast("long"))
     placed = cut(prefix_sum(sized, ["scope", "layer"], ["n", "id"], "weight", "before").select("id", "scope", "layer", "norm", "n", F.floor(F.col("before") / block).alias("block")))
     blocks = placed.groupBy("scope", "layer", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("classes"))
@@ -162,39 +183,46 @@ def near_duplicates(fragments: DataFrame, similarity: float = 0.7, shortest: int
     sides = pairs.select("pair", "s", "l", F.col("block0").alias("k"), F.lit(0).alias("side")).unionByName(pairs.filter("block0 < block1").select("pair", "s", "l", F.col("block1").alias("k"), F.lit(1).alias("side")))
     each = placed.join(sides, F.col("scope").eqNullSafe(F.col("s")) & F.col("layer").eqNullSafe(F.col("l")) & (F.col("block") == F.col("k"))).select("pair", "side", "id", "norm")
     # few bytes, much work: a fixed number of partitions, which aren't put together again
-    spark = fragments.sparkSession
+    spark = classes.sparkSession
     each = each.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair")
     return each.groupBy("pair").applyInArrow(_scored(similarity), "a string, b string, jaccard double")
 
 
+def _grouped(rows: DataFrame, similarity: float, shortest: int) -> DataFrame:
+    """rows with group, the least id of their group: a text is normalised and grouped once, and joined by its hash."""
+    made, classes = _classes(rows, shortest)
+    linked = components(_links(classes, similarity), "a", "b")
+    of = classes.select(F.col("scope").alias("_s"), F.col("layer").alias("_l"), F.col("text").alias("_t"), F.col("id").alias("rep"))
+    of = of.join(linked, F.col("rep") == F.col("node"), "left").select("_s", "_l", "_t", F.coalesce("component", "rep").alias("group"))
+    same = F.col("scope").eqNullSafe(F.col("_s")) & F.col("layer").eqNullSafe(F.col("_l")) & (F.col("text") == F.col("_t"))
+    return made.join(of, same).drop("_s", "_l", "_t", "text").dropDuplicates(["id"])
+
+
 def dedup(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) -> DataFrame:
     """id, survivor of every merged fragment, and what the survivor absorbs: access_count, time_start, time_end, importance, entities.
 
     One row per group of two or more: survivor (least created_at, then id),
     members. Protected fragments take no part.
     """
-    open_ = fragments.filter(F.coalesce(F.col("importance") < PROTECTED, F.lit(True)))
-    rows = open_.dropDuplicates(["id"])
-    norm = compact(F.col("content"))
-    rows = rows.withColumn("norm", norm).filter(F.length("norm") >= shortest)
-    reps = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("rep"))
-    linked = components(near_duplicates(open_, similarity, shortest), "a", "b")
-    groups = rows.join(reps, ["scope", "layer", "norm"]).join(linked, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
+    kept = ["id", "scope", "layer", "content", "created_at", "access_count", "time_start", "time_end", "importance", "entities"]
+    groups = cut(_grouped(fragments.filter(F.coalesce(F.col("importance") < PROTECTED, F.lit(True))).select(*kept), similarity, shortest))
     order = F.struct(F.coalesce(micros(fragments, "created_at"), F.lit(2**62)), F.col("id"))
     made = groups.groupBy("group").agg(
-        F.count("*").alias("members"), F.min_by("id", order).alias("survivor"), F.sum("access_count").alias("access_count"), F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
-        F.max("importance").alias("importance"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"),
-    )
-    return made.filter("members > 1").drop("group")
+        F.count("*").alias("members"), F.min_by("id", order).alias("survivor"), F.sum("access_count").alias("access_count"), F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"), F.max("importance").alias("importance"),
+    ).filter("members > 1")
+    # distinct before they are collected: as many as the group names entities
+    named = groups.join(made.select("group"), "group", "left_semi").select("group", F.explode("entities").alias("entity")).distinct().groupBy("group").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    return made.join(named, "group", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>"))).drop("group")
 
 
 def dedup_members(fragments: DataFrame, similarity: float = 0.7, shortest: int = 12) -> DataFrame:
     """id, group: every fragment long enough with the least id of its group (alone: its own)."""
-    open_ = fragments
-    rows = fragments.select("id", "scope", "layer", compact(F.col("content")).alias("norm")).filter(F.length("norm") >= shortest).dropDuplicates(["id"])
-    reps = rows.groupBy("scope", "layer", "norm").agg(F.min("id").alias("rep"))
-    linked = components(near_duplicates(open_, similarity, shortest), "a", "b")
-    return rows.join(reps, ["scope", "layer", "norm"]).join(linked, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("group"))
+    return _grouped(fragments.select("id", "scope", "layer", "content"), similarity, shortest).select("id", "group")
+
+
+def expired_fingerprints(fingerprints: DataFrame, now: datetime, days: int = 90) -> DataFrame:
+    """The fingerprints (fingerprint, last_us) not seen for so many days."""
+    return fingerprints.filter(F.col("last_us") < int((now - datetime(1970, 1, 1)).total_seconds() * 1_000_000) - days * 86_400_000_000)
 
 
 def top_of_scope(fragments: DataFrame, k: int) -> DataFrame:

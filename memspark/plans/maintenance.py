@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from memspark.functions import masking, text, vector
 from memspark.jobs import cloning, communities, memory, quality
-from memspark.sources import importers
+from memspark.sources import importers, sinks
 from memspark.tables import micros, table
 
 NOW = datetime(2026, 6, 1)
 SOURCE, TARGET = "project:harborlight", "project:atlas-delta-000000"
 
 
-def _t(spark, folder, name):
-    return table(spark, folder, name).dropDuplicates(["id"])
+def _t(spark, folder, name, *columns):
+    """These columns of a table (all, if none is named) as records: rows of one id are one."""
+    df = table(spark, folder, name)
+    return (df.select("id", *columns) if columns else df).dropDuplicates(["id"])
 
 
 def _r(c, n=6):
@@ -35,15 +37,15 @@ def consolidate_survivors(spark, folder):
 
 
 def forget_scores(spark, folder):
-    return memory.forget(_t(spark, folder, "temporal_fragments"), NOW).select("id", _r("score"), "verdict")
+    return memory.forget(_t(spark, folder, "temporal_fragments", "importance", "updated_at", "last_accessed_at", "access_count", "time_end"), NOW).select("id", _r("score"), "verdict")
 
 
 def capacity_prune(spark, folder):
-    return memory.over_capacity(_t(spark, folder, "temporal_fragments"), NOW, 50)
+    return memory.over_capacity(table(spark, folder, "temporal_fragments"), NOW, 50)
 
 
 def summarize_rule(spark, folder):
-    return memory.summarize(_t(spark, folder, "temporal_fragments")).select("fragment_id", "content", "scope", "layer", "source_id")
+    return memory.summarize(table(spark, folder, "temporal_fragments")).select("fragment_id", "content", "scope", "layer", "source_id")
 
 
 def dedup_groups(spark, folder):
@@ -57,11 +59,11 @@ def dedup_classes(spark, folder):
 
 
 def top_fragments(spark, folder):
-    return memory.top_of_scope(_t(spark, folder, "temporal_fragments"), 5).select("scope", "place", "id")
+    return memory.top_of_scope(_t(spark, folder, "temporal_fragments", "scope", "importance"), 5).select("scope", "place", "id")
 
 
 def archive_split(spark, folder):
-    f, t = _t(spark, folder, "temporal_fragments"), _t(spark, folder, "triples")
+    f, t = _t(spark, folder, "temporal_fragments", "time_end", "updated_at", "importance"), _t(spark, folder, "triples", "valid_to")
     parts = []
     for name, df, cold in (("temporal_fragments", f, quality.cold_fragments(f, NOW)), ("triples", t, quality.cold_triples(t, NOW))):
         hot, gone = quality.archive(df, cold, NOW)
@@ -70,24 +72,22 @@ def archive_split(spark, folder):
 
 
 def archive_find_cold(spark, folder):
-    f, t = _t(spark, folder, "temporal_fragments"), _t(spark, folder, "triples")
+    f, t = _t(spark, folder, "temporal_fragments", "time_end", "updated_at", "importance"), _t(spark, folder, "triples", "valid_to")
     return f.agg(F.count_if(quality.cold_fragments(f, NOW)).alias("fragments")).crossJoin(t.agg(F.count_if(quality.cold_triples(t, NOW)).alias("triples")))  # one row each
 
 
 def archive_query(spark, folder):
-    """Archived fragments with a keyword, the latest first, 50 at most."""
-    from memspark.operators.search import keyword_like
-
-    f = _t(spark, folder, "temporal_fragments")
-    _, gone = quality.archive(f, quality.cold_fragments(f, NOW), NOW)
-    return gone.filter(keyword_like(F.col("content"), "scope filter")).orderBy(F.desc_nulls_last("time_start"), "id").limit(50).select("id")
+    """Archived fragments and triples with a keyword, the latest first, 50 at most."""
+    f, t = table(spark, folder, "temporal_fragments"), table(spark, folder, "triples")
+    gone = {"temporal_fragments": quality.archive(f, quality.cold_fragments(f, NOW), NOW)[1], "triples": quality.archive(t, quality.cold_triples(t, NOW), NOW)[1]}
+    return quality.query_archived(gone, "scope filter", None, 50).select("id", "found_in")
 
 
 def restore_roundtrip(spark, folder):
-    """Archived and restored: every triple is hot once again."""
-    t = _t(spark, folder, "triples")
+    """Archived, and those of one project restored: these are hot again, the rest stay archived."""
+    t = _t(spark, folder, "triples", "valid_to", "scope")
     hot, gone = quality.archive(t, quality.cold_triples(t, NOW), NOW)
-    hot, gone = quality.restore(hot, gone, F.lit(True))
+    hot, gone = quality.restore(hot, gone, F.col("scope") == SOURCE)
     return hot.select("id", F.lit("hot").alias("tier")).unionByName(gone.select("id", F.lit("cold").alias("tier")))
 
 
@@ -104,15 +104,42 @@ def contradiction_temporal(spark, folder):
 
 
 def causal_inverse(spark, folder):
-    return quality.inverse_causes(table(spark, folder, "triples"))
+    """Among the triples and the reverse of every sure cause."""
+    t = table(spark, folder, "triples").select("id", "scope", "predicate", "subject_id", "object_id", "valid_to", "confidence")
+    back = t.filter("predicate = 'causes' AND confidence >= 0.5 AND object_id IS NOT NULL").select(F.concat("id", F.lit("-")).alias("id"), "scope", "predicate", F.col("object_id").alias("subject_id"), F.col("subject_id").alias("object_id"), "valid_to", "confidence")
+    return quality.inverse_causes(t.unionByName(back))
+
+
+def _shared(spark, folder):
+    """Entities under keys without their numbers, which projects so have in common."""
+    return table(spark, folder, "entities").withColumn("entity_id", F.regexp_replace("entity_id", r"(?:-\d+)+$", ""))
 
 
 def cross_project_patterns(spark, folder):
-    return quality.cross_project_patterns(table(spark, folder, "triples"), table(spark, folder, "entities"), 2)
+    return quality.cross_project_patterns(table(spark, folder, "triples"), _shared(spark, folder), 2)
 
 
 def promote_missing(spark, folder):
-    return quality.promote(table(spark, folder, "triples"), table(spark, folder, "entities"), 2)
+    return quality.promote(table(spark, folder, "triples"), _shared(spark, folder), 2)
+
+
+def promote_entities(spark, folder):
+    """The global entities that the promoted triples need."""
+    e = _shared(spark, folder)
+    return quality.global_entities(quality.promote(table(spark, folder, "triples"), e, 2), e).select("id", "entity_id", "entity_type", "name", "source_closet")
+
+
+def promote_by_hand(spark, folder):
+    """Every surely known triple between entities, promoted by its id."""
+    t = table(spark, folder, "triples")
+    return quality.manual_promote(t, _shared(spark, folder), t.filter("confidence >= 0.95 AND relation_type = 'semantic'").select("id"))
+
+
+def contradiction_new(spark, folder):
+    """The closed and open triples of one project as incoming ones against those of all."""
+    t = table(spark, folder, "triples")
+    new = t.filter(F.col("scope") == SOURCE).withColumn("id", F.concat("id", F.lit("+")))
+    return quality.check_new(t, new)
 
 
 def dq_constraints(spark, folder):
@@ -123,6 +150,59 @@ def stats_by_layer(spark, folder):
     return quality.statistics(table(spark, folder, "temporal_fragments"), table(spark, folder, "triples"))
 
 
+def sink_triples(spark, folder):
+    """What the surer triples add to the others: the sink adds no key twice."""
+    t = table(spark, folder, "triples")
+    late = F.coalesce(F.col("confidence") >= 0.5, F.lit(False))
+    return sinks.appended("triples", t.filter(late), t.filter(~late)).select(*sinks.KEYS["triples"][:-1], micros(t, "valid_from").alias("from_us"))
+
+
+def sink_entities(spark, folder):
+    """What the entities without a type of their own add to the others, by scope and key without number."""
+    e = _shared(spark, folder)
+    return sinks.appended("entities", e.filter("valid_to IS NULL"), e.filter("valid_to IS NOT NULL")).select("scope", "entity_id")
+
+
+def sink_locations(spark, folder):
+    p = table(spark, folder, "locations")
+    return sinks.appended("locations", p.filter("parent_id IS NOT NULL"), p.filter("parent_id IS NULL")).select("scope", "location_id")
+
+
+def vectors_deleted(spark, folder):
+    """The vectors that stay when all expired fragments go."""
+    f, v = table(spark, folder, "temporal_fragments"), table(spark, folder, "vector_links")
+    return sinks.without_vectors(v, f.filter(micros(f, "time_end") < 1_740_000_000_000_000)).select("id").distinct()
+
+
+def version_conflicts(spark, folder):
+    """State writes as commits of a chain per layer of time; each key's current row claims to be based on the version before the last."""
+    from memspark.operators import state
+
+    t = table(spark, folder, "triples")
+    resource = F.concat_ws("|", *state.KEY).alias("resource_id")
+    writes = state.state_rows(t).select("id", resource, F.col("predicate").alias("chain_id"), F.col("id").alias("at")).dropDuplicates(["id"])
+    incoming = table(spark, folder, "project_current_state").select(resource, F.lit("chain").alias("chain_id"), F.when(F.col("confidence") > 0.8, 2).alias("expected_version"), F.lit(1).alias("base_version")).distinct()
+    return state.version_conflicts(writes, incoming)
+
+
+def read_write_conflicts(spark, folder):
+    """Errors as writes to the payload's resource, views as reads of it."""
+    from memspark.operators import state
+
+    e = table(spark, folder, "events").select("event_type", F.col("props").alias("resource_id"), F.col("user_id").cast("string").alias("chain_id"), F.col("ts").alias("at"))
+    made = state.read_write_conflicts(e.filter("event_type = 'error'").drop("event_type"), e.filter("event_type = 'view'").drop("event_type"), 86_400.0)
+    return made.select("resource_id", "chain_id", micros(made, "read_at").alias("read_us"), "kind", "strategy", "other_chain_id")
+
+
+def expired_fingerprints(spark, folder):
+    return memory.expired_fingerprints(fingerprints(spark, folder), datetime(2024, 4, 5), 90).select("fingerprint")
+
+
+def consolidate_members(spark, folder):
+    """The members of the groups of consolidate_groups, a row each."""
+    return memory.consolidate(table(spark, folder, "temporal_fragments"))[1].select("position", "id", "text")
+
+
 def semantic_communities(spark, folder):
     t, e = table(spark, folder, "triples"), table(spark, folder, "entities")
     edges = communities.weights(t, e)
@@ -207,14 +287,14 @@ def jaccard_to_predecessor(spark, folder):
 def mask_plain(spark, folder):
     """Fragments whose email addresses or keys are redacted in the JVM."""
     f = table(spark, folder, "temporal_fragments")
-    masked = masking.redact(F.col("content"), ("api_key", "email"))
+    masked = masking.masked(F.col("content"), "redact", ("api_key", "email"))
     return f.select("id", masked.alias("content")).distinct()
 
 
 def mask_checked(spark, folder):
     """All categories, with Luhn, identity number and octet checks."""
     f = table(spark, folder, "temporal_fragments").select("id", "content").distinct()
-    return f.select("id", masking.masker("mask")("content").alias("content"))
+    return f.select("id", masking.masked(F.col("content"), "mask").alias("content"))
 
 
 def quantize_error(spark, folder):
@@ -226,8 +306,17 @@ def quantize_error(spark, folder):
     return q.select("vector_id", (worst <= 0.5001 * step + 1e-6).alias("within_half_step"), F.array_max("q.codes").alias("top_code"), F.array_min("q.codes").alias("low_code")).distinct()
 
 
+def quantize_codes(spark, folder):
+    """The codes of vectors, as one text."""
+    v = table(spark, folder, "vector_links").filter("size(embedding) = 64")
+    q = v.select("vector_id", vector.quantize(F.col("embedding")).alias("q")).filter("q IS NOT NULL")
+    return q.select("vector_id", F.array_join(F.transform("q.codes", lambda c: c.cast("string")), ",").alias("codes"), "q.low", "q.high").distinct()
+
+
 def hash_embed(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.round(F.aggregate(vector.hash_embedding(64)("text"), F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("length"))
+    """The numbers of the embeddings, as whole thousandths."""
+    made = table(spark, folder, "documents").select("doc_id", vector.hash_embedding(F.col("text")).alias("v")).filter("v IS NOT NULL")
+    return made.select("doc_id", F.array_join(F.transform("v", lambda x: F.floor(x.cast("double") * 1000 + 0.5).cast("string")), ",").alias("thousandths"))
 
 
 def content_lookup(spark, folder):

@@ -91,6 +91,11 @@ SELECT start, node, min(depth)::INT AS depth FROM steps WHERE start <> node GROU
     "graph_n_degree_named": f"""WITH {_EDGES} SELECT DISTINCT p.id AS start, dst AS node, 1 AS depth, coalesce(n.name, dst) AS name FROM ({_PEOPLE}) p JOIN edges ON src = p.id
 LEFT JOIN (SELECT id, min(name) AS name FROM entities GROUP BY id) n ON n.id = dst WHERE relation_type = 'semantic' AND dst <> p.id""",
     "graph_edges": f"WITH {_EDGES} SELECT src, count(DISTINCT triple) AS n, count(DISTINCT dst) AS targets FROM edges WHERE relation_type IN ('semantic', 'causal') GROUP BY src",
+    "graph_path": f"""WITH {_EDGES}, two AS (SELECT min({{'s': a.src, 't': b.dst}}) AS x FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src <> b.dst AND a.src <> a.dst AND a.dst <> b.dst),
+direct AS (SELECT min(triple) AS triple FROM edges, two WHERE src = x.s AND dst = x.t), first AS (SELECT dst AS node, min(triple) AS triple FROM edges, two WHERE src = x.s AND dst <> x.s GROUP BY dst),
+last AS (SELECT min({{'prior': e.src, 'triple': e.triple}}) AS way FROM edges e JOIN first ON first.node = e.src, two WHERE e.dst = x.t)
+SELECT 0 AS position, x.s AS node, NULL::VARCHAR AS triple FROM two UNION ALL SELECT 1, x.t, triple FROM two, direct WHERE triple IS NOT NULL
+UNION ALL SELECT 1, first.node, first.triple FROM last, first, direct WHERE first.node = way.prior AND direct.triple IS NULL UNION ALL SELECT 2, x.t, way.triple FROM two, last, direct WHERE direct.triple IS NULL""",
     "causal_backward": f"WITH RECURSIVE {_CHAIN} SELECT 'backward' AS direction, id, min(depth)::INT AS depth FROM back GROUP BY id",
     "causal_forward": f"WITH RECURSIVE {_FORWARD} SELECT 'backward' AS direction, id, min(depth)::INT AS depth FROM back GROUP BY id UNION ALL SELECT 'forward', id, min(depth)::INT FROM forth GROUP BY id HAVING min(depth) > 0",
     "causal_chains": """WITH RECURSIVE one AS (SELECT id, min(predecessor_id) AS p FROM triples GROUP BY id), links AS (SELECT a.id, b.id AS parent FROM one a LEFT JOIN one b ON a.p = b.id),
@@ -116,7 +121,7 @@ kept AS (SELECT * FROM cold WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 SELECT 'L' || layer AS layer, key, round(greatest(0, least(1, score)), 9) AS score, substr(text, 1, 120) AS snippet, tokens FROM ordered JOIN fill USING (place) WHERE taken
 UNION ALL SELECT 'L2', id, 0, substr(text, 1, 120), greatest(1, floor(length('[归档] ' || text) / 4))::INT FROM kept""",
     "recall_accesses": f"""WITH RECURSIVE {_CONTEXT}, {_FILL}, hit AS (SELECT DISTINCT key FROM ordered JOIN fill USING (place) WHERE taken)
-SELECT id, coalesce(access_count, 0) + CASE WHEN key IS NULL THEN 0 ELSE 1 END AS access_count, epoch_us(CASE WHEN key IS NULL THEN last_accessed_at ELSE greatest(last_accessed_at, TIMESTAMP '2026-06-01') END) AS last_us FROM f LEFT JOIN hit ON key = id""",
+SELECT id, (coalesce(access_count, 0) + CASE WHEN key IS NULL THEN 0 ELSE 1 END)::BIGINT AS access_count, epoch_us(CASE WHEN key IS NULL THEN last_accessed_at ELSE greatest(last_accessed_at, TIMESTAMP '2026-06-01') END) AS last_us FROM f LEFT JOIN hit ON key = id""",
     "layered_dedup": f"WITH {_F} SELECT id, layer FROM f QUALIFY row_number() OVER (PARTITION BY scope, content ORDER BY layer, importance DESC NULLS LAST, id) = 1",
     "rerank_scaled": f"""WITH {_F}, s AS (SELECT id, layer, coalesce(importance, 0) AS score FROM f), p AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY score DESC, id) AS place FROM s),
 q AS (SELECT *, min(score) FILTER (place <= 50) OVER (PARTITION BY layer) AS lo, max(score) FILTER (place <= 50) OVER (PARTITION BY layer) AS hi FROM p)

@@ -51,7 +51,7 @@ def fingerprints(events: DataFrame, scope: str = "global") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """user_id, start_ts, end_ts, n of runs of events without a pause of `gap`; state older than `late` is dropped in append mode."""
+    """user_id, start_ts, end_ts, n of runs of events without a pause of `gap`, for append mode: a session comes out, and its state goes, when the watermark (`late` behind the last event) has passed its end."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     made = timed.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))
     return made.select("user_id", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n")

@@ -35,7 +35,8 @@ def test_consolidate(spark):
     r = new.first()
     assert new.count() == 1 and (r.entities, r.importance, r.access_count, r.members, r.layer) == (["a", "b"], 0.8, 2, 2, "L2")
     assert r.content == "【聚合】a,b:2 条记忆聚合 — " + ("one" * 30)[:50] + "; two"
-    assert sorted(x.id for x in gone.collect()) == ["1", "2"]
+    assert sorted((x.group_id == r.id, x.position, x.id) for x in gone.collect()) == [(True, 0, "1"), (True, 1, "2")]
+    assert memory.consolidate(df, most_text=10)[0].first().content is None
     assert memory.consolidate(df.join(gone, "id", "left_anti"))[0].count() == 0
 
 
@@ -196,14 +197,18 @@ def test_clone_twice_and_package(spark, tmp_path):
 
 
 def test_communities(spark):
-    two = [(f"{g}{i}", f"{g}{j}", 3) for g in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 1)]
-    edges = spark.createDataFrame(two, "a string, b string, weight long")
-    labels = {r.node: r.label for r in communities.communities(edges).collect()}
+    two = [("project:p", f"{g}{i}", f"{g}{j}", 3) for g in "ab" for i in range(5) for j in range(i + 1, 5)] + [("project:p", "a0", "b0", 1), ("global", "x", "y", 2)]
+    edges = spark.createDataFrame(two, "universe string, a string, b string, weight long")
+    at = communities.communities(edges).collect()
+    labels = {r.node: r.label for r in at}
+    assert {r.universe for r in at if r.node in "xy"} == {"global"}
+    good = {r.universe: r.modularity for r in communities.modularity(edges, spark.createDataFrame(at)).collect()}
+    assert good["project:p"] > 0.45
     assert len({labels[f"a{i}"] for i in range(5)}) == len({labels[f"b{i}"] for i in range(5)}) == 1 and labels["a0"] != labels["b0"]
-    names = spark.createDataFrame([("a0", "Alpha")], "id string, name string")
-    made = communities.summaries(spark.createDataFrame(list(labels.items()), "node string, label string"), edges, names)
-    assert sorted((r.size, r.inner_edges) for r in made.collect()) == [(5, 10), (5, 10)]
-    assert sorted((r.action) for r in communities.refresh(made.limit(1), made).collect()) == ["insert"] and communities.refresh(made, made).count() == 0
+    names = spark.createDataFrame([("a0", "Alpha", "project:p")], "id string, name string, scope string")
+    made = communities.summaries(spark.createDataFrame(at), edges, names)
+    assert sorted((r.universe, r.size, r.inner_edges) for r in made.collect()) == [("global", 2, 1), ("project:p", 5, 10), ("project:p", 5, 10)]
+    assert sorted((r.action) for r in communities.refresh(made.limit(2), made).collect()) == ["insert"] and communities.refresh(made, made).count() == 0
 
 
 def test_constraints(spark):
@@ -218,20 +223,20 @@ def test_constraints(spark):
 def test_masks(spark):
     t = "mail ann@host.org, 13800138000, 11010519491231002X, 4111111111111111, 4111111111111112, 192.168.1.1, 999.1.1.1, sk-abcdefghijklmnop1234"
     df = spark.createDataFrame([(t,), (None,), ("",)], "t string")
-    got = [r.t for r in df.select(masking.masker()("t").alias("t")).collect()]
+    got = [r.t for r in df.select(masking.masked(F.col("t")).alias("t")).collect()]
     assert got == ["mail [EMAIL], [PHONE], [ID_CARD], [BANK_CARD], 4111111111111112, [IPV4], 999.1.1.1, [API_KEY]", None, ""]
-    assert df.select(masking.masker("mask")("t").alias("t")).first().t == "mail a***@host.org, 138****8000, 1101************2X, 4111********1111, 4111111111111112, 192.*.*.*, 999.1.1.1, sk-***"
-    assert "[EMAIL:" in df.select(masking.masker("hash")("t").alias("t")).first().t
-    assert df.select(masking.redact(F.col("t")).alias("t")).first().t.startswith("mail [EMAIL], [PHONE], 110105")
-    with pytest.raises(ValueError, match="check"):
-        masking.redact(F.col("t"), ("ipv4",))
+    assert df.select(masking.masked(F.col("t"), "mask").alias("t")).first().t == "mail a***@host.org, 138****8000, 1101************2X, 4111********1111, 4111111111111112, 192.*.*.*, 999.1.1.1, sk-***"
+    assert "[EMAIL:" in df.select(masking.masked(F.col("t"), "hash").alias("t")).first().t
+    assert df.select(masking.masked(F.col("t"), "redact", ("api_key", "email", "phone")).alias("t")).first().t.startswith("mail [EMAIL], [PHONE], 110105")
+    with pytest.raises(ValueError, match="masking"):
+        masking.masked(F.col("t"), "redact", ("ip",))
 
 
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 0.5, 1.0]), (2, [3.0, 3.0]), (3, None), (4, []), (5, [float("nan"), 1.0])], "k int, v array<float>")
     got = {r.k: (r.q.codes if r.q else None, r.b) for r in df.select("k", vector.quantize(F.col("v")).alias("q")).withColumn("b", vector.dequantize(F.col("q"))).collect()}
     assert got[1][0] == [0, 128, 255] and abs(got[1][1][1] - 0.5) < 0.003 and got[2] == ([0, 0], [3.0, 3.0]) and got[3][0] is got[4][0] is got[5][0] is None
-    e = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string").select(vector.hash_embedding(20)("t").alias("v")).collect()
+    e = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string").select(vector.hash_embedding(F.col("t"), 20).alias("v")).collect()
     assert e[0].v == e[1].v != e[2].v and len(e[0].v) == 20 and abs(sum(x * x for x in e[0].v) - 1) < 1e-5 and e[3].v is None
 
 

@@ -1,10 +1,11 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from memspark.engine import Memory, Request
 from memspark.scope import project_scope
-from memspark.sources import importers
+from memspark.sources import importers, sinks
 from memspark.sources.stores import Snapshots, audit, with_access
 from memspark.streaming import streams
 
@@ -81,9 +82,56 @@ def test_engine(spark):
     c = m.context(r).collect()
     assert len({x.key for x in c}) == len(c) > 5 and {x.layer for x in c} == {0, 1, 2}
     assert f.id in {x.key for x in c}
-    got = m.recall(r).first()
+    got = m.fill(r).first()
     assert 0 < got.used <= 420 and len(got["keys"]) > 0
+    said = m.recall(r, {"triples": m.tables["triples"]}).collect()
+    assert [x.key for x in said if not x.text.startswith("[归档] ")] == got["keys"] and all(0 <= x.score <= 1 and len(x.snippet) <= 120 for x in said)
+    for mode, to in (("neighbours", None), ("causes", None), ("path", start)):
+        m.graph_query(mode, start, to).collect()
+    with pytest.raises(ValueError, match="mode"):
+        m.graph_query("sideways", start)
     scoped = Request("vector index", scope=project_scope("nobody", False))
     assert m.recall(scoped).count() == 0
     name = m.tables["entities"].orderBy("id").first()
     assert m.resolve(name.entity_id).first().entity_id == name.entity_id
+
+
+@pytest.mark.parametrize(
+    ("ask", "wanted"),
+    [
+        (lambda m: m.at_time(D(2025, 6, 1), scope=project_scope("harborlight")), ["valid_from", "valid_to", "scope"]),
+        (lambda m: m.in_range(D(2025, 3, 1), D(2025, 4, 1), "entities", project_scope("harborlight")), ["valid_from", "valid_to", "scope"]),
+        (lambda m: m.in_area(1.0, 2.0, 1e5, project_scope("harborlight")), ["coordinates.lng", "coordinates.lat", "scope"]),
+        (lambda m: m.in_location("a.b", scope=project_scope("harborlight")), ["path", "scope"]),
+        (lambda m: m.browse(scope=project_scope("harborlight")), ["scope"]),
+        (lambda m: m.get("triples", "x"), ["id"]),
+    ],
+    ids=["at_time", "in_range", "in_area", "in_location", "browse", "get"],
+)
+def test_filters_reach_the_scan(spark, ask, wanted):
+    plan = ask(Memory.open(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = [x for x in plan.split("\n") if x.startswith("PushedFilters")]
+    assert pushed and all(any(w in x for x in pushed) for w in wanted), pushed
+
+
+def test_sinks_and_layout(spark, tmp_path):
+    rows = [(str(i), f"l{i % 3}", "global", f"a.b{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "id string, location_id string, scope string, path string")
+    path = str(tmp_path / "locations")
+    sinks.laid_out("locations", df.limit(0)).write.parquet(path)
+    for _ in range(2):
+        sinks.sink("locations", df, path)
+    assert sorted(r.location_id for r in spark.read.parquet(path).collect()) == ["l0", "l1", "l2"]
+    links = spark.createDataFrame([("1", "e", None, None), ("2", None, None, "f"), ("3", None, "t", None), ("4", None, None, None)], "id string, entity_id string, triple_id string, fragment_id string")
+    gone = spark.createDataFrame([("e",), ("f",)], "id string")
+    assert sorted(r.id for r in sinks.without_vectors(links, gone).collect()) == ["3", "4"]
+    with pytest.raises(ValueError, match="table"):
+        sinks.appended("nothing", df, df)
+
+
+def test_sessions_drop_their_state(spark):
+    """In append mode only sessions that the watermark has passed come out."""
+    folder = "/root/testdata/sf0.001"
+    made = streams.drained(streams.sessions(streams.files(spark, folder, "events"), late="1 hour"), "append")
+    last = spark.read.parquet(f"{folder}/events.parquet").agg(F.max("ts")).first()[0]
+    assert made.count() > 0 and made.agg(F.max("end_ts")).first()[0].replace(tzinfo=None) <= last
