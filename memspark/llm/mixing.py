@@ -52,7 +52,7 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, s
     and source the target, what was available and what was reached.
     """
     rows = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(F.col(size).alias("size"), source_key(F.col(source)).alias("source"))).alias("d"))
-    rows = cut(rows.select("_key", "d.*").withColumn("order", F.xxhash64(F.lit(seed), "_key")))
+    rows = cut(rows.select("_key", "d.*").withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_key").cast("string")))))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     usable = rows.filter("size > 0 AND source IS NOT NULL")
     plan = _plan(usable.groupBy("source").agg(F.sum("size").alias("available")), targets, total)

@@ -95,6 +95,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def _by_length(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, folder, "documents"), "doc_id", "source", "n_chars", table(spark, folder, "mix_targets"))
+
+
+def p9_mix_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the code points of a text as its size."""
+    return _by_length(spark, folder)[0]
+
+
+def p9_shares_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    shares = _by_length(spark, folder)[1]
+    return shares.select("mix", "source", F.round("target_share", 9).alias("target_share"), "available", "n_docs", "most_copies", "reached_size", F.round("reached_share", 9).alias("reached_share"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are residue, wholly or in part."""
     found = labelled(table(spark, folder, "documents"), ["doc_id"], "text")
@@ -106,4 +120,4 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
     return labelled(table(spark, folder, "documents"), ["doc_id", "source", "n_chars"], "text").filter("residue IS NULL").drop("residue")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised, p5_found, p5_golden, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)}
+QUERIES = {q.__name__: q for q in (p3_found, p4_found, p4_sanitised, p5_found, p5_golden, p8_ids, p9_mix, p9_shares, p9_mix_by_length, p9_shares_by_length, p10_found, p10_clean)}
