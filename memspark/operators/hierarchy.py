@@ -2,8 +2,8 @@
 
 Upward, subtree sizes; downward, preorder positions from prefix sums of the
 sizes of earlier siblings, and with them depth, root and path. Ancestors and
-descendants then follow from the ranges. Both passes double the distance they
-bridge in every round, so a tree of depth d takes log2(d) rounds, not d; nodes
+descendants then follow from the ranges. Both passes quadruple the distance they
+bridge in every round, so a tree of depth d takes log4(d) rounds, not d; nodes
 that have come to their root stay out of later rounds. What the downward pass
 doesn't reach from a root lies on a cycle or below one.
 """
@@ -11,6 +11,7 @@ doesn't reach from a root lies on a cycle or below one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +32,30 @@ def _links(df: DataFrame, key: str, parent: str) -> DataFrame:
     return cut(linked.select("id", F.col("known").alias("parent")))
 
 
-def _doubled(at: DataFrame, changes: dict[str, Column]) -> DataFrame:
-    """at with the pointers of open nodes leading as far again, and with changes, in which up_x is x of the node pointed to."""
-    up = at.select(F.col("id").alias("ptr"), *[F.col(c).alias(f"up_{c}") for c in ["ptr", *changes]])
-    moved = at.filter(_open()).join(up, "ptr", "left")
-    own = {"ptr": F.col("up_ptr"), **changes}
-    return at.filter(~_open()).unionByName(moved.select(*[own[c].alias(c) if c in own else c for c in at.columns]))
+def _led(at: DataFrame, changes: dict[str, Callable[[str, str], Column]]) -> DataFrame:
+    """at with p2, p3 and ptr, where the pointers of open nodes lead in two, three and four of their steps, and with changes.
+
+    Each step joins the same table, whose exchange is reused. A change makes
+    of a column's value so far and that of the node pointed to the next.
+    """
+    up = at.select(F.col("id").alias("_at"), F.col("ptr").alias("_ptr"), *[F.col(c).alias(f"_{c}") for c in changes])
+    moved = at.filter(_open()).withColumn("p1", F.col("ptr"))
+    for step in ("p2", "p3", "p4"):
+        moved = moved.join(up, F.col("ptr") == F.col("_at"), "left")
+        moved = moved.select(*[c for c in moved.columns if c not in {"ptr", *changes} and not c.startswith("_")], *[f(c, f"_{c}").alias(c) for c, f in changes.items()], F.col("_ptr").alias("ptr"), F.col("_ptr").alias(step))
+    return moved.drop("p4")
 
 
 def _upward(links: DataFrame) -> tuple[DataFrame, int]:
     """links with the size of each subtree (of no use on or below cycles), and the rounds it took."""
-    # sizes on cycles double with every round: as doubles they can't overflow, below 2^53 they are exact
+    # sizes on cycles grow with every round: as doubles they can't overflow, below 2^53 they are exact
     at, left = cut_counting(links.select("id", "parent", F.col("parent").alias("ptr"), F.lit(1.0).alias("size")), _open())
     rounds = 0
     while left:
-        more = at.filter(_open()).groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
-        grown = _doubled(at, {}).join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0.0))).drop("more")
+        moved = _led(at, {})
+        over = moved.select(F.explode(F.array("p1", "p2", "p3")).alias("id"), "size").filter("id IS NOT NULL").groupBy("id").agg(F.sum("size").alias("more"))
+        whole = at.filter(~_open()).unionByName(moved.select(*at.columns))
+        grown = whole.join(over, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0.0))).drop("more")
         before, (at, left), rounds = left, cut_counting(grown, _open()), rounds + 1
         if left == before:  # no node has the depths just bridged, so none is deeper
             break
@@ -62,14 +71,15 @@ def _downward(at: DataFrame, rounds: int | None, with_pre: bool, with_path: bool
     made = at.withColumns({"ptr": F.col("parent"), "root": F.when(top, F.col("id")), "depth": (~top).cast("long")})
     made = made.withColumn("pre", F.col("step")) if with_pre else made
     made = made.withColumn("path", F.col("id")) if with_path else made
-    zero = F.lit(0)
-    changes = {"root": F.coalesce("root", "up_root"), "depth": F.col("depth") + F.coalesce("up_depth", zero)}
-    changes |= {"pre": F.col("pre") + F.coalesce("up_pre", zero)} if with_pre else {}
-    changes |= {"path": F.concat_ws("/", "up_path", "path")} if with_path else {}
+    plus = lambda own, up: F.col(own) + F.coalesce(up, F.lit(0))
+    changes = {"root": lambda own, up: F.coalesce(own, up), "depth": plus}
+    changes |= {"pre": plus} if with_pre else {}
+    changes |= {"path": lambda own, up: F.concat_ws("/", up, own)} if with_path else {}
     made, left = cut_counting(made, _open())
     done = 0
     while left and (rounds is None or done < rounds):
-        before, (made, left), done = left, cut_counting(_doubled(made, changes), _open()), done + 1
+        step = made.filter(~_open()).unionByName(_led(made, changes).select(*made.columns))
+        before, (made, left), done = left, cut_counting(step, _open()), done + 1
         if left == before:
             break
     return made.withColumn("root", F.when(~_open(), F.col("root")))

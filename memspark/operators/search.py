@@ -64,7 +64,8 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     low = df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).dropDuplicates(["key"])
     n = F.length("low") - 2
-    grams = F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col("low"), i, F.lit(3))))).otherwise(F.array(F.lit("")))
+    # a pattern and no positions: linear in the text
+    grams = F.when(n >= 1, F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))).otherwise(F.array(F.lit("")))
     return low.select(F.explode(grams).alias("gram"), "key", F.greatest(n, F.lit(0)).alias("len"))
 
 
