@@ -138,7 +138,7 @@ SELECT r.id, root.g AS "group" FROM r JOIN c ON c.scope IS NOT DISTINCT FROM r.s
     "content_lookup": f"""WITH ids AS (SELECT DISTINCT coalesce(entity_id, triple_id, fragment_id) AS id FROM vector_links), x AS (
 SELECT id, 0 AS i, content, 'temporal_fragments' AS found_in FROM temporal_fragments UNION ALL SELECT id, 1, name || ' (' || entity_type || ')', 'entities' FROM entities
 UNION ALL SELECT id, 2, concat_ws(' ', subject_id, predicate, coalesce(CASE WHEN length(object_id) > 0 THEN object_id END, CASE WHEN length(object_value) > 0 THEN object_value END, '?')), 'triples' FROM triples)
-SELECT id, content, found_in FROM x WHERE id IN (SELECT id FROM ids) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1""",
+SELECT id, content, found_in FROM x WHERE id IN (SELECT id FROM ids) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC, content DESC NULLS LAST) = 1""",
     "sink_new_fragments": "SELECT DISTINCT scope, fragment_id FROM temporal_fragments a WHERE layer = 'L1' AND NOT EXISTS (SELECT 1 FROM temporal_fragments b WHERE b.layer <> 'L1' AND a.scope IS NOT DISTINCT FROM b.scope AND a.fragment_id IS NOT DISTINCT FROM b.fragment_id)",
     "text_functions": f"""WITH c AS (SELECT doc_id, text, regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g') AS k FROM documents)
 SELECT doc_id, md5(k) AS compact, CASE WHEN k IS NULL THEN 0 WHEN length(k) >= 2 THEN len(list_distinct(list_transform(range(1, length(k)), lambda i: substr(k, i::BIGINT, 2)))) ELSE length(k) END::INT AS bigrams, sha256(text) AS digest, 'text:' || substr(sha256(text), 1, 16) AS text_key,

@@ -101,7 +101,7 @@ def new_rows(incoming: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame
 
 
 def lookup(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """id, content, found_in: the text of each id (fragments: content; entities: name (type); triples: subject predicate object), first table first."""
+    """id, content, found_in: the text of each id (fragments: content; entities: name (type); triples: subject predicate object); of an id in several tables the text of the last."""
     f, e, t = tables["temporal_fragments"], tables["entities"], tables["triples"]
     thing = F.coalesce(F.when(F.length("object_id") > 0, F.col("object_id")), F.when(F.length("object_value") > 0, F.col("object_value")), F.lit("?"))
     each = [
@@ -114,4 +114,4 @@ def lookup(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
     for i, (df, text, name) in enumerate(each):
         part = df.join(wanted, "id", "left_semi").select("id", F.struct(F.lit(i).alias("i"), text.alias("content"), F.lit(name).alias("found_in")).alias("x"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.content", "x.found_in")
+    return rows.groupBy("id").agg(F.max("x").alias("x")).select("id", "x.content", "x.found_in")

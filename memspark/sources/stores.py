@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.tables import cut
+
 SNAPSHOT = "session_id string, data string, updated_at timestamp, expires_at timestamp"
 
 
@@ -31,6 +33,11 @@ class Snapshots:
         last = log.groupBy("session_id").agg(F.max_by(F.struct("data", "updated_at", "expires_at"), "updated_at").alias("s")).select("session_id", "s.*")
         return last.filter(F.col("data").isNotNull() & (F.col("expires_at") > F.lit(now)))
 
+    def cleanup(self, now: datetime) -> None:
+        """Writes the log anew with only what stands at `now`: what expired, was deleted or replaced is gone."""
+        kept = cut(self.listed(now).select("session_id", "data", "updated_at", "expires_at"))
+        kept.coalesce(1).write.mode("overwrite").parquet(self.path)
+
     def load(self, session: str, now: datetime) -> str | None:
         row = self.listed(now).filter(F.col("session_id") == session).first()
         return row["data"] if row else None

@@ -53,6 +53,8 @@ def test_stores(spark, tmp_path):
     s.save("b", "3", now)
     s.delete("b", now + timedelta(hours=2))
     assert s.load("a", now + timedelta(hours=3)) == "2" and s.load("b", now + timedelta(hours=3)) is None and s.load("a", now + timedelta(days=2)) is None
+    s.cleanup(now + timedelta(hours=3))
+    assert spark.read.parquet(s.path).count() == 1 and s.load("a", now + timedelta(hours=3)) == "2"
     audit(spark.createDataFrame([("write", "secret")], "action string, content string"), str(tmp_path / "audit"))
     assert "secret" not in str(spark.read.json(str(tmp_path / "audit")).collect())
     f = spark.createDataFrame([("x", 1, D(2025, 1, 1)), ("y", None, None)], "id string, access_count int, last_accessed_at timestamp")
