@@ -195,7 +195,7 @@ def read_write_conflicts(spark, folder):
 
 
 def expired_fingerprints(spark, folder):
-    return memory.expired_fingerprints(fingerprints(spark, folder), datetime(2024, 4, 5), 90).select("fingerprint")
+    return memory.expired_fingerprints(fingerprints(spark, folder), datetime(2024, 6, 1), 90).select("fingerprint")
 
 
 def consolidate_members(spark, folder):

@@ -36,6 +36,16 @@ _COMPACT = "regexp_replace(lower(coalesce({0}, '')), '[^0-9a-z一-鿿]+', '', 'g
 _HEADINGS = "regexp_extract_all(text, '(?m)^#{1,3}[ \\t]+(.+?)\\s*#*\\s*$', 1)"
 
 
+def _near(which: str) -> str:
+    """The fragments that hold, with g, the least id of their group of near-duplicates, by all pairs."""
+    return f"""r AS (SELECT * FROM (SELECT *, {_COMPACT.format('content')} AS norm FROM temporal_fragments WHERE {which} {_ONE}) WHERE length(norm) >= 12),
+c AS (SELECT scope, layer, norm, min(id) AS rep, {_GRAMS.format('norm')} AS grams FROM r GROUP BY scope, layer, norm),
+links AS (SELECT x.rep AS a, y.rep AS b FROM c x JOIN c y ON x.scope IS NOT DISTINCT FROM y.scope AND x.layer IS NOT DISTINCT FROM y.layer AND len(x.grams) >= 0.7 * len(y.grams) AND len(y.grams) >= 0.7 * len(x.grams)
+  AND len(list_intersect(x.grams, y.grams)) >= 0.7 * (len(x.grams) + len(y.grams) - len(list_intersect(x.grams, y.grams)))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT t.a, l.b FROM reach t JOIN links l ON t.b = l.a), root AS (SELECT a, min(b) AS g FROM reach GROUP BY a),
+grouped AS (SELECT r.*, g FROM r JOIN c ON c.scope IS NOT DISTINCT FROM r.scope AND c.layer IS NOT DISTINCT FROM r.layer AND c.norm = r.norm JOIN root ON root.a = c.rep)"""
+
+
 def _check(table: str, tests: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{table}.{n}' AS \"check\", count(*) FILTER (NOT coalesce({t}, false)) AS n FROM {table}" for n, t in tests.items())
 
@@ -84,7 +94,7 @@ k AS (SELECT i.r, e, coalesce(n, 0) AS v, other, CASE WHEN e IS NOT NULL AND e <
 SELECT r AS resource_id, 'chain' AS chain_id, kind, CASE kind WHEN 'version_stale' THEN 'auto_merge' ELSE 'auto_last' END AS strategy, v AS current_version, other AS other_chain_id FROM k WHERE kind IS NOT NULL""",
     "read_write_conflicts": """WITH w AS (SELECT props, max({'at': ts, 'c': user_id::VARCHAR}) AS w FROM events WHERE event_type = 'error' GROUP BY props)
 SELECT props AS resource_id, user_id::VARCHAR AS chain_id, epoch_us(ts) AS read_us, 'read_write' AS kind, 'auto_last' AS strategy, w.c AS other_chain_id FROM events JOIN w USING (props) WHERE event_type = 'view' AND w.c <> user_id::VARCHAR AND epoch_us(w.at) - epoch_us(ts) BETWEEN 1 AND 86400000000""",
-    "expired_fingerprints": f"WITH p AS (SELECT substr(sha256('global|error|' || {_FOLD.format('props')}), 1, 16) AS fingerprint, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY 1) SELECT fingerprint FROM p WHERE last < TIMESTAMP '2024-04-05' - INTERVAL 90 DAY",
+    "expired_fingerprints": f"WITH p AS (SELECT substr(sha256('global|error|' || {_FOLD.format('props')}), 1, 16) AS fingerprint, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY 1) SELECT fingerprint FROM p WHERE last < TIMESTAMP '2024-06-01' - INTERVAL 90 DAY",
     "consolidate_members": f"WITH {_F}, {_GROUPS} SELECT row_number() OVER (PARTITION BY r.scope, r.names ORDER BY r.id) - 1 AS position, r.id, substr(content, 1, 50) AS text FROM rows r JOIN each e ON e.scope = r.scope AND e.names = r.names",
     "dq_constraints": " UNION ALL ".join([
         _check("entities", {"entity_type": "entity_type IN ('person', 'location', 'object', 'concept', 'event')", "scope": _SCOPED}),
@@ -129,12 +139,9 @@ places AS (SELECT p.id, coalesce(h.have, sha256('{TARGET}|' || f.first)) AS new_
 f AS (SELECT * FROM temporal_fragments WHERE scope = '{SOURCE}' AND layer <> 'L3' {_ONE}), fresh AS (SELECT * FROM f WHERE fragment_id IS NOT NULL AND fragment_id NOT IN (SELECT fragment_id FROM temporal_fragments WHERE scope = '{TARGET}' AND fragment_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY fragment_id ORDER BY id) = 1),
 named AS (SELECT x.id, string_agg(new_id, ',' ORDER BY pos) AS entities FROM (SELECT fresh.id, unnest(range(len(entities))) AS pos, unnest(entities) AS entity FROM fresh) x JOIN ids ON ids.id = x.entity GROUP BY x.id)
 SELECT {_NEW % 'fresh.id'} AS id, fresh.id AS source_id, coalesce(named.entities, '') AS entities, places.new_id AS location_id FROM fresh LEFT JOIN named ON named.id = fresh.id LEFT JOIN places ON places.id = fresh.location_id""",
-    "dedup_classes": f"""WITH RECURSIVE r AS (SELECT id, scope, layer, norm FROM (SELECT *, {_COMPACT.format('content')} AS norm FROM temporal_fragments {_ONE}) WHERE length(norm) >= 12),
-c AS (SELECT scope, layer, norm, min(id) AS rep, {_GRAMS.format('norm')} AS g FROM r GROUP BY scope, layer, norm),
-links AS (SELECT x.rep AS a, y.rep AS b FROM c x JOIN c y ON x.scope IS NOT DISTINCT FROM y.scope AND x.layer IS NOT DISTINCT FROM y.layer AND len(x.g) >= 0.7 * len(y.g) AND len(y.g) >= 0.7 * len(x.g)
-  AND len(list_intersect(x.g, y.g)) >= 0.7 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT t.a, l.b FROM reach t JOIN links l ON t.b = l.a), root AS (SELECT a, min(b) AS g FROM reach GROUP BY a)
-SELECT r.id, root.g AS "group" FROM r JOIN c ON c.scope IS NOT DISTINCT FROM r.scope AND c.layer IS NOT DISTINCT FROM r.layer AND c.norm = r.norm JOIN root ON root.a = c.rep""",
+    "dedup_classes": f'WITH RECURSIVE {_near("true")} SELECT id, g AS "group" FROM grouped',
+    "dedup_groups": f"""WITH RECURSIVE {_near("coalesce(importance < 0.9, true)")}, named AS (SELECT g, string_agg(DISTINCT x, ',' ORDER BY x) AS entities FROM (SELECT g, unnest(entities) AS x FROM grouped) GROUP BY g)
+SELECT arg_min(id, {{'c': coalesce(epoch_us(created_at), 4611686018427387904), 'id': id}}) AS survivor, count(*) AS members, sum(access_count)::BIGINT AS access_count, max(importance) AS importance, coalesce(any_value(named.entities), '') AS entities FROM grouped LEFT JOIN named USING (g) GROUP BY g HAVING count(*) > 1""",
     "content_lookup": f"""WITH ids AS (SELECT DISTINCT coalesce(entity_id, triple_id, fragment_id) AS id FROM vector_links), x AS (
 SELECT id, 0 AS i, content, 'temporal_fragments' AS found_in FROM temporal_fragments UNION ALL SELECT id, 1, name || ' (' || entity_type || ')', 'entities' FROM entities
 UNION ALL SELECT id, 2, concat_ws(' ', subject_id, predicate, coalesce(CASE WHEN length(object_id) > 0 THEN object_id END, CASE WHEN length(object_value) > 0 THEN object_value END, '?')), 'triples' FROM triples)
