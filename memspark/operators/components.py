@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.tables import cut
+from memspark.tables import cut_observing
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,12 +34,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Edges may point any way and repeat; loops and those with a null end count for nothing.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b")
-    at = cut(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    marks = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
+    at, state = cut_observing(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), *marks)
     mark = None
-    while True:
-        state = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == mark:
-            break
+    while state.get("n") and state != mark:
         mark = state
-        at = cut(_star(_star(at, True), False))
+        at, state = cut_observing(_star(_star(at, True), False), *marks)
     return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -43,11 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_counting(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
-    """cut(df), and the number of its rows for which `which` holds, counted as they are written."""
+def cut_observing(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates (with aliases) over its rows, computed as they are written; of no row, none."""
     seen = Observation()
-    at = cut(df.observe(seen, F.count_if(which).alias("n")))
-    return at, seen.get.get("n") or 0
+    at = cut(df.observe(seen, *aggregates))
+    return at, seen.get
+
+
+def cut_counting(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+    """cut(df), and the number of its rows for which `which` holds."""
+    at, seen = cut_observing(df, F.count_if(which).alias("n"))
+    return at, seen.get("n") or 0
 
 
 _shipped: set[str] = set()
