@@ -17,6 +17,14 @@ def hit_at_k(found: DataFrame, gold: DataFrame, k: int, by: list[str] | None = N
     return each.groupBy(*by).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("rate"))
 
 
+def hits_at(found: DataFrame, gold: DataFrame, cutoffs: list[int], by: list[str] | None = None) -> DataFrame:
+    """by, n and hit_<k> for every cutoff: the share of queries with any key found within k, in one pass over the best rank of each."""
+    by = by or []
+    best = found.groupBy("query", "key").agg(F.min("rank").alias("rank"))
+    each = gold.join(best, ["query", "key"], "left").groupBy("query", *by).agg(F.min("rank").alias("rank"))
+    return each.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))).alias(f"hit_{k}") for k in cutoffs])
+
+
 def nearest_rank(column: str, *shares: float) -> list[Column]:
     """Aggregates p<share>: the value at that share of the sorted column, one that occurs (no interpolation)."""
     return [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY `{column}`)").alias(f"p{round(100 * s)}") for s in shares]

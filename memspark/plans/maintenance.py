@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import masking, text, vector
 from memspark.jobs import cloning, communities, memory, quality
-from memspark.sources import importers, sinks
+from memspark.sources import bootstrap, importers, sinks
 from memspark.tables import micros, table
 
 NOW = datetime(2026, 6, 1)
@@ -268,6 +268,27 @@ def readme_seeds(spark, folder):
     return importers.readme_seeds(d, F.col("scope"), "text")
 
 
+def _project_seeds(spark, folder):
+    d = table(spark, folder, "documents").filter("lower(trim(source)) = 'readme' AND scope IS NOT NULL")
+    made = importers.readme_seeds(d, F.col("scope"), "text").filter("object_key IS NOT NULL")
+    return made.select(F.col("subject").alias("scope"), F.concat(F.lit("concept:"), "subject").alias("subject_key"), "predicate", "object_key", "object")
+
+
+def bootstrap_entities(spark, folder):
+    """The entities that the readmes of all projects add; some of their keys are there already."""
+    new, _ = bootstrap.seeded(_project_seeds(spark, folder), _shared(spark, folder), table(spark, folder, "triples"))
+    return new.select("id", "entity_id", "name", "scope")
+
+
+def bootstrap_triples(spark, folder):
+    return bootstrap.seeded(_project_seeds(spark, folder), _shared(spark, folder), table(spark, folder, "triples"))[1]
+
+
+def bootstrap_gaps(spark, folder):
+    """What every project is asked next."""
+    return bootstrap.unknown(table(spark, folder, "triples"), ["owner", "status", "build_version", "deadline"])
+
+
 def rule_summaries(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.rule_summary(F.col("text")).alias("summary"))
 

@@ -50,6 +50,14 @@ def _check(table: str, tests: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{table}.{n}' AS \"check\", count(*) FILTER (NOT coalesce({t}, false)) AS n FROM {table}" for n, t in tests.items())
 
 
+_README = f"""WITH d AS (SELECT scope, text FROM documents WHERE lower(trim(source)) = 'readme')
+SELECT DISTINCT scope AS subject, 'uses_tech' AS predicate, unnest(list_filter([{_TECH}], lambda x: x IS NOT NULL)) AS object, 'tech:' || lower(object) AS object_key FROM d
+UNION SELECT scope, 'has_section', o, CASE WHEN k <> '' THEN 'concept:' || k END FROM (SELECT scope, o, regexp_replace(regexp_replace(lower(o), '[^\\pL\\pN_]+', '-', 'g'), '^-+|-+$', '', 'g') AS k FROM (SELECT scope, unnest({_HEADINGS}[:20]) AS o FROM d))"""
+_SEEDED = f"""readme AS ({_README}), seeds AS (SELECT subject AS scope, 'concept:' || subject AS subject_key, predicate, object_key, object FROM readme WHERE subject IS NOT NULL AND object_key IS NOT NULL),
+wanted AS (SELECT scope, entity_id, min(name) AS name FROM (SELECT scope, subject_key AS entity_id, subject_key AS name FROM seeds UNION ALL SELECT scope, object_key, object FROM seeds) GROUP BY scope, entity_id),
+e AS (SELECT scope, regexp_replace(entity_id, '(-\\d+)+$', '') AS entity_id, min(id) AS id FROM entities GROUP BY 1, 2),
+made AS (SELECT w.*, coalesce(o.id, g.id) AS known, coalesce(o.id, g.id, sha256('seed|' || w.scope || '|' || w.entity_id)) AS id FROM wanted w LEFT JOIN e o ON o.scope = w.scope AND o.entity_id = w.entity_id LEFT JOIN e g ON g.scope = 'global' AND g.entity_id = w.entity_id)"""
+
 SQL = {
     "consolidate_groups": f"WITH {_F}, {_GROUPS} SELECT scope, array_to_string(names, ',') AS entities, '【聚合】' || CASE WHEN len(names) > 0 THEN array_to_string(names, ',') ELSE scope END || ':' || members || ' 条记忆聚合 — ' || body AS content, importance, epoch_us(a) AS start_us, epoch_us(b) AS end_us, access_count::BIGINT AS access_count, members FROM each",
     "consolidate_survivors": f"WITH {_F}, {_GROUPS} SELECT layer, count(*) AS n FROM f WHERE id NOT IN (SELECT unnest(ids) FROM each) GROUP BY layer",
@@ -118,9 +126,7 @@ SELECT {_NEW % 'k.id'} AS id, k.id AS source_id, k.s AS subject_id, k.o AS objec
     "rule_summaries": f"SELECT doc_id, {_CUT.format('text')} AS summary FROM documents",
     "summarize_rule": f"""WITH {_F}, s AS (SELECT fragment_id || ':summary' AS fid, arg_min(content, id) AS c, min(id) AS id FROM f WHERE layer = 'L1' AND length(content) > 500 AND fragment_id || ':summary' NOT IN (SELECT fragment_id FROM f WHERE fragment_id IS NOT NULL) GROUP BY 1)
 SELECT fid AS fragment_id, '【摘要】' || {_CUT.format('c')} AS content, f.scope, f.layer, s.id AS source_id FROM s JOIN f ON f.id = s.id""",
-    "readme_seeds": f"""WITH d AS (SELECT scope, text FROM documents WHERE lower(trim(source)) = 'readme')
-SELECT DISTINCT scope AS subject, 'uses_tech' AS predicate, unnest(list_filter([{_TECH}], lambda x: x IS NOT NULL)) AS object, 'tech:' || lower(object) AS object_key FROM d
-UNION SELECT scope, 'has_section', o, CASE WHEN k <> '' THEN 'concept:' || k END FROM (SELECT scope, o, regexp_replace(regexp_replace(lower(o), '[^\\pL\\pN_]+', '-', 'g'), '^-+|-+$', '', 'g') AS k FROM (SELECT scope, unnest({_HEADINGS}[:20]) AS o FROM d))""",
+    "readme_seeds": _README,
     "jaccard_to_predecessor": f"""WITH s AS (SELECT DISTINCT scope, subject_id, predicate, id, coalesce(object_id, object_value) AS v FROM triples WHERE starts_with(scope, 'project:') AND relation_type IN {_STATE}),
 p AS (SELECT id, v, lag(id) OVER k AS before, lag(v) OVER k AS w FROM s WINDOW k AS (PARTITION BY scope, subject_id, predicate ORDER BY id)),
 c AS (SELECT id, {_COMPACT.format('v')} AS a, {_COMPACT.format('w')} AS b FROM p WHERE before IS NOT NULL AND v IS DISTINCT FROM w),
@@ -150,4 +156,9 @@ SELECT id, content, found_in FROM x WHERE id IN (SELECT id FROM ids) QUALIFY row
     "text_functions": f"""WITH c AS (SELECT doc_id, text, regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g') AS k FROM documents)
 SELECT doc_id, md5(k) AS compact, CASE WHEN k IS NULL THEN 0 WHEN length(k) >= 2 THEN len(list_distinct(list_transform(range(1, length(k)), lambda i: substr(k, i::BIGINT, 2)))) ELSE length(k) END::INT AS bigrams, sha256(text) AS digest, 'text:' || substr(sha256(text), 1, 16) AS text_key,
 TRY_CAST(nullif(regexp_extract(text, '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS first_number, concat_ws(',', {_TECH}) AS technologies, {_FOLD.format('text')} AS error_text FROM c""",
+    "bootstrap_entities": f"WITH {_SEEDED} SELECT id, entity_id, name, scope FROM made WHERE known IS NULL",
+    "bootstrap_triples": f"""WITH {_SEEDED}, rows AS (SELECT DISTINCT w.scope, s.id AS subject_id, predicate, o.id AS object_id FROM seeds w JOIN made s ON s.scope = w.scope AND s.entity_id = w.subject_key JOIN made o ON o.scope = w.scope AND o.entity_id = w.object_key)
+SELECT sha256(concat_ws('|', 'seed', scope, subject_id, predicate, object_id)) AS id, * FROM rows r WHERE NOT EXISTS (SELECT 1 FROM triples t WHERE t.scope = r.scope AND t.subject_id = r.subject_id AND t.predicate = r.predicate AND t.object_id = r.object_id)""",
+    "bootstrap_gaps": """SELECT scope, predicate FROM (SELECT DISTINCT scope FROM triples WHERE starts_with(scope, 'project:')), (SELECT unnest(['owner', 'status', 'build_version', 'deadline']) AS predicate)
+EXCEPT SELECT scope, predicate FROM triples WHERE valid_to IS NULL""",
 }

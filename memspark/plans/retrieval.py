@@ -291,17 +291,31 @@ def memory_browse(spark, folder):
     return rows.select("id", "kind", "layer", "text")
 
 
-def hit_rates(spark, folder):
-    """How often the five most important fragments of a scope name a place that its very important ones of a layer name; medians of importance."""
-    from memspark.operators.metrics import hit_at_k, nearest_rank
+def _found_and_gold(spark, folder):
+    """Places that the fragments of a scope name, ranked by importance, and those that its very important ones of a layer name."""
+    from pyspark.sql import Window as W
 
     f = _t(spark, folder, "temporal_fragments", "scope", "location_id", "layer", "importance")
     gold = f.filter("location_id IS NOT NULL AND importance > 0.9").select(F.col("scope").alias("query"), F.col("location_id").alias("key"), "layer").distinct()
-    from pyspark.sql import Window as W
-
     found = f.filter("location_id IS NOT NULL").select(F.col("scope").alias("query"), F.col("location_id").alias("key"), F.row_number().over(W.partitionBy("scope").orderBy(F.desc_nulls_last("importance"), "id")).alias("rank"))
+    return f, found, gold
+
+
+def hit_rates(spark, folder):
+    """How often the five most important fragments of a scope name a place that its very important ones of a layer name; medians of importance."""
+    from memspark.operators.metrics import hit_at_k, nearest_rank
+
+    f, found, gold = _found_and_gold(spark, folder)
     rates = hit_at_k(found, gold, 5, ["layer"])
     return rates.join(f.groupBy("layer").agg(*nearest_rank("importance", 0.5, 0.99)), "layer")
 
 
+def hit_cutoffs(spark, folder):
+    """The same at the cutoffs 1, 3 and 20."""
+    from memspark.operators.metrics import hits_at
+
+    _, found, gold = _found_and_gold(spark, folder)
+    return hits_at(found, gold, [1, 3, 20], ["layer"])
+
+
 QUERIES = {n: q for n, q in globals().items() if callable(q) and getattr(q, "__module__", "") == __name__ and not n.startswith("_")}

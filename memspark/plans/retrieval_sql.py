@@ -134,4 +134,8 @@ SELECT id, kind, layer, text FROM m WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTU
 found AS (SELECT scope AS q, location_id AS k, row_number() OVER (PARTITION BY scope ORDER BY importance DESC NULLS LAST, id) AS rank FROM f WHERE location_id IS NOT NULL),
 each AS (SELECT q, layer, max(CASE WHEN (q, k) IN (SELECT (q, k) FROM found WHERE rank <= 5) THEN 1 ELSE 0 END) AS hit FROM gold GROUP BY q, layer)
 SELECT * FROM (SELECT layer, count(*) AS n, sum(hit)::BIGINT AS hits, avg(hit) AS rate FROM each GROUP BY layer) JOIN (SELECT layer, quantile_disc(importance, 0.5) AS p50, quantile_disc(importance, 0.99) AS p99 FROM f GROUP BY layer) USING (layer)""",
+    "hit_cutoffs": f"""WITH {_F}, gold AS (SELECT DISTINCT scope AS q, location_id AS k, layer FROM f WHERE location_id IS NOT NULL AND importance > 0.9),
+best AS (SELECT q, k, min(rank) AS rank FROM (SELECT scope AS q, location_id AS k, row_number() OVER (PARTITION BY scope ORDER BY importance DESC NULLS LAST, id) AS rank FROM f WHERE location_id IS NOT NULL) GROUP BY q, k),
+each AS (SELECT gold.q, layer, min(rank) AS rank FROM gold LEFT JOIN best ON best.q = gold.q AND best.k = gold.k GROUP BY gold.q, layer)
+SELECT layer, count(*) AS n, {", ".join(f"avg(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 20))} FROM each GROUP BY layer""",
 }
