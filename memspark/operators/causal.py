@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators.hierarchy import hierarchy
-from memspark.tables import cut
+from memspark.tables import cut, cut_counting
 
 
 def _links(triples: DataFrame) -> DataFrame:
@@ -21,23 +23,22 @@ def trace(triples: DataFrame, start: str, direction: str = "backward", max_depth
     """
     if direction not in ("backward", "forward", "both"):
         raise ValueError(f"no direction: {direction!r}")
-    known = triples.select("id").distinct()
+    wanted = ("backward", "forward") if direction == "both" else (direction,)
     first = triples.filter(F.col("id") == start)
-    first = cut((first if scope is None else first.filter(scope)).select("id", F.lit(0).alias("depth")).distinct())
-    links = _links(triples)
-    ways = {"backward": links.select(F.col("id").alias("at"), F.col("prior").alias("to")), "forward": links.select(F.col("prior").alias("at"), F.col("id").alias("to"))}
-    out = []
-    for way in ("backward", "forward") if direction == "both" else (direction,):
-        seen = frontier = first
-        for depth in range(1, max_depth + 1):
-            step = frontier.select(F.col("id").alias("at")).join(ways[way], "at").select(F.col("to").alias("id")).distinct()
-            step = step.join(known, "id", "left_semi").join(seen, "id", "left_anti")
-            frontier = cut(step.withColumn("depth", F.lit(depth)))
-            if frontier.isEmpty():
-                break
-            seen = seen.unionByName(frontier)
-        out.append(seen.filter("depth > 0" if way == "forward" else "true").select(F.lit(way).alias("direction"), "id", "depth"))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    first = (first if scope is None else first.filter(scope)).select("id", F.lit(0).alias("depth")).distinct()
+    seen = frontier = cut(first.withColumn("direction", F.explode(F.array(*map(F.lit, wanted)))).select("direction", "id", "depth"))
+    # links whose ends are both there, turned the ways asked for, read once: both directions go one level at a time
+    known = triples.select(F.col("id").alias("prior")).distinct()
+    links = _links(triples).join(known, "prior", "left_semi")
+    turned = {"backward": links.select(F.lit("backward").alias("direction"), F.col("id").alias("at"), F.col("prior").alias("to")), "forward": links.select(F.lit("forward").alias("direction"), F.col("prior").alias("at"), F.col("id").alias("to"))}
+    ways = cut(reduce(DataFrame.unionByName, [turned[w] for w in wanted]))
+    for depth in range(1, max_depth + 1):
+        step = frontier.select("direction", F.col("id").alias("at")).join(ways, ["direction", "at"]).select("direction", F.col("to").alias("id")).distinct()
+        frontier, n = cut_counting(step.join(seen, ["direction", "id"], "left_anti").withColumn("depth", F.lit(depth)), F.lit(True))
+        if n == 0:
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("depth > 0 OR direction = 'backward'").select("direction", "id", "depth")
 
 
 def chains(triples: DataFrame) -> DataFrame:

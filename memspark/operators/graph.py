@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.tables import cut
+from memspark.tables import cut, cut_counting
 
 
 def edges(triples: DataFrame, scope: Column | None = None, relation_types: Sequence[str] | None = None) -> DataFrame:
@@ -33,8 +33,8 @@ def _levels(links: DataFrame, starts: DataFrame, max_depth: int, target: str | N
         step = frontier.select("start", F.col("node").alias("src")).join(links, "src")
         step = step.groupBy("start", F.col("dst").alias("node")).agg(F.lit(depth).alias("depth"), F.min(F.struct(F.col("src").alias("prior"), "triple")).alias("by"))
         step = step.select("start", "node", "depth", "by.prior", "by.triple").join(seen, ["start", "node"], "left_anti")
-        frontier = cut(step)
-        if frontier.isEmpty():
+        frontier, n = cut_counting(step, F.lit(True))
+        if n == 0:
             break
         seen = seen.unionByName(frontier)
         if target is not None and not frontier.filter(F.col("node") == target).isEmpty():
