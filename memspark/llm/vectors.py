@@ -6,8 +6,11 @@ one representative. An inverted index holds every representative in the list
 of its nearest centroid (centroids come from a bounded sample); lists that are
 large have lists of their own, from a bounded sample of each, so that the work
 for a vector doesn't grow with the number of vectors; a query visits the lists
-that can hold near enough vectors. A list of any size is scanned in pieces of
-candidates times pieces of queries. Within a piece, dimensions come in column
+that can hold near enough vectors. How many these are grows with the number of
+lists, so rows are sent to them in waves, each searched and its shuffle
+removed before the next: the disk follows the vectors, not the visits. A list
+of any size is scanned in pieces of candidates times pieces of queries; lists
+within it are made and searched in the piece. There, dimensions come in column
 blocks: after each block a hypothesis test on the partial distance abandons
 the candidates that are too far, and the rest are measured exactly.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memspark.tables import cut
+from memspark.tables import cut, cut_parts, drop, unshuffled
 
 
 @dataclass(frozen=True)
@@ -38,7 +42,9 @@ class Scan:
     deviations of where a neighbour can be, the nearest `probes` of them
     (None: all). Blocks of column_block dimensions, tested at epsilon (the
     larger, the fewer true neighbours are abandoned); pieces of piece_rows
-    rows. exact: no lists and no tests, all pairs of pieces.
+    held rows and four times as many asking ones. Rows are sent to their lists in
+    waves of wave_rows, or of `wave` times the number of vectors if that is
+    more. exact: no lists and no tests, all pairs of pieces.
     """
 
     dim: int = 64
@@ -52,7 +58,9 @@ class Scan:
     border_z: float = 2.5
     column_block: int = 16
     epsilon: float = 2.1
-    piece_rows: int = 4096
+    piece_rows: int = 16384
+    wave_rows: int = 1 << 20
+    wave: float = 4.0
     exact: bool = False
     seed: int = 20
 
@@ -121,7 +129,10 @@ def _placing(c: np.ndarray, scan: Scan):
         row = np.arange(len(x))
         border = (score[row, home][:, None] - score) / apart[home]
         border[row, home] = -1
-        near = np.argpartition(border, width - 1, axis=1)[:, :width] if width < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        if width == len(c):
+            kept = border <= reach
+            return home, np.nonzero(kept)[1], kept.sum(1)
+        near = np.argpartition(border, width - 1, axis=1)[:, :width]
         kept = np.take_along_axis(border, near, 1) <= reach
         return home, near[kept], kept.sum(1)
 
@@ -133,8 +144,8 @@ def _placing(c: np.ndarray, scan: Scan):
 
 
 def _assign(c: np.ndarray, scan: Scan):
-    """Batches with `home`, the list of each vector, and `visits`, the lists to search for it."""
-    place = _placing(c, scan)
+    """Batches with `home`, the list of each vector, and `visits`, the lists to search for it; vectors and lists as bytes."""
+    place, kind = _placing(c, scan), _list_type(len(c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,8 +153,109 @@ def _assign(c: np.ndarray, scan: Scan):
             if len(x) == 0:
                 continue
             home, near, sizes = place(x)
-            visits = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), near.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(home.astype(np.int32)), visits], ["id", "vec", "home", "visits"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), _blobs(x, np.full(len(x), 1)), pa.array(home.astype(np.int32)), _blobs(near.astype(kind), sizes)], ["id", "vec", "home", "visits"])
+
+    return run
+
+
+def _list_type(lists: int) -> type:
+    return np.uint16 if lists <= 1 << 16 else np.int32
+
+
+def _blobs(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of the first sizes[0] rows, of the next sizes[1] and so on."""
+    ends = np.r_[0, np.cumsum(sizes)] * (rows[:1].nbytes if len(rows) else 0)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _flat(column: pa.Array, kind: np.dtype | type) -> np.ndarray:
+    """All that _blobs made of a column without nulls."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _counted(lists: int):
+    """Batches of (home, visits) as the rows held by and asking each list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asked = np.zeros((2, lists), np.int64)
+        for b in batches:
+            held += np.bincount(b.column("home").to_numpy(), minlength=lists)
+            asked += np.bincount(_flat(b.column("visits"), _list_type(lists)), minlength=lists)
+        at = np.flatnonzero(asked)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at]), pa.array(asked[at])], ["list", "held", "asked"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """How lists are cut: list l into cs[l] pieces of what it holds times vs[l] pieces of what asks it, numbered from first[l]; waves: the first piece of each wave, and the end."""
+
+    cs: np.ndarray
+    vs: np.ndarray
+    first: np.ndarray
+    waves: list[int]
+
+
+def _pieces(held: np.ndarray, asked: np.ndarray, rows: int, scan: Scan) -> Pieces:
+    """Pieces of piece_rows held rows and four times as many asking ones, about; as many to a wave as have wave_rows, or `wave` times `rows`."""
+    cs, vs = np.maximum(1, -(-held // scan.piece_rows)), np.maximum(1, -(-asked // (4 * scan.piece_rows)))
+    ends = np.cumsum(cs * vs)
+    each = np.repeat(asked / vs + held / cs * (vs > 1), cs * vs)  # rows sent to a piece
+    wave = (np.cumsum(each) - each) // max(scan.wave_rows, scan.wave * rows)
+    return Pieces(cs, vs, ends - cs * vs, [0, *(np.flatnonzero(np.diff(wave)) + 1).tolist(), int(ends[-1])])
+
+
+def _row(dim: int) -> np.dtype:
+    """A row on its way to a piece; role: 1 it asks, 2 it is held, 3 both."""
+    return np.dtype([("id", "<i8"), ("role", "u1"), ("vec", "<f4", (dim,))])
+
+
+def _mixed(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each id, 0 to 2^32 - 1."""
+    h = (ids.astype(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(32)).astype(np.int64)
+
+
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """counts[i] times i, for every i, and their numbers from 0."""
+    return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _sending(plan: Pieces, lists: int, begin: int, end: int, dim: int):
+    """Batches of placed vectors as (piece, rows): what the pieces from begin to end get, many rows in one."""
+    low, high = np.searchsorted(plan.first, [begin, end - 1], "right") - 1  # the lists of these pieces
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, home = b.column("id").to_numpy(), b.column("home").to_numpy()
+            visits, kind = b.column("visits").to_pylist(), _list_type(lists)
+            at = np.repeat(np.arange(len(ids)), [len(v) // np.dtype(kind).itemsize for v in visits])
+            to = np.frombuffer(b"".join(visits), kind)
+            kept = (to >= low) & (to <= high)
+            at, to = at[kept], to[kept].astype(np.int64)
+            cs, vs = plan.cs[to], plan.vs[to]
+            c, v, inside = _mixed(ids[at], 1) % cs, _mixed(ids[at], 2) % vs, home[at] == to
+            x = _flat(b.column("vec"), np.float32).reshape(-1, dim)
+            ends = np.cumsum(cs + inside * vs)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends >> 20)) + 1):  # some million rows at a time, however many pieces a list has
+                yield from sent(ids, x, at[part], plan.first[to[part]], cs[part], vs[part], c[part], v[part], inside[part])
+
+    def sent(ids: np.ndarray, x: np.ndarray, at: np.ndarray, first: np.ndarray, cs: np.ndarray, vs: np.ndarray, c: np.ndarray, v: np.ndarray, inside: np.ndarray) -> Iterator[pa.RecordBatch]:
+        many, own = _each(cs)  # a row asks every piece of what its list holds
+        piece, row, role = [first[many] + own * vs[many] + v[many]], [at[many]], [1 + 2 * (inside[many] & (own == c[many]))]
+        many, own = _each(np.where(inside, vs, 0))  # and is held for every piece of what asks it
+        many, own = many[own != v[many]], own[own != v[many]]
+        piece, row, role = (np.concatenate(p) for p in ((*piece, first[many] + c[many] * vs[many] + own), (*row, at[many]), (*role, np.full(len(many), 2))))
+        order = np.flatnonzero((piece >= begin) & (piece < end))
+        order = order[np.argsort(piece[order], kind="stable")]
+        for s in range(0, len(order), 1 << 15):  # some 9 MB at a time
+            part = order[s : s + (1 << 15)]
+            rows = np.empty(len(part), _row(dim))
+            rows["id"], rows["role"], rows["vec"] = ids[row[part]], role[part], x[row[part]]
+            which, sizes = np.unique(piece[part], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(which), _blobs(rows, sizes)], ["piece", "rows"])
 
     return run
 
@@ -165,39 +277,70 @@ def scan_list(q: np.ndarray, x: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.
     the queries, however many candidates are near.
     """
     d, spent = scan.dim, 0
-    best = np.array([], int), np.array([], int), np.array([], np.float32)
-    limit = np.full(len(q), 2 - 2 * scan.min_sim, np.float32)  # squared distance; sinks as neighbours are found
     bound = lambda t: np.inf if scan.exact else (1 + scan.epsilon / math.sqrt(t)) ** 2 * t / d
     first = min(scan.column_block, d)
-    for a in range(0, len(x), 512):
-        part = x[a : a + 512]
-        for s in range(0, len(q), 4096):
-            own = q[s : s + 4096]
-            near = (own[:, :first] ** 2).sum(1)[:, None] + (part[:, :first] ** 2).sum(1)[None] - 2 * own[:, :first] @ part[:, :first].T
+    found = [(np.array([], int), np.array([], int), np.array([], np.float32))]
+    right = np.c_[x[:, :first], (x[:, :first] ** 2).sum(1), np.ones(len(x), np.float32)].astype(np.float32).T  # |q|^2 + |x|^2 - 2 qx in one product
+    for s in range(0, len(q), 4096):
+        own, best = q[s : s + 4096], found[0]
+        left = np.c_[-2 * own[:, :first], np.ones(len(own), np.float32), (own[:, :first] ** 2).sum(1)].astype(np.float32)
+        limit = np.full(len(own), 2 - 2 * scan.min_sim, np.float32)  # squared distance; sinks as neighbours are found
+        for a in range(0, len(x), 512):
+            part = x[a : a + 512]
+            near = left @ right[:, a : a + 512]
             spent += near.size * first
-            i, j = np.nonzero(near <= limit[s : s + 4096, None] * bound(first) + 1e-6)
+            i, j = np.divmod(np.flatnonzero(near <= (limit * bound(first) + 1e-6).astype(np.float32)[:, None]), len(part))
             gone = near[i, j]
             for t in range(first, d, scan.column_block):
                 to = min(t + scan.column_block, d)
                 gone = gone + ((own[i, t:to] - part[j, t:to]) ** 2).sum(1)
                 spent += len(i) * (to - t)
-                left = gone <= limit[s : s + 4096][i] * (bound(to) if to < d else 1) + 1e-6
-                i, j, gone = i[left], j[left], gone[left]
+                kept = gone <= limit[i] * (bound(to) if to < d else 1) + 1e-6
+                i, j, gone = i[kept], j[kept], gone[kept]
             if len(i):
-                i, j, gone, rank = _nearest(*map(np.concatenate, zip(best, (i + s, j + a, gone), strict=True)), scan.k + 1)
+                i, j, gone, rank = _nearest(*map(np.concatenate, zip(best, (i, j + a, gone), strict=True)), scan.k + 1)
                 full = rank == scan.k
                 limit[i[full]] = np.minimum(limit[i[full]], gone[full])
                 best = i, j, gone
-    i, j, gone = best
+        found.append((best[0] + s, *best[1:]))
+    i, j, gone = map(np.concatenate, zip(*found, strict=True))
     return i, j, 1 - np.maximum(gone, 0) / 2, spent
 
 
+def _search_lists(q: np.ndarray, x: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """scan_list by lists within x, if it is large: their centroids come from a sample of train_per_list rows each."""
+    n = min(scan.max_sublists, len(x) // scan.list_rows) if len(x) >= 2 * scan.list_rows and not scan.exact else 1
+    if n < 2:
+        return scan_list(q, x, scan)[:3]
+    place = _placing(_centroids(x[np.random.default_rng(scan.seed).permutation(len(x))[: n * scan.train_per_list]], n), scan)
+    homes = place(x)[0]
+    _, near, sizes = place(q)
+    row = np.repeat(np.arange(len(q), dtype=np.int32), sizes)[(order := np.argsort(near, kind="stable"))]
+    ends, best, held = np.searchsorted(near[order], np.arange(n + 1)), [], 0
+    for s in range(n):
+        asks, holds = row[ends[s] : ends[s + 1]], np.flatnonzero(homes == s)
+        if len(asks) and len(holds):
+            i, j, sim, _ = scan_list(q[asks], x[holds], scan)
+            best.append((asks[i], holds[j], -sim))
+            held += len(i)
+        if held > max(1 << 20, 2 * len(q) * (scan.k + 1)):  # what is held is bounded by the queries
+            best = [_nearest(*map(np.concatenate, zip(*best, strict=True)), scan.k + 1)[:3]]
+            held = len(best[0][0])
+    if not best:
+        return np.array([], int), np.array([], int), np.array([], np.float32)
+    i, j, gone, _ = _nearest(*map(np.concatenate, zip(*best, strict=True)), scan.k + 1)
+    return i, j, -gone
+
+
 def _search(scan: Scan):
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        x = _matrix(group.column("vec"), scan.dim)
-        asks, holds = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("asks", "holds"))
-        i, j, sim, _ = scan_list(x[asks], x[holds], scan)
+        rows = _flat(group.column("rows"), _row(scan.dim))
+        ids = np.sort(rows["id"])
+        rows = rows[np.argsort(rows["id"], kind="stable")]
+        asks, holds = np.flatnonzero(rows["role"] & 1), np.flatnonzero(rows["role"] & 2)
+        q, x = (np.ascontiguousarray(rows["vec"][at]) for at in (asks, holds))
+        del rows
+        i, j, sim = _search_lists(q, x, scan) if len(x) else (asks[:0], holds[:0], np.array([], np.float32))
         a, b = ids[asks[i]], ids[holds[j]]
         other = a != b
         a, b, sim = a[other], b[other], sim[other]
@@ -209,62 +352,8 @@ def _search(scan: Scan):
     return run
 
 
-def _sublists(visit: DataFrame, sizes: dict[int, tuple[int, int]], scan: Scan) -> DataFrame:
-    """visit (id, vec, list, inside) with `sub`, the list within its list: rows go on to all that they must search.
-
-    sizes: rows inside and visiting of every list. Large lists have centroids
-    from a sample of train_per_list rows each, trained list by list; every
-    block of piece_rows rows of the list is placed by itself.
-    """
-    large = {i: min(scan.max_sublists, n // scan.list_rows) for i, (n, _) in sizes.items() if n >= 2 * scan.list_rows and not scan.exact}
-    if not large or scan.max_sublists < 2:
-        return visit.withColumn("sub", F.lit(0))
-    # at most max_lists rows of four numbers: a bounded broadcast
-    rows = [(i, n, max(1, sizes[i][0] // (n * scan.train_per_list)), -(-sizes[i][1] // scan.piece_rows)) for i, n in large.items()]
-    plan = F.broadcast(visit.sparkSession.createDataFrame(rows, "list int, n int, every int, blocks int"))
-    rest = visit.join(plan, "list", "left_anti").withColumn("sub", F.lit(0))
-    visit = visit.join(plan, "list")
-    schema = "list int, sub int, vec array<float>"
-
-    def train(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("vec"), scan.dim)[np.argsort(group.column("id").to_numpy(), kind="stable")]
-        c = _centroids(x, min(group.column("n")[0].as_py(), len(x)))
-        return pa.table([pa.array([group.column("list")[0].as_py()] * len(c), pa.int32()), pa.array(np.arange(len(c), dtype=np.int32)), _lists(c)], ["list", "sub", "vec"])
-
-    sample = visit.filter(F.col("inside") & (F.pmod(F.xxhash64("id", F.lit(scan.seed)), F.col("every")) == 0))
-    # few rows a list: written, as they are read for every block
-    centres = cut(sample.select("list", "id", "n", "vec").groupBy("list").applyInArrow(train, schema))
-    placed = visit.select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec", "inside", F.lit(-1).alias("sub"))
-    each = centres.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).cast("long").alias("id"), "vec", F.lit(False).alias("inside"), "sub")
-
-    def place(group: pa.Table) -> pa.Table:
-        sub = group.column("sub").to_numpy()
-        x, ids, inside = _matrix(group.column("vec"), scan.dim), group.column("id").to_numpy(), group.column("inside").to_numpy(zero_copy_only=False)
-        centre, own = np.flatnonzero(sub >= 0), np.flatnonzero(sub < 0)
-        centre = centre[np.argsort(sub[centre])]
-        if not len(centre):  # no row of a small list came into its sample
-            return pa.table([pa.array(ids[own]), _lists(x[own]), pa.array([group.column("list")[0].as_py()] * len(own), pa.int32()), pa.array(inside[own]), pa.array(np.zeros(len(own), np.int32))], ["id", "vec", "list", "inside", "sub"])
-        home, near, n = _placing(x[centre], scan)(x[own])
-        row = np.repeat(np.arange(len(own)), n)
-        return pa.table([pa.array(ids[own][row]), _lists(x[own][row]), pa.array([group.column("list")[0].as_py()] * len(row), pa.int32()), pa.array(inside[own][row] & (home[row] == near)), pa.array(near.astype(np.int32))], ["id", "vec", "list", "inside", "sub"])
-
-    made = placed.unionByName(each).groupBy("list", "block").applyInArrow(place, "id long, vec array<float>, list int, inside boolean, sub int")
-    return rest.unionByName(cut(made))
-
-
-def _pieces(visit: DataFrame, scan: Scan) -> DataFrame:
-    """visit with the pieces in which rows ask and are held; lists with more than piece_rows of either are cut into pieces of both."""
-    sizes = visit.groupBy("list", "sub").agg(F.count_if("inside").alias("held"), F.count("*").alias("asked")).filter(F.greatest("held", "asked") > scan.piece_rows)
-    sizes = sizes.select("list", "sub", F.ceil(F.col("held") / scan.piece_rows).cast("int").alias("cs"), F.ceil(F.col("asked") / scan.piece_rows).cast("int").alias("vs"))
-    at = visit.join(sizes, ["list", "sub"], "left").withColumns({"cs": F.greatest(F.coalesce("cs", F.lit(1)), F.lit(1)), "vs": F.coalesce("vs", F.lit(1))})
-    at = at.withColumns({"c": F.pmod(F.xxhash64("id", F.lit(1)), F.col("cs")).cast("int"), "v": F.pmod(F.xxhash64("id", F.lit(2)), F.col("vs")).cast("int")})
-    asking = F.transform(F.sequence(F.lit(0), F.col("cs") - 1), lambda c: F.struct(c.alias("c"), F.col("v").alias("v"), F.lit(True).alias("asks"), (F.col("inside") & (c == F.col("c"))).alias("holds")))
-    held = F.transform(F.filter(F.sequence(F.lit(0), F.col("vs") - 1), lambda v: F.col("inside") & (v != F.col("v"))), lambda v: F.struct(F.col("c").alias("c"), v.alias("v"), F.lit(False).alias("asks"), F.lit(True).alias("holds")))
-    return at.select("list", "sub", "id", "vec", F.explode(F.concat(asking, held)).alias("p")).select("list", "sub", "id", "vec", "p.*")
-
-
 def _edges(reps: DataFrame, scan: Scan) -> DataFrame:
-    """a, b, sim: for each representative its k nearest of similarity min_sim at least."""
+    """a, b, sim: for each representative its k nearest of similarity min_sim at least. Deletes reps, a written table."""
     spark, n = reps.sparkSession, reps.count()
     if n == 0:
         return spark.createDataFrame([], "a long, b long, sim float")
@@ -276,16 +365,21 @@ def _edges(reps: DataFrame, scan: Scan) -> DataFrame:
     if len(train) == 0:
         train = _matrix(reps.select("vec").limit(1).toArrow().column("vec"), scan.dim)
     c = _centroids(train, min(lists, len(train)))
-    placed = cut(reps.mapInArrow(_assign(c, scan), "id long, vec array<float>, home int, visits array<int>"))
-    visit = placed.select("id", "vec", F.explode("visits").alias("list"), "home").withColumn("inside", F.col("home") == F.col("list")).drop("home")
+    placed = cut(reps.mapInArrow(_assign(c, scan), "id long, vec binary, home int, visits binary"))
+    drop(reps)
     # three numbers a list: at most max_lists rows
-    sizes = {r["list"]: (r.held, r.asked) for r in visit.groupBy("list").agg(F.count_if("inside").alias("held"), F.count("*").alias("asked")).collect()}
-    visit = _sublists(visit, sizes, scan)
-    if max(v for _, v in sizes.values()) > scan.piece_rows:
-        visit = _pieces(visit, scan)
-    else:
-        visit = visit.withColumns({"c": F.lit(0), "v": F.lit(0), "asks": F.lit(True), "holds": F.col("inside")})
-    found = visit.select("list", "sub", "c", "v", "id", "vec", "asks", "holds").groupBy("list", "sub", "c", "v").applyInArrow(_search(scan), "a long, b long, sim float")
+    sizes = placed.select("home", "visits").mapInArrow(_counted(len(c)), "list int, held long, asked long").groupBy("list").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).collect()
+    held, asked = np.zeros((2, len(c)), np.int64)
+    for r in sizes:
+        held[r["list"]], asked[r["list"]] = r["held"], r["asked"]
+    plan = _pieces(held, asked, n, scan)
+
+    def wave(begin: int, end: int) -> DataFrame:
+        sent = placed.mapInArrow(_sending(plan, len(c), begin, end, scan.dim), "piece long, rows binary")
+        return sent.groupBy("piece").applyInArrow(_search(scan), "a long, b long, sim float")
+
+    found = cut_parts(wave(begin, end) for begin, end in pairwise(plan.waves))
+    drop(placed)
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     both = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     return both.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("rank") <= scan.k)
@@ -303,11 +397,15 @@ def similar(df: DataFrame, key: str, vector: str, scan: Scan = Scan()) -> DataFr
     but with scan.exact.
     """
     at = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == scan.dim) & ~F.exists("vec", lambda x: x.isNull()))
-    made = cut(at.mapInArrow(_prepare(scan.dim, scan.seed), "id long, h1 long, h2 long, vec array<float>"))
+    with unshuffled(df.sparkSession):
+        made = cut(at.mapInArrow(_prepare(scan.dim, scan.seed), "id long, h1 long, h2 long, vec array<float>"))
     copies = ["h1", "h2"]
     reps = made.groupBy(*copies).agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"))
-    edges = _edges(cut(reps.select("id", "vec")), scan)
-    members = made.groupBy(*copies, "id").agg(F.lit(1).alias("one")).drop("one")
+    with unshuffled(df.sparkSession):
+        reps = cut(reps.select("id", "vec"))
+        members = cut(made.groupBy(*copies, "id").agg(F.lit(1).alias("one")).drop("one"))
+    drop(made)
+    edges = _edges(reps, scan)
     # the first k + 1 copies of each vector; the limit on the rank reaches below the exchange
     first = members.withColumn("rank", F.row_number().over(W.partitionBy(*copies).orderBy("id"))).filter(F.col("rank") <= scan.k + 1)
     first = first.groupBy(*copies).agg(F.array_sort(F.collect_list("id")).alias("ids"))

@@ -1,6 +1,10 @@
+from pathlib import Path
+
 import numpy as np
 
+from memspark.llm import vectors
 from memspark.llm.vectors import Scan, rotation, scan_list, similar
+from memspark.tables import shared_folder
 
 SCHEMA = "v long, e array<float>, id string, vec string, h1 string, rep string"
 
@@ -116,3 +120,40 @@ def test_scan_abandons_most_of_the_work():
     assert len(want & got) >= 0.99 * len(want)
     assert spent < 0.4 * s.size * 64
     assert np.allclose(sim, s[i, j], atol=1e-4)
+
+
+def test_disk_is_given_back(spark):
+    """Many visits a vector: when the pairs are known, neither shuffles nor tables of vectors or visits are left."""
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        shuffled = sum(files.apply(i).length() for i in range(files.size()) if "shuffle_" in files.apply(i).getName())
+        return shuffled + sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    x = planted(2000, 64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, e array<float>")
+    before = left()
+    similar(df, "v", "e", Scan(list_rows=40, border_z=8.0))
+    assert left() - before < len(x) * 64 * 4
+
+
+def test_waves_find_the_same(spark):
+    """Lists and pieces of lists over several waves."""
+    rows = [(i, v.tolist()) for i, v in enumerate(planted(1500, 64))]
+    want = brute(dict(rows), 10, 0.9)
+    for scan in (Scan(list_rows=40, wave_rows=9000, wave=0), Scan(max_lists=3, max_sublists=1, piece_rows=128, wave_rows=3000, wave=0)):
+        assert recall(run(spark, rows, scan), want) >= 0.98
+
+
+def test_waves_are_bounded():
+    """A wave sends wave_rows or 4 times the vectors, and a piece more; all pieces are in one."""
+    r = np.random.default_rng(2)
+    held, asked = r.integers(0, 3000, 4096), r.integers(3000, 300_000, 4096)
+    held[7], asked[7] = 900_000, 2_000_000
+    n = int(held.sum())
+    plan = vectors._pieces(held, asked, n, Scan())
+    assert plan.waves[0] == 0 and plan.waves[-1] == (plan.cs * plan.vs).sum() and (np.diff(plan.waves) > 0).all()
+    each = np.repeat(asked / plan.vs + held / plan.cs, plan.cs * plan.vs)
+    sums = [each[a:b].sum() for a, b in zip(plan.waves, plan.waves[1:], strict=False)]
+    assert len(sums) > 10 and max(sums) < 4 * n * 1.2
+    assert (asked / plan.vs).max() <= 4 * Scan().piece_rows and (held / plan.cs).max() <= Scan().piece_rows
