@@ -42,7 +42,7 @@ class Scan:
     deviations of where a neighbour can be, the nearest `probes` of them
     (None: all). Blocks of column_block dimensions, tested at epsilon (the
     larger, the fewer true neighbours are abandoned); pieces of piece_rows
-    held rows and four times as many asking ones. Rows are sent to their lists in
+    held rows and as many asking ones. Rows are sent to their lists in
     waves of wave_rows, or of `wave` times the number of vectors if that is
     more. exact: no lists and no tests, all pairs of pieces.
     """
@@ -198,8 +198,8 @@ class Pieces:
 
 
 def _pieces(held: np.ndarray, asked: np.ndarray, rows: int, scan: Scan) -> Pieces:
-    """Pieces of piece_rows held rows and four times as many asking ones, about; as many to a wave as have wave_rows, or `wave` times `rows`."""
-    cs, vs = np.maximum(1, -(-held // scan.piece_rows)), np.maximum(1, -(-asked // (4 * scan.piece_rows)))
+    """Pieces of piece_rows held rows and as many asking ones, about; as many to a wave as have wave_rows, or `wave` times `rows`."""
+    cs, vs = np.maximum(1, -(-held // scan.piece_rows)), np.maximum(1, -(-asked // scan.piece_rows))
     ends = np.cumsum(cs * vs)
     each = np.repeat(asked / vs + held / cs * (vs > 1), cs * vs)  # rows sent to a piece
     wave = (np.cumsum(each) - each) // max(scan.wave_rows, scan.wave * rows)
